@@ -139,4 +139,24 @@ QUERIES = {
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_spans": p10_spans, "p10_shares": p10_shares,
 }
-SQL: dict[str, str] = {}
+
+_TOP = f"""
+WITH h AS (SELECT DISTINCT id, lower(trim(organization_id)) AS org, strftime(executed_at, '%Y-%m') AS month, execution_time_ms AS score, executed_at FROM query_history WHERE lower(trim(status)) = 'success' AND execution_time_ms BETWEEN 1 AND 86400000 AND organization_id IS NOT NULL),
+u AS (SELECT lower(trim(id)) AS k, min(lower(trim(organization_id))) AS org FROM users WHERE id IS NOT NULL GROUP BY 1),
+s AS (SELECT DISTINCT d.id, u.org, strftime(d.created_at, '%Y-%m') AS month, d.access_count AS score FROM dataset_shares d JOIN u ON u.k = lower(trim(d.created_by)) WHERE d.active AND u.org IS NOT NULL),
+r AS (
+  SELECT 'query_history' AS item_table, org, month, score, id, row_number() OVER (PARTITION BY org, month ORDER BY score DESC, executed_at, lower(trim(id))) AS rn FROM h
+  UNION ALL SELECT 'dataset_shares', org, month, score, id, row_number() OVER (PARTITION BY org, month ORDER BY score DESC, lower(trim(id))) FROM s)"""
+_WINDOWS = f"""
+WITH w AS (SELECT doc_id, i, substring(text, i, {SPAN}) AS x FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN} + 2)) AS i FROM documents WHERE length(text) >= {SPAN})),
+m AS (SELECT x FROM w GROUP BY x HAVING count(DISTINCT doc_id) > 1), hit AS (SELECT w.* FROM w JOIN m USING (x))"""
+
+SQL = {
+    "p7_found": f"{_TOP} SELECT item_table, id AS item_id FROM r WHERE rn <= {TOP}",
+    "p7_ranked": f"{_TOP} SELECT item_table, org AS organization_id, month, CAST(rn AS INTEGER) AS rank, score, id AS item_id FROM r WHERE rn <= {TOP}",
+    "p10_found": f"{_WINDOWS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM hit a JOIN hit b ON a.x = b.x AND a.doc_id < b.doc_id",
+    "p10_spans": f"""{_WINDOWS}, g AS (SELECT *, i - coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000) > {SPAN} AS fresh FROM hit), k AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM g)
+      SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS start, CAST(max(i) + {SPAN - 1} AS INTEGER) AS "end" FROM k GROUP BY doc_id, no""",
+    "p10_shares": f"""{_WINDOWS}, g AS (SELECT doc_id, least({SPAN}, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000000)) AS n FROM hit), c AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1)
+      SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0.0 END AS share FROM documents LEFT JOIN c USING (doc_id)""",
+}
