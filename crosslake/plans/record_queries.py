@@ -181,3 +181,84 @@ QUERIES = {
     "p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants,
     "p5_found": p5_found, "p5_profile": p5_profile, "p5_anomalies": p5_anomalies,
 }
+
+# --- the same in SQL, straight from the problem statements
+
+_NEWEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY {order} DESC NULLS LAST) AS rn FROM {table}) WHERE rn = 1"
+_PIPES = _NEWEST.format(order="updated_at", table="pipelines")
+_READABLE = f"SELECT id, updated_at, CASE WHEN json_valid(definition) THEN CAST(definition AS JSON) END AS d FROM ({_PIPES}) WHERE json_valid(definition)"
+_WALK = f"""
+WITH RECURSIVE docs AS (
+  SELECT 'pipelines' AS root_table, id AS root_id, d AS node FROM ({_READABLE})
+  UNION ALL SELECT 'lineage_nodes', id, CAST(metadata AS JSON) FROM ({_NEWEST.format(order="created_at", table="lineage_nodes")}) WHERE json_valid(metadata)),
+walk AS (
+  SELECT root_table, root_id, '' AS path, '$' AS enc, '$' AS parent_path, FALSE AS hit, node FROM docs
+  UNION ALL
+  SELECT root_table, root_id, path2, CASE WHEN is_arr AND json_type(v) = 'OBJECT' THEN path2 ELSE enc END, enc, is_arr AND json_type(v) = 'OBJECT',
+    CASE WHEN kid.k = 'config' AND json_type(v) = 'VARCHAR' AND json_valid(v ->> '$') THEN CASE WHEN json_type(v ->> '$') = 'OBJECT' THEN CAST(v ->> '$' AS JSON) ELSE v END ELSE v END
+  FROM (SELECT *, kid.v AS v, CASE WHEN is_arr THEN path || '[' || kid.i || ']' WHEN path = '' THEN kid.k ELSE path || '.' || kid.k END AS path2 FROM (
+    SELECT root_table, root_id, path, enc, json_type(node) = 'ARRAY' AS is_arr, unnest(CASE json_type(node)
+      WHEN 'OBJECT' THEN list_transform(json_keys(node), lambda k: {{'k': k, 'i': CAST(0 AS BIGINT), 'v': json_extract(node, '$."' || k || '"')}})
+      WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(node) AS BIGINT)), lambda i: {{'k': '', 'i': i, 'v': json_extract(node, '$[' || i || ']')}}) END) AS kid
+    FROM walk WHERE json_type(node) IN ('OBJECT', 'ARRAY'))))"""
+_LIST = "CASE WHEN json_type(d, '$.{part}') = 'ARRAY' THEN CAST(json_extract(d, '$.{part}[*]') AS JSON[]) ELSE [] END"
+_STEPS = f"SELECT id AS pipeline_id, updated_at, x ->> '$.id' AS step_id FROM (SELECT id, updated_at, unnest({_LIST.format(part='steps')}) AS x FROM ({_READABLE})) WHERE json_type(x) = 'OBJECT'"
+_LINKS = f"SELECT id AS pipeline_id, updated_at, x ->> '$.id' AS edge_id, x ->> '$.source' AS source, x ->> '$.target' AS target FROM (SELECT id, updated_at, unnest({_LIST.format(part='edges')}) AS x FROM ({_READABLE})) WHERE json_type(x) = 'OBJECT'"
+_ORPHANS = f"""
+WITH conn AS (SELECT lower(trim(id)) AS k, min(created_at) AS c, min(deleted_at) AS x FROM connections GROUP BY 1), nodes AS (SELECT lower(trim(id)) AS k, min(created_at) AS c FROM lineage_nodes GROUP BY 1),
+steps AS (SELECT DISTINCT lower(trim(pipeline_id)) AS p, lower(trim(step_id)) AS k FROM ({_STEPS})),
+cells AS (SELECT id, updated_at, cell ->> '$.id' AS item_id, cell ->> '$.connectionId' AS ref FROM (SELECT id, updated_at, unnest(CAST(json_extract(CAST(cells AS JSON), '$[*]') AS JSON[])) AS cell FROM ({_NEWEST.format(order="updated_at", table="notebooks")}) WHERE json_valid(cells))),
+r AS (
+  SELECT 'notebooks' AS ref_table, id AS row_id, item_id, updated_at AS moment, CASE WHEN k IS NULL THEN 'missing' WHEN c > updated_at THEN 'late' WHEN x <= updated_at THEN 'deleted' END AS state FROM cells LEFT JOIN conn ON k = lower(trim(ref)) WHERE trim(ref) <> ''
+  UNION ALL SELECT 'lineage_edges', id, 'source', created_at, CASE WHEN k IS NULL THEN 'missing' WHEN c > created_at THEN 'late' END FROM ({_NEWEST.format(order="created_at", table="lineage_edges")}) LEFT JOIN nodes ON k = lower(trim(source)) WHERE trim(source) <> ''
+  UNION ALL SELECT 'pipelines', pipeline_id, edge_id, updated_at, CASE WHEN k IS NULL THEN 'missing' END FROM ({_LINKS}) LEFT JOIN steps ON k = lower(trim(target)) AND p = lower(trim(pipeline_id)) WHERE trim(target) <> '')"""
+_TREE = f"""
+WITH RECURSIVE n AS (
+  SELECT 'lineage' AS scope, lower(trim(id)) AS k, 'lineage' AS graph, min(id) AS node_id FROM lineage_nodes GROUP BY 2
+  UNION ALL SELECT 'p' || lower(trim(pipeline_id)), lower(trim(step_id)), min(pipeline_id), min(step_id) FROM ({_STEPS}) WHERE step_id IS NOT NULL GROUP BY 1, 2),
+e AS (
+  SELECT l.scope, l.t, min(l.s) AS s FROM (
+    SELECT 'lineage' AS scope, lower(trim(source)) AS s, lower(trim(target)) AS t FROM lineage_edges
+    UNION SELECT 'p' || lower(trim(pipeline_id)), lower(trim(source)), lower(trim(target)) FROM ({_LINKS})) l
+  JOIN n a ON a.scope = l.scope AND a.k = l.s JOIN n b ON b.scope = l.scope AND b.k = l.t GROUP BY 1, 2),
+w AS (
+  SELECT n.scope, n.k, n.node_id AS root_id, 0 AS depth, n.node_id AS path, CAST(NULL AS VARCHAR) AS parent_id FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.scope = n.scope AND e.t = n.k)
+  UNION ALL SELECT w.scope, e.t, w.root_id, w.depth + 1, w.path || ' / ' || m.node_id, p.node_id FROM w JOIN e ON e.scope = w.scope AND e.s = w.k JOIN n m ON m.scope = e.scope AND m.k = e.t JOIN n p ON p.scope = w.scope AND p.k = w.k)"""
+_DESCENT = """, up AS (
+  SELECT scope, t AS k, s AS anc, 1 AS distance FROM e WHERE EXISTS (SELECT 1 FROM w WHERE w.scope = e.scope AND w.k = e.t)
+  UNION ALL SELECT up.scope, up.k, e.s, distance + 1 FROM up JOIN e ON e.scope = up.scope AND e.t = up.anc)"""
+
+
+def _p5_sql() -> str:
+    kinds = {
+        "query_history": ("id", "connection_id", "organization_id", "executed_at", "execution_time_ms", "row_count", "status", "error_message"),
+        "quality_check_runs": ("id", "status", "actual_value", "duration_ms", "error_message"),
+    }
+    parts = []
+    for t, columns in kinds.items():
+        for c in columns:
+            numeric = c in ("execution_time_ms", "row_count", "actual_value", "duration_ms")
+            to = "TIMESTAMP" if c == "executed_at" else "DOUBLE"
+            outside = f"coalesce(bool_or(CAST({c} AS {to}) < CAST(rtrim(min_value, 'Z') AS {to}) OR CAST({c} AS {to}) > CAST(rtrim(max_value, 'Z') AS {to})), FALSE)" if numeric or c == "executed_at" else "FALSE"
+            mid = f"median({c})" if numeric else "CAST(NULL AS DOUBLE)"
+            parts.append(
+                f"SELECT p.table_name, load_no, p.column_name, unnest([CASE WHEN abs((count(*) - count({c})) * 100.0 / count(*) - any_value(null_percent)) > 8 THEN 'null_rate' END, CASE WHEN any_value(distinct_percent) >= 90 AND count(DISTINCT {c}) * 100.0 / count(*) < any_value(distinct_percent) - 10 THEN 'distinct' END, "
+                f"CASE WHEN {outside} THEN 'range' END, CASE WHEN count(*) FILTER (NOT regexp_matches(CAST({c} AS VARCHAR), value_pattern)) * 100.0 > 2 * count({c}) THEN 'pattern' END, CASE WHEN {mid} < any_value(median_value) / 2 OR {mid} > any_value(median_value) * 2 THEN 'shift' END]) AS issue "
+                f"FROM {t} CROSS JOIN (SELECT * FROM table_profiles WHERE table_name = '{t}' AND column_name = '{c}') p GROUP BY 1, 2, 3"
+            )
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE issue IS NOT NULL"
+
+
+SQL = {
+    "p1_found": f"{_WALK} SELECT root_table, root_id, parent_path, path AS node_path FROM walk WHERE hit",
+    "p1_steps": f"""SELECT pipeline_id, 'steps[' || i || ']' AS node_path, CAST(i AS INTEGER) AS position, x ->> '$.id' AS step_id, x ->> '$.type' AS type, x ->> '$.label' AS label, CAST(x ->> '$.position.x' AS DOUBLE) AS x, CAST(x ->> '$.position.y' AS DOUBLE) AS y
+      FROM (SELECT id AS pipeline_id, i, json_extract(d, '$.steps[' || i || ']') AS x FROM (SELECT id, d, unnest(range(CAST(json_array_length(d, '$.steps') AS BIGINT))) AS i FROM ({_READABLE}))) WHERE json_type(x) = 'OBJECT'""",
+    "p3_found": f"{_ORPHANS} SELECT ref_table, row_id, item_id, state FROM r WHERE state IS NOT NULL",
+    "p3_counts": f"{_ORPHANS} SELECT ref_table, state, strftime(moment, '%Y-%m') AS month, count(*) AS n_references FROM r WHERE state IS NOT NULL GROUP BY 1, 2, 3",
+    "p4_found": f"{_TREE} SELECT n.graph, n.node_id, coalesce(root_id, 'cycle') AS root_id, coalesce(depth, -1) AS depth FROM n LEFT JOIN w USING (scope, k)",
+    "p4_paths": f"""{_TREE}{_DESCENT}, size AS (SELECT scope, anc AS k, count(*) AS below FROM up GROUP BY 1, 2),
+      cyc AS (SELECT e.scope, e.t AS k, p.node_id AS pid FROM e JOIN n p ON p.scope = e.scope AND p.k = e.s)
+      SELECT n.graph, n.node_id, coalesce(parent_id, pid) AS parent_id, coalesce(root_id, 'cycle') AS root_id, coalesce(depth, -1) AS depth, path, CASE WHEN depth >= 0 THEN coalesce(below, 0) END AS n_descendants FROM n LEFT JOIN w USING (scope, k) LEFT JOIN size USING (scope, k) LEFT JOIN cyc USING (scope, k)""",
+    "p4_descendants": f"{_TREE}{_DESCENT} SELECT a.graph, a.node_id, b.node_id AS descendant_id, distance FROM up JOIN n a ON a.scope = up.scope AND a.k = up.anc JOIN n b ON b.scope = up.scope AND b.k = up.k",
+    "p5_found": _p5_sql(),
+}
