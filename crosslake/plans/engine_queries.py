@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslake.functions import scalars
@@ -17,8 +17,14 @@ from crosslake.sources import documents, export, files, staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-NOW = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+
 SQL_NOW = "TIMESTAMP '2026-01-01 00:00:00'"
+
+
+def _now() -> Column:
+    return F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+
+
 _MONEY = {"o_totalprice", "l_extendedprice", "c_acctbal"}
 
 
@@ -232,7 +238,7 @@ UNION ALL SELECT 'c7', CASE WHEN s <= 0 THEN 'pass' ELSE 'fail' END, CAST(s AS D
 
 @_case("dq_suite", _CHECK_SQL)
 def _suite(spark: SparkSession, d: str) -> DataFrame:
-    return quality.check_suite(table(spark, d, "query_history"), _CHECKS, NOW)
+    return quality.check_suite(table(spark, d, "query_history"), _CHECKS, _now())
 
 
 @_case("dq_custom_sql", "SELECT 'c' AS check_id, CASE WHEN count(*) > 100 THEN 'pass' ELSE 'fail' END AS status, CAST(count(*) AS DOUBLE) AS actual_value, 'result gt 100' AS expected_desc FROM orders WHERE o_orderstatus = 'P'")
@@ -324,8 +330,8 @@ SELECT id, CASE WHEN length(sql_query) > 100 THEN substring(sql_query, 1, 100) |
   CASE WHEN execution_time_ms / 1000 < 2 THEN 'good' WHEN execution_time_ms / 1000 <= 5 THEN 'fair' WHEN execution_time_ms IS NOT NULL THEN 'poor' END AS light
 FROM (SELECT *, CAST(floor((epoch_ms({SQL_NOW}) - epoch_ms(executed_at)) / 60000) AS BIGINT) AS m FROM query_history WHERE executed_at < {SQL_NOW})""")
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "query_history").where(F.col("executed_at") < NOW)
-    return h.select("id", scalars.shorten(F.col("sql_query")).alias("short_sql"), scalars.day_key(F.col("executed_at")).alias("day"), scalars.relative_time(F.col("executed_at"), NOW).alias("ago"), scalars.query_time_light(F.col("execution_time_ms")).alias("light"))
+    h = table(spark, d, "query_history").where(F.col("executed_at") < _now())
+    return h.select("id", scalars.shorten(F.col("sql_query")).alias("short_sql"), scalars.day_key(F.col("executed_at")).alias("day"), scalars.relative_time(F.col("executed_at"), _now()).alias("ago"), scalars.query_time_light(F.col("execution_time_ms")).alias("light"))
 
 
 @_case("export_csv_lines", """
@@ -359,19 +365,19 @@ SELECT coalesce(CAST(floor(avg(execution_time_ms) FILTER (status = 'success' AND
   floor(count(*) FILTER (status = 'error') * 100.0 / count(*) * 10 + 0.5) / 10 AS failure_rate, count(*) FILTER (contains(error_message, 'timeout')) AS timeout_queries
 FROM query_history WHERE executed_at > {SQL_NOW} - INTERVAL 30 DAY""")
 def _performance(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.query_performance(table(spark, d, "query_history"), NOW, 30)
+    return analytics.query_performance(table(spark, d, "query_history"), _now(), 30)
 
 
 @_case("an_slowest", f"""
 SELECT id, CASE WHEN length(sql_query) > 100 THEN substring(sql_query, 1, 100) || '...' ELSE sql_query END AS sql_query, execution_time_ms, status, strftime(executed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS executed_at
 FROM (SELECT * FROM query_history WHERE executed_at > {SQL_NOW} - INTERVAL 7 DAY AND status = 'success' AND execution_time_ms <> 0 ORDER BY execution_time_ms DESC, executed_at DESC, id LIMIT 10)""")
 def _slowest(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.slowest_queries(table(spark, d, "query_history"), NOW, 7)
+    return analytics.slowest_queries(table(spark, d, "query_history"), _now(), 7)
 
 
 @_case("an_queries_by_day", f"SELECT strftime(executed_at, '%Y-%m-%d') AS day, count(*) AS queries FROM query_history WHERE executed_at > {SQL_NOW} - INTERVAL 60 DAY GROUP BY 1")
 def _by_day(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.queries_by_day(table(spark, d, "query_history"), NOW, 60)
+    return analytics.queries_by_day(table(spark, d, "query_history"), _now(), 60)
 
 
 @_case("an_connection_health", f"""
@@ -379,14 +385,14 @@ WITH h AS (SELECT connection_id, count(*) FILTER (executed_at > {SQL_NOW} - INTE
 SELECT c.id, c.name, c.type, CASE WHEN coalesce(n, 0) = 0 THEN 'untested' WHEN bad > 5 THEN 'error' WHEN last_status = 'success' THEN 'online' ELSE 'offline' END AS status, coalesce(n, 0) AS query_count, coalesce(strftime(last, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') AS last_used_at, coalesce(bad, 0) AS recent_errors
 FROM connections c LEFT JOIN h ON h.connection_id = c.id""")
 def _health(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.connection_health(table(spark, d, "connections"), table(spark, d, "query_history"), NOW)
+    return analytics.connection_health(table(spark, d, "connections"), table(spark, d, "query_history"), _now())
 
 
 @_case("an_share_stats", f"""
 SELECT count(*) AS total_shared_datasets, count(*) FILTER (access_level = 'public') AS public_shares, count(*) FILTER (access_level = 'organization') AS organization_shares, count(*) FILTER (access_level = 'private') AS private_shares,
   CAST(coalesce(sum(access_count), 0) AS BIGINT) AS total_api_calls, CAST(coalesce(sum(access_count) FILTER (last_accessed_at >= {SQL_NOW}), 0) AS BIGINT) AS api_calls_today FROM dataset_shares WHERE active""")
 def _share_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.share_stats(table(spark, d, "dataset_shares"), NOW)
+    return analytics.share_stats(table(spark, d, "dataset_shares"), _now())
 
 
 @_case("an_most_accessed", "SELECT id, name, dataset_type, access_count, coalesce(strftime(last_accessed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', '') AS last_accessed_at, '' AS api_key FROM (SELECT DISTINCT * FROM dataset_shares) WHERE active AND access_count > 0 ORDER BY access_count DESC, id LIMIT 10")
@@ -403,12 +409,12 @@ def _shares_by_day(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, name, dataset_type AS type, coalesce(CAST(floor((epoch_ms({SQL_NOW}) - epoch_ms(last_accessed_at)) / 86400000) AS INTEGER), 999) AS days_since_last_access, coalesce(strftime(last_accessed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', 'Never') AS last_accessed_at
 FROM dataset_shares WHERE last_accessed_at IS NULL OR last_accessed_at < {SQL_NOW} - INTERVAL 30 DAY""")
 def _stale(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.stale_shares(table(spark, d, "dataset_shares"), NOW, 30, None)
+    return analytics.stale_shares(table(spark, d, "dataset_shares"), _now(), 30, None)
 
 
 def _transformation_frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Transformations and their runs, by the pipelines and the check runs, which have the same columns."""
-    t = table(spark, d, "quality_check_runs").select(F.col("check_id").alias("id")).distinct().select("id", F.concat(F.lit("check "), "id").alias("name"), F.lit("").alias("description"), F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("last_run_at"), F.lit(None).cast("string").alias("source_connection_id"), NOW.alias("created_at"))
+    t = table(spark, d, "quality_check_runs").select(F.col("check_id").alias("id")).distinct().select("id", F.concat(F.lit("check "), "id").alias("name"), F.lit("").alias("description"), F.lit("active").alias("status"), F.lit(None).cast("timestamp_ntz").alias("last_run_at"), F.lit(None).cast("string").alias("source_connection_id"), _now().alias("created_at"))
     status = F.when(F.col("status") == "pass", "success").when(F.col("status") == "fail", "failed").otherwise("timeout")
     r = table(spark, d, "quality_check_runs").select("id", F.col("check_id").alias("transformation_id"), status.alias("status"), F.col("ran_at").alias("started_at"), "error_message", F.col("duration_ms").alias("execution_time_ms"), F.lit(None).cast("bigint").alias("rows_processed"), F.col("ran_at").alias("completed_at"))
     return t, r
@@ -419,14 +425,14 @@ SELECT (SELECT count(*) FROM dataset_shares WHERE last_accessed_at IS NULL OR la
   (SELECT count(DISTINCT check_id) FROM quality_check_runs WHERE status <> 'pass' AND ran_at > {SQL_NOW} - INTERVAL 30 DAY) AS failed_transformations,
   (SELECT floor(count(*) FILTER (status = 'pass') * 100.0 / count(*) * 10 + 0.5) / 10 FROM quality_check_runs WHERE ran_at > {SQL_NOW} - INTERVAL 30 DAY) AS success_rate, (SELECT count(DISTINCT check_id) FROM quality_check_runs) AS total_transformations""")
 def _freshness(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.freshness_stats(table(spark, d, "dataset_shares"), *_transformation_frames(spark, d), NOW)
+    return analytics.freshness_stats(table(spark, d, "dataset_shares"), *_transformation_frames(spark, d), _now())
 
 
 @_case("an_failed_transformations", f"""
 WITH b AS (SELECT check_id, count(*) AS failures FROM quality_check_runs WHERE status <> 'pass' AND ran_at > {SQL_NOW} - INTERVAL 30 DAY GROUP BY 1)
 SELECT check_id AS id, 'check ' || check_id AS name, failures FROM b""")
 def _failed(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.failed_transformations(*_transformation_frames(spark, d), NOW).select("id", "name", "failures")
+    return analytics.failed_transformations(*_transformation_frames(spark, d), _now()).select("id", "name", "failures")
 
 
 @_case("latest_run", "SELECT * FROM (SELECT check_id, id, status, ran_at FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY ran_at DESC, id, load_no) AS rn FROM quality_check_runs) WHERE rn = 1)")
@@ -464,7 +470,7 @@ SELECT (SELECT count(*) FROM uploaded_files) + (SELECT count(*) FROM (SELECT DIS
 def _dashboard(spark: SparkSession, d: str) -> DataFrame:
     f = _catalog_frames(spark, d)
     jobs = table(spark, d, "uploaded_files").select(F.lit("completed").alias("status"))
-    return analytics.dashboard_totals(f["staged"], f["connections"], f["transformations"], f["cross_queries"], table(spark, d, "query_history"), f["shares"], jobs, NOW)
+    return analytics.dashboard_totals(f["staged"], f["connections"], f["transformations"], f["cross_queries"], table(spark, d, "query_history"), f["shares"], jobs, _now())
 
 
 # --- ingestion

@@ -239,7 +239,7 @@ class PipelineRunner:
         run = PipelineRun(uuid.uuid4().hex, step_results={s: StepResult() for s in steps})
         for phase in order:
             with ThreadPoolExecutor(max(1, len(phase))) as pool:
-                for f in [pool.submit(inheritable_thread_target(self._step), steps[s], run.step_results[s]) for s in phase]:
+                for f in [pool.submit(inheritable_thread_target(self.t.engine.spark)(self._step), steps[s], run.step_results[s]) for s in phase]:
                     f.result()
             if stop_on_error and any(run.step_results[s].status == "failed" for s in phase):
                 break

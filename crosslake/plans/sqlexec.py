@@ -38,7 +38,7 @@ def with_timeout(spark: SparkSession, seconds: float, run: Callable[[], Any], wh
 
     pool = ThreadPoolExecutor(1)
     try:
-        future = pool.submit(inheritable_thread_target(work))
+        future = pool.submit(inheritable_thread_target(spark)(work))
         return future.result(timeout=seconds)
     except FutureTimeout as e:
         if future.done():

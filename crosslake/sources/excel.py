@@ -94,7 +94,7 @@ class _Reader(DataSourceReader):
         self.o, self.n = options, len(schema.fields) - 1
 
     def partitions(self) -> list[InputPartition]:
-        return [_Whole()]  # one compressed stream holds a sheet
+        return [_Whole(None)]  # one compressed stream holds a sheet
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         header = self.o.get("header", "true") == "true"

@@ -134,11 +134,11 @@ def read_json(spark: SparkSession, path: str, root_path: str | None = None) -> t
     kind = (first.s if first else None) or "VOID"
     if not kind.startswith(("ARRAY", "OBJECT")):
         raise ValueError(f"Root path {root_path!r} is no array or object" if root_path else "JSON must be an array or an object")
-    doc.select(F.try_variant_get("v", at, "variant").alias("v")).createOrReplaceTempView("__crosslake_json")
+    doc = doc.select(F.try_variant_get("v", at, "variant").alias("v"))
     if kind.startswith("OBJECT"):
-        rows = spark.sql("select 1L as row, v as value from __crosslake_json")
+        rows = doc.select(F.lit(1).cast("bigint").alias("row"), F.col("v").alias("value"))
     else:
-        rows = spark.sql("select cast(e.pos + 1 as bigint) as row, e.value from __crosslake_json, lateral variant_explode(v) e")
+        rows = doc.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select((F.col("pos") + 1).cast("bigint").alias("row"), "value")
     is_obj = F.schema_of_variant("value").startswith("OBJECT")
     bad = rows.where(~is_obj).select("row", F.lit(None).cast("string").alias("column"), F.col("value").cast("string").alias("value"), F.lit("Row is not an object").alias("error"), F.lit("VALIDATION_ERROR").alias("type"), F.lit("error").alias("severity"), F.lit("Provide an object").alias("suggestion"))
     good = rows.where(is_obj)
@@ -155,13 +155,10 @@ def read_json(spark: SparkSession, path: str, root_path: str | None = None) -> t
 
 def _object_keys(good: DataFrame) -> list[tuple[str, str | None]]:
     """(key, nested key) of the objects; the union over all rows, in order of first appearance by row."""
-    good.createOrReplaceTempView("__crosslake_rows")
-    spark = good.sparkSession
-    found = spark.sql("""
-      select k, sub, min(row) as at, min(p) as p, min(q) as q from (
-        select r.row, e.pos as p, e.key as k, s.pos as q, s.key as sub from __crosslake_rows r, lateral variant_explode(r.value) e
-        left join lateral (select pos, key from variant_explode_outer(case when schema_of_variant(e.value) like 'OBJECT%' then e.value end)) s
-      ) group by k, sub order by at, p, q""").collect()  # column names, not rows
+    tvf = good.sparkSession.tvf
+    top = good.select("row", F.col("value").alias("v")).lateralJoin(tvf.variant_explode(F.col("v").outer())).select("row", F.col("pos").alias("p"), F.col("key").alias("k"), F.when(F.schema_of_variant("value").startswith("OBJECT"), F.col("value")).alias("w"))
+    every = top.lateralJoin(tvf.variant_explode_outer(F.col("w").outer())).select("row", "p", "k", F.col("pos").alias("q"), F.col("key").alias("sub"))
+    found = every.groupBy("k", "sub").agg(F.min("row").alias("at"), F.min("p").alias("p"), F.min("q").alias("q")).orderBy("at", "p", "q").collect()  # column names, not rows
     nested = {r.k for r in found if r.sub is not None}
     out = [(r.k, r.sub) for r in found if r.sub is not None or r.k not in nested]
     return out

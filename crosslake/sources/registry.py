@@ -164,7 +164,7 @@ class ConnectionRegistry:
 
     def tables(self, connection_id: str, schema: str | None = None) -> list[TableInfo]:
         if connection_id == "staging":
-            return [TableInfo(schema, t.name, "view" if t.tableType == "VIEW" else "table") for t in self.spark.catalog.listTables(schema)]
+            return [TableInfo(schema, t.name, "view" if t.tableType == "VIEW" else "table") for t in self.spark.catalog.listTables(schema) if not t.isTemporary]
         c = self.get(connection_id)
         if c.type == "sqlite":
             return sqlite.tables(c.options["path"])
@@ -188,7 +188,7 @@ class ConnectionRegistry:
         out = {}
         for t in self.tables("staging", schema):
             stats = self.spark.table(f"{schema}.{t.name}")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-            out[t.name] = int(stats.toString())
+            out[t.name] = int(str(stats))
         return out
 
 
