@@ -43,19 +43,29 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        self._paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads."""
-        for path in {os.path.dirname(f) for f in df.inputFiles()}:
-            if path.replace("file:///", "file:/").startswith(self.root.replace("file:///", "file:/")):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this scratch that no later step reads."""
+        for df in tables:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
+            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions for every later pass, kept in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
+    return df.checkpoint()
 
 
 def latest(df: DataFrame, id_col: str, *order: Column) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosslake.functions.common import checkpointed
+from crosslake.sources.files import with_row_numbers
+
 MOST_SERIES = 10_000
 
 
@@ -80,9 +83,7 @@ def moving_average(df: DataFrame, value: str, order: list[str], window: int, by:
     if by:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1), 0)
         return df.withColumn(out, F.avg(value).over(w))
-    from crosslake.sources.files import with_row_numbers
-
-    rows = with_row_numbers(df.orderBy(*order), 0, "__n")
+    rows = with_row_numbers(checkpointed(df.orderBy(*order)), 0, "__n")
     size = max(100_000, window)
     block = F.floor(F.col("__n") / size)
     both = rows.withColumn("__b", F.explode(F.when(F.col("__n") % size > size - window, F.array(block, block + 1)).otherwise(F.array(block))))

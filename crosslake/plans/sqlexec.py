@@ -17,10 +17,11 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosslake.functions.common import shared_dir
+from crosslake.functions.common import checkpointed, shared_dir
 from crosslake.model import QUERY_HISTORY, EngineConfig, QueryResult
 from crosslake.plans import guards
 from crosslake.plans.query_def import QueryDefinition, compile_query, to_sql
+from crosslake.sources.files import with_row_numbers
 from crosslake.sources.registry import ConnectionRegistry
 
 
@@ -65,9 +66,7 @@ def numbered_pages(df: DataFrame, order: list, size: int = 100) -> DataFrame:
 
     The rows are sorted by range over all tasks; each partition numbers its own, from the counts of those before.
     """
-    from crosslake.sources.files import with_row_numbers
-
-    got = with_row_numbers(df.orderBy(*order), 0, "row_no")
+    got = with_row_numbers(checkpointed(df.orderBy(*order)), 0, "row_no")
     return got.withColumn("page_no", F.floor(F.col("row_no") / size).cast("int"))
 
 

@@ -108,7 +108,11 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool
 
 
 def with_row_numbers(df: DataFrame, first: int = 1, name: str = "_row") -> DataFrame:
-    """Dense row numbers in file order: partition sizes are counted first, then each partition numbers its own rows."""
+    """Dense row numbers in the order of the partitions, which are counted first; each then numbers its own rows.
+
+    Both passes must see the same partitions: files as they are read have them, anything
+    behind a shuffle (a sort, say) must be checkpointed before.
+    """
     indexed = df.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     counts = {r[0]: r[1] for r in indexed.groupBy(part.alias("p")).count().collect()}  # one row for each partition
