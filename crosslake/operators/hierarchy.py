@@ -61,8 +61,8 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
     key). Edges whose ends are not both nodes do not count; repeated edges count once; of
     several different parents the one with the smallest key counts; null keys are no nodes.
 
-    Result: graph, node_id, parent_id, root_id, depth, lft, rgt, n_descendants, and with
-    ``paths`` the path of node ids from the root. A node's descendants are the nodes of its
+    Result: graph, node_id, root_id, depth, lft, rgt, n_descendants, and with ``paths``
+    parent_id and the path of node ids from the root. A node's descendants are the nodes of its
     root with lft in (lft, rgt]. Nodes on or below a cycle have root_id ``cycle``, depth -1
     and no range. Siblings come in no particular order.
     """
@@ -76,7 +76,9 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
         part = t.select(F.col("a").alias("v"), "size")
         size = part if size is None else size.union(part)
     sizes = (size if size is not None else links.select("v", F.lit(0).cast("bigint").alias("size"))).groupBy("v").agg((F.sum("size") + 1).alias("size"))
+    sizes = s.write(sizes)
     offs = s.write(_offsets(links, sizes, endless))
+    s.drop(*rounds)
     name = numbered.select("v", F.col("node_id").alias("path")) if paths else None
     roots = numbered.select("v").join(links.select("v"), "v", "left_anti").select("v", F.lit(0).cast("bigint").alias("lft"), F.lit(0).alias("depth"), F.col("v").alias("root"))
     acc = offs.select("v", "a", F.col("offset").alias("lft"))
@@ -95,7 +97,9 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
         done.append(s.write(fresh))
         if k + 1 < len(rounds):
             go_on = acc.alias("acc").join(acc.alias("up"), F.col("acc.a") == F.col("up.v")).select("acc.v", F.col("up.a").alias("a"), (F.col("acc.lft") + F.col("up.lft")).alias("lft"), *joined)
-            acc = s.write(go_on)
+            before, acc = acc, s.write(go_on)
+            if k or paths:
+                s.drop(before)
     every = done[0]
     for t in done[1:]:
         every = every.unionByName(t)
@@ -103,10 +107,12 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
     lost = endless.select("v", F.lit(None).cast("bigint").alias("lft"), F.lit(-1).alias("depth"), F.lit(None).cast("bigint").alias("root"), *([F.lit(None).cast("string").alias("path")] if paths else []), F.lit(None).cast("bigint").alias("size"))
     names = numbered.select("v", "graph", "node_id")
     root_name = names.select(F.col("v").alias("root"), F.col("node_id").alias("root_id"))
-    parent_name = links.join(names.select(F.col("v").alias("a"), F.col("node_id").alias("parent_id")), "a").select("v", "parent_id")
-    got = names.join(every.unionByName(lost), "v").join(root_name, "root", "left").join(parent_name, "v", "left")
+    got = names.join(every.unionByName(lost), "v").join(root_name, "root", "left")
+    if paths:
+        parent_name = links.join(names.select(F.col("v").alias("a"), F.col("node_id").alias("parent_id")), "a").select("v", "parent_id")
+        got, walk = got.join(parent_name, "v", "left"), ["parent_id", "path"]
     return got.select(
-        "graph", "node_id", "parent_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"), "depth", "lft",
+        "graph", "node_id", F.coalesce("root_id", F.lit("cycle")).alias("root_id"), "depth", "lft",
         (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"), *walk,
     )
 
