@@ -233,7 +233,7 @@ class SharedSpans:
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
         self.span, self.scratch = span, Scratch(docs.sparkSession, "spans")
         long = self.docs.where(F.length("text") >= span)
-        windows = _windows_of(long, span)
+        windows = self.scratch.write(_windows_of(long, span))  # read twice, made once
         again = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
         hits = windows.join(again, "h")
         self.places = self.scratch.write(_contexts_of(long, hits, span).withColumn("ck", F.xxhash64("ctx")))
