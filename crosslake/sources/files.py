@@ -113,16 +113,14 @@ def with_row_numbers(df: DataFrame, first: int = 1, name: str = "_row") -> DataF
     Both passes must see the same partitions: files as they are read have them, anything
     behind a shuffle (a sort, say) must be checkpointed before.
     """
-    indexed = df.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    counts = {r[0]: r[1] for r in indexed.groupBy(part.alias("p")).count().collect()}  # one row for each partition
-    starts, at = {}, first
-    for p in sorted(counts):
-        starts[p], at = at, at + counts[p]
-    if not starts:
-        return df.withColumn(name, F.lit(first).cast("bigint"))
-    start = F.create_map(*[F.lit(x).cast("bigint") for kv in starts.items() for x in kv])
-    return indexed.withColumn(name, F.try_element_at(start, part.cast("bigint")) + F.expr("__id & ((1L << 33) - 1)")).drop("__id")
+    indexed = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33))
+    counts = sorted((r[0], r[1]) for r in indexed.groupBy("__p").count().collect())  # one row for each partition
+    at, starts = first, []
+    for p, n in counts:
+        starts.append((p, at))
+        at += n
+    start = df.sparkSession.createDataFrame(starts, "__p bigint, __start bigint")
+    return indexed.join(F.broadcast(start), "__p").withColumn(name, F.col("__start") + F.expr("__id & ((1L << 33) - 1)")).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def read_json(spark: SparkSession, path: str, root_path: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -181,6 +181,13 @@ class ConnectionRegistry:
     def columns(self, connection_id: str, table: str, schema: str | None = None) -> list[ColumnInfo]:
         if connection_id != "staging" and self.get(connection_id).type == "sqlite":
             return sqlite.columns(self.get(connection_id).options["path"], table)
+        if connection_id != "staging" and self.get(connection_id).type in ("postgresql", "mysql", "sqlserver"):
+            where = f"table_name = '{table}'" + (f" and table_schema = '{schema}'" if schema else "")
+            if "'" in table or "'" in (schema or ""):
+                raise ValueError("Bad table name")
+            listed = self.read(connection_id, "", query=f"select table_schema, table_name, column_name, data_type, is_nullable, column_default, ordinal_position from information_schema.columns where {where}")
+            keys = self.read(connection_id, "", query=f"select k.table_schema, k.table_name, k.column_name from information_schema.table_constraints c join information_schema.key_column_usage k on c.constraint_name = k.constraint_name and c.table_schema = k.table_schema and c.table_name = k.table_name where c.constraint_type = 'PRIMARY KEY' and k.{where.replace(' and ', ' and k.')}")
+            return [ColumnInfo(r.column_name, r.data_type, r.is_nullable == "YES", r.column_default, r.is_primary_key) for r in with_primary_keys(listed, keys).orderBy("ordinal_position").collect()]  # one table's columns
         return [ColumnInfo(f.name, f.dataType.simpleString(), f.nullable) for f in self.read(connection_id, table, schema).schema.fields]
 
     def staging_sizes(self, schema: str) -> dict[str, int]:
@@ -192,5 +199,11 @@ class ConnectionRegistry:
         return out
 
 
+def with_primary_keys(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """Columns of tables with is_primary_key; both sides have table_schema, table_name and column_name."""
+    on = ["table_schema", "table_name", "column_name"]
+    return columns.join(keys.select(*on).distinct().withColumn("__pk", F.lit(True)), on, "left").withColumn("is_primary_key", F.coalesce("__pk", F.lit(False))).drop("__pk")
+
+
 def field_types(df: DataFrame) -> list[dict[str, str]]:
     return [{"name": f.name, "type": type_name(f.dataType)} for f in df.schema.fields]

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from crosslake.model import EngineConfig
 from crosslake.plans import guards
 from crosslake.plans.pipeline import CycleError, Notebook, PipelineRunner, Transformations, check_steps, phases
+from crosslake.plans.sharing import Shares, schema_context
 from crosslake.plans.query_def import MAX_TABLES, QueryDefinition, compile_query, to_sql, validate
 from crosslake.plans.sqlexec import QueryEngine, QueryTimeout, page_info, with_timeout
-from crosslake.sources.registry import Connection, ConnectionRegistry, UnknownConnection
+from crosslake.sources.registry import Connection, ConnectionRegistry, UnknownConnection, with_primary_keys
 
 USERS = [(1, "Alice Johnson", "alice@example.com"), (2, "Bob Smith", "bob@example.com"), (3, "Carol Williams", "carol@example.com")]
 ORDERS = [(1, 1, "99.99", "completed"), (2, 1, "149.50", "completed"), (3, 2, "299.00", "pending"), (4, 3, "49.99", "completed")]
@@ -288,6 +289,41 @@ def test_jdbc(spark):
     assert r.test("d") == (True, None)
 
 
+def test_primary_keys(spark):
+    cols = spark.createDataFrame([("s", "t", "a"), ("s", "t", "b"), ("s", "u", "a")], "table_schema string, table_name string, column_name string")
+    keys = spark.createDataFrame([("s", "t", "a"), ("s", "t", "a")], cols.schema)
+    assert {(r.table_name, r.column_name): r.is_primary_key for r in with_primary_keys(cols, keys).collect()} == {("t", "a"): True, ("t", "b"): False, ("u", "a"): False}
+
+
+def test_shares(spark, registry):
+    e = QueryEngine(spark, registry)
+    t = Transformations(e)
+    made = t.create("x", "SELECT id FROM users", connection_id="db1")
+    shares = Shares(e, t)
+    c = shares.create("c", "connection", "db1", "public", "users")
+    assert shares.data(c.api_key).count() == 3 and shares.data(c.share_token, 1, 2).count() == 1
+    assert shares.query(c.api_key, "SELECT name FROM users ORDER BY name", 1).first().name == "Alice Johnson"
+    assert c.access_count == 3 and c.last_accessed_at is not None
+    with pytest.raises(guards.UnsafeSql):
+        shares.query(c.api_key, "DELETE FROM users")
+    x = shares.create("t", "transformation", made.id)
+    with pytest.raises(LookupError):
+        shares.data(x.api_key)
+    t.run(made.id)
+    assert shares.data(x.api_key).count() == 3
+    with pytest.raises(ValueError, match="not supported"):
+        shares.query(x.api_key, "SELECT 1")
+    q = shares.create("q", "cross-query", e.save_cross("x", definition()))
+    assert shares.data(q.api_key).count() == 4
+    shares.revoke(c.id)
+    for key in (c.api_key, "", None):
+        with pytest.raises(PermissionError):
+            shares.open(key)
+    with pytest.raises(ValueError):
+        shares.create("z", "dance", "1")
+    assert schema_context(e, "db1") == "users(id int, name string, email string)"
+
+
 def test_registry_scoping(spark):
     r = ConnectionRegistry(spark)
     r.add(Connection("a", "A", "postgresql", "org1", {"host": "h", "database": "d"}))
