@@ -184,7 +184,7 @@ _sql("sql_cte_union", "WITH a AS (SELECT n_name AS x FROM nation WHERE n_regionk
 _sql("sql_intersect_except", "SELECT n_regionkey AS k FROM nation INTERSECT SELECT r AS k FROM (SELECT n_nationkey AS r FROM nation) t EXCEPT SELECT 3 AS k")
 _sql("sql_rollup", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_date_trunc", "SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' - INTERVAL '30 days' GROUP BY 1")
-_sql("sql_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders")
+_sql("sql_window", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders")
 _sql("sql_semi_anti", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
 
 
