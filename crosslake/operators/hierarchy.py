@@ -87,19 +87,17 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
     done = [s.write(roots)]
     walk = ["path"] if paths else []
     acc = s.write(acc) if paths else acc
+    nothing = [F.lit(None).cast("int").alias("depth"), F.lit(None).cast("bigint").alias("root")]
     for k in range(len(rounds)):
-        settled = done[0]
-        for t in done[1:]:
-            settled = settled.unionByName(t)
+        # an ancestor 2^k above is settled, or hands over to the one 2^k above itself
+        upper = acc.select("v", "lft", *nothing, F.col("a").alias("next"), *walk)
+        for t in done:
+            upper = upper.unionByName(t.select("v", "lft", "depth", "root", F.lit(None).cast("bigint").alias("next"), *walk))
         joined = [F.concat(F.col("up.path"), F.lit(separator), F.col("acc.path")).alias("path")] if paths else []
-        upper = settled.select("v", "lft", "depth", "root", *walk).alias("up")
-        fresh = acc.alias("acc").join(upper, F.col("acc.a") == F.col("up.v")).select("acc.v", (F.col("acc.lft") + F.col("up.lft")).alias("lft"), (F.col("up.depth") + (1 << k)).alias("depth"), "up.root", *joined)
-        done.append(s.write(fresh))
-        if k + 1 < len(rounds):
-            go_on = acc.alias("acc").join(acc.alias("up"), F.col("acc.a") == F.col("up.v")).select("acc.v", F.col("up.a").alias("a"), (F.col("acc.lft") + F.col("up.lft")).alias("lft"), *joined)
-            before, acc = acc, s.write(go_on)
-            if k or paths:
-                s.drop(before)
+        met = acc.alias("acc").join(upper.alias("up"), F.col("acc.a") == F.col("up.v")).select("acc.v", F.col("up.next").alias("a"), (F.col("acc.lft") + F.col("up.lft")).alias("lft"), (F.col("up.depth") + (1 << k)).alias("depth"), "up.root", *joined)
+        met = s.write(met)
+        done.append(met.where("depth is not null").drop("a"))
+        acc = met.where("depth is null").drop("depth", "root")
     every = done[0]
     for t in done[1:]:
         every = every.unionByName(t)
