@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosslake.functions.common import ship
+
 GROUP_ITEMS = 20_000
 SEED = 11
 
@@ -52,6 +54,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, group_item
     with the same id are items of their own; ties in size go by id, then piece, so that the
     result does not depend on partitions. An empty table has no containers.
     """
+    ship(items.sparkSession)
     n = items.count()
     groups = max(1, -(-n // group_items))
     kind = items.schema[id_col].dataType.simpleString()

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosslake.functions.common import Scratch
+from crosslake.functions.common import Scratch, ship
 
 PIECE_BYTES = 1 << 20
 GROUP_CONTEXTS = 4096  # contexts of one window that one task compares in memory; more are compared by a shuffle
@@ -230,6 +230,7 @@ class SharedSpans:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, span: int = 200) -> None:
         if span < 2:
             raise ValueError("span must be at least 2")
+        ship(docs.sparkSession)
         self.docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
         self.span, self.scratch = span, Scratch(docs.sparkSession, "spans")
         long = self.docs.where(F.length("text") >= span)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosslake.functions.common import ship
+
 TOKENIZER_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the split pattern that belongs to this public vocabulary
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,6 +29,7 @@ def encoder(path: str, pattern: str):  # noqa: ANN201
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER_FILE, pattern: str = SPLIT_PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns of ``keep``, and n_tokens: the whole text's size. Null and empty texts have 0 tokens."""
+    ship(df.sparkSession)
     out = df.select(id_col, *keep).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

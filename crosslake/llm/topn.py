@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosslake.functions.common import ship
+
 RUN_ROWS = 200_000
 
 
@@ -126,10 +128,16 @@ def merge_runs(runs: list[pa.Table], n: int, order: list[tuple[str, str]]) -> pa
     return out.append_column("rank", pa.array(ranks, pa.int32()))
 
 
+def _rankable(df: DataFrame, score: Column) -> Column:
+    """NaN has no rank; it counts as null."""
+    kind = df.select(score.alias("s")).schema["s"].dataType
+    return F.when(~F.isnan(score), score) if isinstance(kind, (T.DoubleType, T.FloatType)) else score
+
+
 def top_n(df: DataFrame, group: Column, n: int, score: Column, ties: list[Column], keep: dict[str, Column], buckets: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
     """The n rows of each group with the greatest score: group_key, rank (from 1), score and the columns of ``keep``.
 
-    Ties go to the smaller values of ``ties``, in order; a null score or tie ranks last.
+    Ties go to the smaller values of ``ties``, in order; a null score or tie ranks last, NaN like null.
     Rows equal in group, score and all ties are copies and count once. Rows with a null
     group are left out. The score must be numeric; ties may be of any ordered type. The
     result is the same however the rows are partitioned. A bucket is merged in memory; it
@@ -137,9 +145,10 @@ def top_n(df: DataFrame, group: Column, n: int, score: Column, ties: list[Column
     for each shuffle partition) divides that.
     """
     spark = df.sparkSession
+    ship(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie_names = [f"tie{i}" for i in range(len(ties))]
-    flat = df.select(group.cast("string").alias("group_key"), score.alias("score"), *[t.alias(c) for t, c in zip(ties, tie_names)], *[c.alias(k) for k, c in keep.items()]).where("group_key is not null")
+    flat = df.select(group.cast("string").alias("group_key"), _rankable(df, score).alias("score"), *[t.alias(c) for t, c in zip(ties, tie_names)], *[c.alias(k) for k, c in keep.items()]).where("group_key is not null")
     flat = flat.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int"))
     order = [("group_key", "ascending"), ("score", "descending"), *[(c, "ascending") for c in tie_names]]
     keys = [c for c, _ in order]

@@ -305,6 +305,11 @@ def test_window_hashes_match_equal_windows():
         assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
 
 
+def test_top_n_nan(spark):
+    df = spark.createDataFrame([("g", float("nan"), "a"), ("g", 1.5, "b"), ("g", None, "c"), ("g", -2.0, "d")], "g string, s double, id string")
+    assert [r.id for r in top_n(df, F.col("g"), 4, F.col("s"), [F.col("id")], {"id": F.col("id")}).orderBy("rank").collect()] == ["b", "d", "a", "c"]
+
+
 def test_time_of_ties(spark):
     df = spark.createDataFrame([("g", 1, dt.datetime(2025, 1, 2), "a"), ("g", 1, dt.datetime(2025, 1, 1), "b")], "g string, s int, at timestamp_ntz, id string")
     assert top_n(df, F.col("g"), 1, F.col("s"), [F.col("at"), F.col("id")], {"id": F.col("id")}).first().id == "b"
