@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to all executors, once for each context; operators with code of their own on the executors call it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_crosslake_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        if package.is_dir():  # else it came in an archive, as on an executor
+            sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+        sc._crosslake_shipped = True
+
+
 def same_id(c: Column | str) -> Column:
     """The form in which two ids are equal: blanks around them trimmed, lower case."""
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
@@ -34,6 +47,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "crosslake-" + spark.sparkContext.applicationId)
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jsc.hadoopConfiguration() if jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """The written tables of this program go with it; until then results may still read them."""
+    for spark, root in _roots:
+        try:
+            _delete(spark, root)
+        except Exception:  # noqa: BLE001 - the JVM may be gone
+            return
+
+
 class Scratch:
     """Written tables that cut lineage; each is read back from the shared folder.
 
@@ -44,6 +76,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
         self._paths: dict[int, str] = {}
+        _roots.append((spark, self.root))
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -56,8 +89,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of this scratch that no later step reads."""
         for df in tables:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _delete(self.spark, self._paths.pop(id(df)))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from crosslake.functions.common import ship
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _DATE_FORMATS = {*range(14, 23), *range(45, 48)}  # fixed value: built-in number formats that show dates or times
@@ -122,4 +124,5 @@ class ExcelSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ExcelSource)

@@ -252,6 +252,8 @@ def parse_url(spark: SparkSession, url: str, auth: dict | None = None, headers:
 
     ``folder`` is where the fetched bytes are kept for the executors; on a cluster it must be shared.
     """
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Name a folder that all executors share")
     if not url.startswith(("http://", "https://")):
         raise ValueError("Only http and https URLs are supported")
     data, content = fetch(url, (headers or {}) | auth_headers(auth))

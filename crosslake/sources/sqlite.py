@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from crosslake.functions.common import ship
 from crosslake.model import ColumnInfo, TableInfo
 
 BATCH = 5_000
@@ -116,4 +117,5 @@ class SqliteSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(SqliteSource)

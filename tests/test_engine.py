@@ -337,6 +337,20 @@ def test_registry_scoping(spark):
     assert r.list() == []
 
 
+def test_ship_and_scratch(spark):
+    from crosslake.functions.common import Scratch, ship
+
+    ship(spark)
+    ship(spark)
+    assert sum("crosslake" in f for f in spark.sparkContext.listFiles) == 1
+    s = Scratch(spark, "t")
+    a, b = s.write(spark.range(5).toDF("id")), s.write(spark.range(3).toDF("id"))
+    s.drop(a)
+    assert b.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        a.count()
+
+
 def test_clock_is_injectable(spark, registry):
     e = QueryEngine(spark, registry, clock=lambda: dt.datetime(2025, 1, 1))
     e.execute("SELECT 1 AS x")
