@@ -80,7 +80,7 @@ def _definition_parts(spark: SparkSession, d: str, s: Scratch) -> DataFrame:
     versions = pipelines(spark, d, "definition").select(who.alias("who"), "definition")
     got = flatten_nested(versions, "who", "definition", tables=("steps[]", "edges[]"))
     who = F.split("root_id", _SEP)
-    return s.write(got.select(who[0].alias("pipeline_id"), F.try_to_timestamp(F.get(who, F.lit(1))).cast("timestamp_ntz").alias("at"), F.col("table_path").alias("part"), *[F.col("fields")[c].alias(c) for c in ("id", "source", "target")]))
+    return s.write(got.select(who[0].alias("pipeline_id"), F.get(who, F.lit(1)).try_cast("timestamp_ntz").alias("at"), F.col("table_path").alias("part"), *[F.col("fields")[c].alias(c) for c in ("id", "source", "target")]))
 
 
 def _faulty(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _faulty(spark: SparkSession, d: str) -> DataFrame:
     who, to = F.split("root_id", _SEP), F.col("fields")["connectionId"]
     cells = cells.where(F.trim(to) != "").select(
         F.lit("notebooks").alias("ref_table"), who[0].alias("row_id"), F.col("fields")["id"].alias("item_id"),
-        F.try_to_timestamp(F.get(who, F.lit(1))).cast("timestamp_ntz").alias("at"), *key_of(F.lit("connections"), same_id(to)),
+        F.get(who, F.lit(1)).try_cast("timestamp_ntz").alias("at"), *key_of(F.lit("connections"), same_id(to)),
     )
     edges = latest(table(spark, d, "lineage_edges").select("id", "source", "created_at"), "id", F.col("created_at").asc_nulls_last())
     edges = edges.where(F.trim("source") != "").select(
