@@ -81,7 +81,7 @@ def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None) -> tu
     The report has source, target_share, actual_share (of all chosen tokens, repeats
     included), tokens, chosen_tokens, epochs and max_repeats.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("id", "source", "n_tokens", "key")
     rows = mix_targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.max_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("t")).where("source is not null").select("source", "t.*").limit(MOST_TARGETS + 1).collect()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"over {MOST_TARGETS} targets")

@@ -51,7 +51,7 @@ def _top(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "query_history").where(ok & F.col("id").isNotNull())
     slow = top_n(runs, F.concat(same_id("organization_id"), F.lit(" "), _month("executed_at")), TOP, F.col("execution_time_ms"), [F.col("executed_at"), same_id("id")], {"item_id": F.col("id")})
     users = table(spark, d, "users").where("id is not null").groupBy(same_id("id").alias("user")).agg(F.min(same_id("organization_id")).alias("org"))
-    shares = table(spark, d, "dataset_shares").where("active and id is not null").withColumn("user", same_id("created_by")).join(users, "user")
+    shares = table(spark, d, "dataset_shares").where("active and id is not null").select("id", "created_at", "access_count", same_id("created_by").alias("user")).join(users, "user")
     read = top_n(shares, F.concat("org", F.lit(" "), _month("created_at")), TOP, F.col("access_count"), [same_id("id")], {"item_id": F.col("id")})
     return slow.withColumn("item_table", F.lit("query_history")).unionByName(read.withColumn("item_table", F.lit("dataset_shares")))
 

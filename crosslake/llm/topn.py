@@ -148,6 +148,8 @@ def top_n(df: DataFrame, group: Column, n: int, score: Column, ties: list[Column
     ship(spark)
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie_names = [f"tie{i}" for i in range(len(ties))]
+    if taken := {"group_key", "score", "bucket", "rank", *tie_names} & set(keep):
+        raise ValueError(f"Names of the result itself: {', '.join(sorted(taken))}")
     flat = df.select(group.cast("string").alias("group_key"), _rankable(df, score).alias("score"), *[t.alias(c) for t, c in zip(ties, tie_names)], *[c.alias(k) for k, c in keep.items()]).where("group_key is not null")
     flat = flat.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int"))
     order = [("group_key", "ascending"), ("score", "descending"), *[(c, "ascending") for c in tie_names]]

@@ -186,7 +186,7 @@ TARGETS = [("A", 0.5, 1), ("b", 0.2, 3), ("b-c", 0.2, 2), ("ghost", 0.1, 4)]
 
 @pytest.mark.parametrize("total", [None, 0, 1, 5000, 10**9])
 def test_mix(spark, total):
-    docs = docs_of(spark, 3000).cache()
+    docs = docs_of(spark, 3000).withColumns({"rest": F.lit("clash"), "epochs": F.lit("clash"), "b1": F.lit("clash"), "uses": F.lit("clash")}).cache()
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     chosen, report = mix(docs, targets, total)
     all_docs = defaultdict(list)
@@ -305,6 +305,12 @@ def test_window_hashes_match_equal_windows():
         assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
 
 
+def test_top_n_names(spark):
+    df = spark.createDataFrame([("g", 1, "a")], "g string, s int, id string")
+    with pytest.raises(ValueError):
+        top_n(df, F.col("g"), 1, F.col("s"), [F.col("id")], {"score": F.col("id")})
+
+
 def test_top_n_nan(spark):
     df = spark.createDataFrame([("g", float("nan"), "a"), ("g", 1.5, "b"), ("g", None, "c"), ("g", -2.0, "d")], "g string, s double, id string")
     assert [r.id for r in top_n(df, F.col("g"), 4, F.col("s"), [F.col("id")], {"id": F.col("id")}).orderBy("rank").collect()] == ["b", "d", "a", "c"]
