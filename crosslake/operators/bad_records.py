@@ -63,13 +63,16 @@ def row_patterns(columns: list[tuple[str, str, bool]], sep: str) -> dict[str, st
 
 
 def schemas_of(upload_schemas: DataFrame) -> dict[str, list[tuple[str, str, bool]]]:
-    """kind: its columns (name, type, required) by position. Schemas are few; more than MOST_SCHEMA_COLUMNS is an error."""
+    """kind: its columns (name, type, required) by position. Schemas are few; more than MOST_SCHEMA_COLUMNS is an error.
+
+    Rows without kind or position describe no column; an unknown type is text.
+    """
     rows = upload_schemas.select(same_id("schema_kind").alias("k"), "position", "column_name", F.lower(F.trim("data_type")).alias("t"), F.coalesce("required", F.lit(False)).alias("r")).dropDuplicates(["k", "position"]).limit(MOST_SCHEMA_COLUMNS + 1).collect()
     if len(rows) > MOST_SCHEMA_COLUMNS:
         raise ValueError(f"over {MOST_SCHEMA_COLUMNS} columns of schemas")
     out: dict[str, list[tuple[str, str, bool]]] = {}
-    for r in sorted((r for r in rows if r.k is not None), key=lambda r: (r.k, r.position)):
-        out.setdefault(r.k, []).append((r.column_name, r.t if r.t in VALUES else "text", r.r))
+    for r in sorted((r for r in rows if r.k is not None and r.position is not None), key=lambda r: (r.k, r.position)):
+        out.setdefault(r.k, []).append((r.column_name or f"column_{r.position}", r.t if r.t in VALUES else "text", r.r))
     return out
 
 
@@ -132,12 +135,12 @@ def sound_records(files: DataFrame, upload_schemas: DataFrame, kind: str) -> Dat
 
     Quotes and surrounding blanks are taken off; empty values are null. An integer or
     decimal beyond the loaded type is null. A schema column named file_id or line_no gets
-    a leading underscore.
+    a leading underscore. A kind without schema has no sound records.
     """
     kind = kind.strip().lower()
     schemas = schemas_of(upload_schemas)
     if kind not in schemas:
-        raise ValueError(f"no schema for {kind!r}")
+        return files.select("file_id", F.lit(0).alias("line_no")).limit(0)
     good = judge(file_records(files).where(F.col("kind") == kind), {kind: schemas[kind]}).where("reason is null")
     parts: Column = F.when(F.lit(False), F.array(F.lit("")))
     for sep in SEPARATORS:

@@ -22,6 +22,12 @@ NULL_RATE_POINTS, DISTINCT_FLOOR, DISTINCT_POINTS, PATTERN_PERCENT = 8.0, 90.0,
 _NUMBERS = ("integer", "int", "bigint", "smallint", "numeric", "decimal", "real", "double", "double precision", "float")
 
 
+STATE = (
+    "table_name string, load_no int, n bigint, column_name string, nulls bigint, low string, high string, total double, outside bigint, mismatches bigint, "
+    "under bigint, under_max double, under_min double, over bigint, over_max double, over_min double, distinct binary"
+)
+
+
 @dataclass(frozen=True)
 class Agreed:
     """One row of the agreed profile."""
@@ -38,18 +44,23 @@ class Agreed:
 
 
 def agreed_profiles(table_profiles: DataFrame) -> list[Agreed]:
-    """The agreed profile's rows: one for each column of each table, so few; more than MOST_PROFILED_COLUMNS is an error."""
+    """The agreed profile's rows: one for each column of each table, so few; more than MOST_PROFILED_COLUMNS is an error.
+
+    Rows without table or column name nothing; a missing type is text, and a limit that is
+    no number or time limits nothing.
+    """
     names = list(Agreed.__dataclass_fields__)
     rows = table_profiles.select(*names).dropDuplicates(["table_name", "column_name"]).limit(MOST_PROFILED_COLUMNS + 1).collect()
     if len(rows) > MOST_PROFILED_COLUMNS:
         raise ValueError(f"over {MOST_PROFILED_COLUMNS} profiled columns")
-    return [Agreed(**r.asDict()) for r in sorted(rows, key=lambda r: (r.table_name, r.column_name))]
+    named = [r.asDict() | {"data_type": (r.data_type or "text").lower()} for r in rows if r.table_name is not None and r.column_name is not None]
+    return [Agreed(**r) for r in sorted(named, key=lambda r: (r["table_name"], r["column_name"]))]
 
 
 def _limit(text: str, data_type: str) -> Column:
     if data_type.startswith("timestamp") or data_type == "date":
-        return F.lit(text.rstrip("Zz").replace("T", " ")).cast("timestamp_ntz")
-    return F.lit(text).cast("double")
+        return F.lit(text.rstrip("Zz").replace("T", " ")).try_cast("timestamp_ntz")
+    return F.lit(text).try_cast("double")
 
 
 def column_states(df: DataFrame, load_col: str, agreed: list[Agreed], sketches: bool = True) -> DataFrame:
@@ -61,6 +72,8 @@ def column_states(df: DataFrame, load_col: str, agreed: list[Agreed], sketches:
     Agreed columns that the table lacks count as wholly null. A null load number is a load
     of its own.
     """
+    if not agreed:
+        return df.sparkSession.createDataFrame([], STATE)
     have = {c.lower(): c for c in df.columns}
     aggs, packed = [F.count(F.lit(1)).alias("n")], []
     for i, a in enumerate(agreed):
@@ -95,7 +108,7 @@ def column_states(df: DataFrame, load_col: str, agreed: list[Agreed], sketches:
         aggs += [x.alias(f"{k}_{i}") for k, x in states.items()]
         fields = [F.lit(a.column_name).alias("column_name"), *[F.col(f"{k}_{i}").alias(k) for k in states if k != "distinct"]]
         packed.append(F.struct(*fields, (F.col(f"distinct_{i}") if "distinct" in states else F.lit(None).cast("binary")).alias("distinct")))
-    name = agreed[0].table_name if agreed else ""
+    name = agreed[0].table_name
     wide = df.groupBy(F.col(load_col).alias("load_no")).agg(*aggs)
     return wide.select(F.lit(name).alias("table_name"), "load_no", "n", F.explode(F.array(*packed)).alias("s")).select("table_name", "load_no", "n", "s.*")
 

@@ -49,8 +49,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     met = runs.unionByName(asked).withColumn("run", F.last("run", ignorenulls=True).over(w)).where("is_ref = 1")
     there = F.coalesce(F.col("num") <= F.col("run.end"), F.lit(False))
     clear = there & F.coalesce(F.col("run.last_created") <= F.col("lo"), F.lit(True)) & F.coalesce(F.col("run.first_deleted") > F.col("hi"), F.lit(True))
-    doubt = met.where(~clear).select("space", "num", there.alias("there"))
-    single = parents.where("created_at is not null or deleted_at is not null").groupBy("space", "num").agg(F.min("created_at").alias("c"), F.min("deleted_at").alias("d"))
+    doubt = met.where(~clear).select("space", "num", there.alias("__there"))
+    single = parents.where("created_at is not null or deleted_at is not null").groupBy("space", "num").agg(F.min("created_at").alias("__c"), F.min("deleted_at").alias("__d"))
     faulty = doubt.join(single, ["space", "num"], "left")
-    state = F.when(~F.col("there"), "missing").when(F.col("c") > F.col("at"), "late").when(F.col("d") <= F.col("at"), "deleted")
-    return refs.join(faulty, ["space", "num"]).withColumn("state", state).where("state is not null").drop("space", "num", "there", "c", "d")
+    state = F.when(~F.col("__there"), "missing").when(F.col("__c") > F.col("at"), "late").when(F.col("__d") <= F.col("at"), "deleted")
+    return refs.join(faulty, ["space", "num"]).withColumn("state", state).where("state is not null").drop("space", "num", "__there", "__c", "__d")

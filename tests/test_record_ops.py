@@ -143,6 +143,9 @@ def test_failing_records(spark):
     assert sound[6, 2].name == "café"
     assert failing_records(files_of(spark, [b"a;b\n1;2"], kind="other"), schema).first().reason == "unknown_schema"
     assert failing_records(files_of(spark, [None]).limit(0), schema).count() == 0
+    assert sound_records(files_of(spark, bodies), schema, "other").columns == ["file_id", "line_no"] and sound_records(files_of(spark, bodies), schema.limit(0), "k").count() == 0
+    odd = spark.createDataFrame([("k", None, "x", "text", True), ("k", 0, None, None, None), (None, 1, "y", "date", True)], SCHEMA_COLUMNS)
+    assert failing_records(files_of(spark, [b"seq;b\n1;2\n"]), odd).first().reason == "column_count"
 
 
 @needs_data
@@ -161,11 +164,11 @@ def test_orphans(spark):
     r = spark.createDataFrame(refs, "row string, id string, at timestamp_ntz")
     scope = F.lit("s")
     p = p.select(*key_of(scope, F.lower(F.trim("id"))), "created_at", "deleted_at")
-    r = r.select("row", "at", F.lit(1).alias("there"), *key_of(scope, F.lower(F.trim("id"))))
-    got = sorted((x.row, x.state) for x in orphan_references(r.drop("there"), p).collect())
+    r = r.select("row", "at", F.lit(1).alias("there"), F.lit(1).alias("c"), F.lit(1).alias("d"), *key_of(scope, F.lower(F.trim("id"))))
+    got = sorted((x.row, x.state) for x in orphan_references(r, p).collect())
     assert got == sorted([("r2", "deleted"), ("r3", "late"), ("r4", "missing"), ("r5", "missing"), ("r8", "missing"), ("r10", "missing")] + [("hot", "missing")] * 50)
-    assert orphan_references(r.drop("there").limit(0), p).count() == 0
-    assert orphan_references(r.drop("there"), p.limit(0)).count() == len(refs)
+    assert orphan_references(r.limit(0), p).count() == 0
+    assert orphan_references(r, p.limit(0)).count() == len(refs)
 
 
 def test_orphans_runs(spark):
@@ -256,6 +259,9 @@ def test_departures(spark):
     assert p[77, "v"].null_percent == 100.0 and p[77, "v"].mean_value is None and p[77, "id"].distinct_count == 0
     assert control_limits(profiles(states)).count() >= 0
     assert departures(column_states(df.limit(0), "load_no", agreed), agreed, {"t": df}).count() == 0
+    assert departures(column_states(df, "load_no", []), [], {"t": df}).count() == 0 and profiles(column_states(df, "load_no", [])).count() == 0
+    vague = agreed_profiles(spark.createDataFrame([("t", "v", None, None, None, "low", "2 days", None, None), (None, "v", *[None] * 7), ("t", None, *[None] * 7)], PROFILE_COLUMNS))
+    assert len(vague) == 1 and departures(column_states(df, "load_no", vague), vague, {"t": df}).count() == 0
     assert column_states(df.drop("v"), "load_no", agreed).where("column_name = 'v' and nulls < n").count() == 0
 
 
