@@ -9,7 +9,7 @@ from crosslake.functions.common import Scratch, same_id, table
 from crosslake.llm.mixing import exponential_key, mix, source_name
 from crosslake.llm.packing import fill_report, pack
 from crosslake.llm.quantiles import merge_percentile_states, percentile_states, percentiles
-from crosslake.llm.spans import SharedSpans
+from crosslake.llm.spans import SharedSpans, shared_runs
 from crosslake.llm.tokens import token_counts
 from crosslake.llm.topn import top_n
 
@@ -123,10 +123,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The shared stretches of each document."""
+    """The stretches of each document that shared spans cover; where spans overlap or adjoin, the stretch as a whole may lie in no other document."""
     return _spans(spark, d).spans().withColumnRenamed("id", "doc_id")
 
 
+def p10_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The shared spans themselves: the longest runs of each document that lie as a whole in another one."""
+    return shared_runs(table(spark, d, "documents"), "doc_id", "text", SPAN).withColumnRenamed("id", "doc_id")
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """Of each document the share of its characters that also lies in others."""
     return _spans(spark, d).shares().withColumnRenamed("id", "doc_id")
@@ -137,7 +142,7 @@ QUERIES = {
     "p7_found": p7_found, "p7_ranked": p7_ranked,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
-    "p10_found": p10_found, "p10_spans": p10_spans, "p10_shares": p10_shares,
+    "p10_found": p10_found, "p10_spans": p10_spans, "p10_shares": p10_shares, "p10_runs": p10_runs,
 }
 
 _TOP = f"""

@@ -9,6 +9,7 @@ are shared spans. Longer spans are unions of these.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,12 +58,12 @@ def _least(h: np.ndarray, count: int) -> np.ndarray:
     return at
 
 
-def chosen_windows(codes: np.ndarray, lengths: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in it, hash) of the windows of span // 2 that are least in some stretch of ``span``."""
+def chosen_windows(codes: np.ndarray, lengths: np.ndarray, span: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position in it, hash) of the windows of ``width`` (span // 2 by default) that are least in some stretch of ``span``."""
     none = np.zeros(0, np.int64)
     if len(codes) < span:
         return none, none, none.astype(np.uint64)
-    half = span // 2
+    half = width or span // 2
     h = window_hashes(codes, half)
     at = _least(h, span - half + 1)  # for each start of a stretch
     ends = np.cumsum(lengths)
@@ -266,10 +267,7 @@ class SharedSpans:
         """The longest stretches of each text of which every character lies in a shared span: id, start, end (exclusive)."""
         at = ["h", "left", "ck"]
         cover = self.found.where("cls is null").join(self.places.select(*at, "id", "pos"), at).select("id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"))
-        w = Window.partitionBy("id").orderBy("start", "end")  # one text's own spans
-        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        cover = cover.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-        return cover.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+        return _merged(cover)
 
     def shares(self) -> DataFrame:
         """Every text with its length, its shared characters and their share (0 for empty and null texts): id, n_chars, shared_chars, share."""
@@ -277,3 +275,194 @@ class SharedSpans:
         n = F.coalesce(F.length("text"), F.lit(0))
         got = self.docs.select("id", n.alias("n_chars")).join(per, "id", "left").withColumn("shared_chars", F.coalesce("shared", F.lit(0)))
         return got.select("id", "n_chars", "shared_chars", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0).alias("share"))
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the common start of two texts."""
+    have, most = 0, min(len(a), len(b))
+    while have < most:
+        step = (most - have + 1) // 2
+        if a[have : have + step] == b[have : have + step]:
+            have += step
+        else:
+            most = have + step - 1
+    return have
+
+
+def extents(before: list[str], after: list[str], lo: list[int], hi: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(context, left, right): how far each context agrees with one of another text, only where no other agreement reaches further on both sides.
+
+    ``before`` are the texts to the left read backwards, ``after`` those to the right; each
+    context stands in the texts ``lo`` to ``hi``. Contexts are joined by falling agreement to
+    the left; within what is joined the neighbours in order of ``after`` agree furthest.
+    """
+    n = len(after)
+    alone = [lo[x] == hi[x] for x in range(n)]
+    yield from ((x, len(before[x]), len(after[x])) for x in range(n) if not alone[x])
+    if n < 2:
+        return
+    right = sorted(range(n), key=after.__getitem__)
+    rank = [0] * n
+    for i, x in enumerate(right):
+        rank[x] = i
+    left = sorted(range(n), key=before.__getitem__)
+    reach = [_common(before[left[i]], before[left[i + 1]]) for i in range(n - 1)]
+    best, points = [-1] * n, [[] for _ in range(n)]
+    owner, groups = list(range(n)), [[rank[x]] for x in left]  # by place in ``left``: the groups of joined neighbours
+
+    def group(i: int) -> int:
+        while owner[i] != i:
+            owner[i] = owner[owner[i]]
+            i = owner[i]
+        return i
+
+    def of_one(x: int, y: int) -> bool:
+        return alone[x] and alone[y] and lo[x] == lo[y]
+
+    def meet(x: int, y: int, a: int) -> None:
+        if not alone[x] or of_one(x, y):
+            return
+        r = _common(after[x], after[y])
+        if r > best[x]:
+            best[x] = r
+            if points[x] and points[x][-1][0] == a:
+                points[x].pop()
+            points[x].append((a, r))
+
+    for i in sorted(range(n - 1), key=lambda i: -reach[i]):
+        a, b = group(i), group(i + 1)
+        small, large = (a, b) if len(groups[a]) < len(groups[b]) else (b, a)
+        ranks = groups[large]
+        for k in groups[small]:
+            at, x = bisect_left(ranks, k), right[k]
+            for way in (range(at - 1, -1, -1), range(at, len(ranks))):
+                near, seek, serve = None, True, True
+                for j in way:
+                    y = right[ranks[j]]
+                    near = y if near is None else near
+                    if serve := serve and (y == near or of_one(y, near)):  # no other text lies between y and x
+                        meet(y, x, reach[i])
+                    if seek:
+                        meet(x, y, reach[i])
+                        seek = of_one(x, y)
+                    if not seek and not serve:
+                        break
+        if 8 * len(groups[small]) < len(ranks):
+            for k in groups[small]:
+                insort(ranks, k)
+        else:
+            groups[large] = sorted(ranks + groups[small])
+        groups[small], owner[small] = [], large
+    for x in range(n):
+        for a, r in points[x]:
+            yield x, a, r
+
+
+def _run_windows(parts: DataFrame, span: int, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, codes, lengths in _coded(b.column(2)):
+                text, pos, h = chosen_windows(codes, lengths, span, width)
+                at = pa.array(text + first)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32())], names=["h", "id", "off", "pos"])
+
+    return parts.select("id", "off", "text").mapInArrow(run, "h bigint, id bigint, off int, pos int")
+
+
+def _run_contexts(parts: DataFrame, hits: DataFrame, span: int, width: int) -> DataFrame:
+    """Around each repeated window the text that runs shorter than twice ``span`` can use: h, id, pos (in the whole text), left, ctx."""
+    reach = 2 * span - width
+    per_part = hits.groupBy("id", "off").agg(F.collect_list(F.struct("h", "pos")).alias("hits"))  # at most one text's own windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(0, b.num_rows, 100):
+                s = b.slice(r, 100)
+                texts, lists = s.column(2).to_pylist(), s.column(3)
+                owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                pos, off = flat.field("pos").to_numpy(), s.column(1).to_numpy()
+                for c in range(0, len(pos), 2000):
+                    o, p = owner[c : c + 2000], pos[c : c + 2000]
+                    ctx = [texts[i][max(0, q - reach) : q + width + reach] for i, q in zip(o.tolist(), p.tolist())]
+                    yield pa.RecordBatch.from_arrays([flat.field("h").slice(c, 2000), s.column(0).take(pa.array(o)), pa.array(p + off[o], pa.int32()), pa.array(np.minimum(p, reach), pa.int32()), pa.array(ctx, pa.string())], names=["h", "id", "pos", "left", "ctx"])
+
+    return parts.join(per_part, ["id", "off"]).select("id", "off", "text", "hits").mapInArrow(run, "h bigint, id bigint, pos int, left int, ctx string")
+
+
+def _runs_of(contexts: DataFrame, span: int, width: int) -> DataFrame:
+    """The runs of at least ``span`` over each repeated window, cut off where the contexts end; all contexts of one window meet in one task."""
+
+    def whole(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        same: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for id_, pos, left, ctx in rows:
+            same.setdefault((left, ctx), []).append((id_, pos))
+        ids = [[i for i, _ in m] for m in same.values()]
+        before, after = [c[:k][::-1] for k, c in same], [c[k:] for k, c in same]
+        members = list(same.values())
+        for x, a, r in extents(before, after, [min(i) for i in ids], [max(i) for i in ids]):
+            if r >= width and a + r >= span:
+                yield from ((id_, pos - a, pos + r) for id_, pos in members[x])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, rows, out = None, [], set()
+        for b in batches:
+            for key, *row in zip(*[c.to_pylist() for c in b.columns]):
+                if key != h:
+                    out.update(whole(rows))
+                    h, rows = key, []
+                    if len(out) > 50_000:
+                        yield _run_batch(out)
+                        out = set()
+                rows.append(tuple(row))
+        out.update(whole(rows))
+        yield _run_batch(out)
+
+    return contexts.select("h", "id", "pos", "left", "ctx").repartition("h").sortWithinPartitions("h").mapInArrow(run, 'id bigint, start int, end int')
+
+
+def _run_batch(runs: set[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*runs)) if runs else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["id", "start", "end"])
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Overlapping or touching stretches of each text as one."""
+    w = Window.partitionBy("id").orderBy("start", "end")  # one text's own spans
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = runs.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    return new.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+
+
+def shared_runs(docs: DataFrame, id_col: str, text_col: str, span: int = 200) -> DataFrame:
+    """The longest runs of each text that lie as a whole in another text: id, start, end (exclusive).
+
+    A run is reported where it cannot grow on either side and still lie in one other text;
+    runs may overlap. Level by level the runs of ``span`` to twice, twice to four times
+    ``span`` and so on are found exactly; only stretches under longer runs go to the next
+    level, until there are none. Nulls and short texts as in SharedSpans.
+    """
+    if span < 2:
+        raise ValueError("span must be at least 2")
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "runs")
+    long = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= span))
+    parts, level, width, found = long.select("id", F.lit(0).alias("off"), "text"), span, span // 2, []
+    while True:
+        windows = scratch.write(_run_windows(parts, level, width))
+        again = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+        runs = scratch.write(_runs_of(_run_contexts(parts, windows.join(again, "h"), level, width), level, width))
+        longer = F.col("end") - F.col("start") >= 2 * level
+        found.append(runs.where(~longer))
+        rest = runs.where(longer)
+        if rest.isEmpty():
+            break
+        cut = _merged(rest)
+        parts = scratch.write(long.join(cut, "id").select("id", F.col("start").alias("off"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text")))
+        level *= 2
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    w = Window.partitionBy("id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)  # one text's own runs
+    reach = F.max("end").over(w)
+    return every.withColumn("reach", reach).where("reach is null or end > reach").drop("reach")

@@ -49,3 +49,20 @@ def covered(docs, span=200):
                 on.update(range(i, i + span))
         out[r["doc_id"]] = len(on)
     return out
+
+
+def runs(docs, span=200):
+    """(doc_id, start, end) of the runs that lie in another text and cannot grow."""
+    out = set()
+    for r in docs:
+        t, e = r["text"] or "", 0
+        others = [o["text"] for o in docs if o["doc_id"] != r["doc_id"] and o["text"]]
+        for s in range(len(t)):
+            before = e
+            e = max(e, s)
+            near = [o for o in others if t[s:e] in o]
+            while e < len(t) and (near := [o for o in near if t[s : e + 1] in o]):
+                e += 1
+            if e > before and e - s >= span:
+                out.add((r["doc_id"], s, e))
+    return out

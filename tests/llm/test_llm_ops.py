@@ -275,6 +275,32 @@ def test_spans(spark, monkeypatch, span, contexts, chunk):
     assert shares[4].share == shares[7].share == 0.0 and shares[1].n_chars == len(docs[0][1])
 
 
+@pytest.mark.parametrize("span", [20, 31])
+def test_runs(spark, span):
+    docs = shared_docs(span)
+    a, b = "".join(chr(200 + i) for i in range(span)), "".join(chr(500 + i) for i in range(6 * span))
+    docs += [(25, "<" + a + b + ">"), (28, a + "!"), (31, "?" + b)]  # adjoining passages of different texts
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = [tuple(r) for r in S.shared_runs(df, "doc_id", "text", span).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute.runs([{"doc_id": x, "text": t} for x, t in docs], span)
+    assert {(25, 1, 1 + span), (25, 1 + span, 1 + 7 * span)} <= set(got)
+    assert (25, 1, 1 + 7 * span) in {tuple(r) for r in S.SharedSpans(df, "doc_id", "text", span).spans().collect()}
+
+
+def test_extents():
+    r = random.Random(3)
+    for _ in range(300):
+        word = lambda: "".join(r.choice("ab") for _ in range(r.randint(0, 6)))  # noqa: E731, B023
+        c = list({(word(), word()) for _ in range(r.randint(1, 9))})
+        lo = [r.randint(1, 3) for _ in c]
+        hi = [x + (r.random() < 0.1) for x in lo]
+        got = set(S.extents([x for x, _ in c], [x for _, x in c], lo, hi))
+        for x, (u, v) in enumerate(c):
+            other = [y for y in range(len(c)) if y != x and not lo[y] == hi[y] == lo[x] == hi[x]]
+            all_ = {(len(u), len(v))} if lo[x] < hi[x] else {(S._common(u, c[y][0]), S._common(v, c[y][1])) for y in other}
+            assert {(a, b) for k, a, b in got if k == x} == {p for p in all_ if not any(q != p and q[0] >= p[0] and q[1] >= p[1] for q in all_)}
+
+
 def test_spans_hot_passage(spark):
     hot = "The same passage stands in a third of all texts, word for word. " * 4
     half = hot[:120]  # shared by the rest, but too short
