@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crosslake.functions.common import Scratch, latest, same_id, table
 from crosslake.operators.bad_records import failing_records, sound_records
 from crosslake.operators.hierarchy import descendants, hierarchies
-from crosslake.operators.load_profile import agreed_profiles, column_states, control_limits, departures, profiles
+from crosslake.operators.load_profile import agreed_profiles, all_columns, column_states, control_limits, departures, profiles
 from crosslake.operators.nested import flatten_nested
 from crosslake.operators.orphans import key_of, orphan_references
 
@@ -152,11 +152,15 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 # --- 5
 
 
-def _states(spark: SparkSession, d: str, sketches: bool):  # noqa: ANN202
+def _states(spark: SparkSession, d: str, whole: bool):  # noqa: ANN202
+    """``whole``: all columns with all sketches; else the agreed ones with what their limits need."""
     agreed = agreed_profiles(table(spark, d, "table_profiles"))
     tables = {name: table(spark, d, name) for name in LOADED}
     agreed = [a for a in agreed if a.table_name in tables]
-    parts = [column_states(tables[name], "load_no", [a for a in agreed if a.table_name == name], sketches) for name in LOADED]
+    of = {name: [a for a in agreed if a.table_name == name] for name in LOADED}
+    if whole:
+        of = {name: all_columns(tables[name], "load_no", of[name], name) for name in LOADED}
+    parts = [column_states(tables[name], "load_no", of[name], whole) for name in LOADED]
     return parts[0].unionByName(parts[1]), agreed, tables
 
 

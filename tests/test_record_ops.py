@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import statistics
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from crosslake.operators.bad_records import failing_records, sound_records
 from crosslake.operators.hierarchy import descendants, hierarchies
-from crosslake.operators.load_profile import agreed_profiles, column_states, control_limits, departures, merge_states, profiles
+from crosslake.operators.load_profile import agreed_profiles, all_columns, column_states, control_limits, departures, merge_states, profiles
 from crosslake.operators.nested import flatten_nested, flatten_texts
 from crosslake.operators.orphans import key_of, orphan_references
+from crosslake.plans import record_queries
 from tests import brute
 from tests.conftest import DATA, needs_data
 
@@ -271,6 +273,36 @@ def test_control_limits(spark):
     assert [(r.load_no, r.metric) for r in control_limits(p).collect()] == [(15, "null_percent")]
 
 
+def test_profile_of_all_columns(spark):
+    data = [(f"a{i}", float(i % 7) if i % 5 else None, [i], T0, i % 3, 5 * i) for i in range(200)] + [("BAD", None, None, T0, 9, 1)]
+    df = spark.createDataFrame(data, "id string, v double, extra array<int>, at timestamp_ntz, load_no int, n int")
+    agreed = agreed_profiles(spark.createDataFrame([tuple(p.values()) for p in PROFILE], PROFILE_COLUMNS))
+    every = all_columns(df, "LOAD_NO", agreed, "t")
+    assert [a.column_name for a in every] == ["at", "id", "v", "extra", "n"]
+    states = column_states(df, "load_no", every)
+    halves = merge_states(column_states(df.where("n < 400"), "load_no", every).unionByName(column_states(df.where("n >= 400"), "load_no", every)))
+    for p in (profiles(states), profiles(halves)):
+        got = {(x.load_no, x.column_name): x for x in p.collect()}
+        for load in range(3):
+            v = [r[1] for r in data if r[4] == load and r[1] is not None]
+            assert got[load, "v"].median_value == statistics.median(v)
+            assert got[load, "n"].median_value == statistics.median(r[5] for r in data if r[4] == load)
+        assert got[9, "v"].median_value is None and got[0, "at"].median_value is None and got[0, "extra"].distinct_count == 67
+        assert got[9, "id"].pattern_percent == 100.0 and got[0, "id"].pattern_percent == 0.0 and got[9, "v"].range_percent is None
+
+
+def test_control_limits_of_all_metrics(spark):
+    rows_ = [("t", i, "c", 1.0, 50.0 if i == 12 else 1.0, 9.0 if i == 15 else 0.0, 9.0 if i == 18 else 0.0) for i in range(20)]
+    p = spark.createDataFrame(rows_, "table_name string, load_no int, column_name string, mean_value double, median_value double, range_percent double, pattern_percent double")
+    assert {(r.load_no, r.metric) for r in control_limits(p).collect()} == {(12, "median_value"), (15, "range_percent"), (18, "pattern_percent")}
+
+
+@needs_data
+def test_p5_profile_columns(spark):
+    got = {tuple(r) for r in record_queries.p5_profile(spark, DATA).select("table_name", "column_name").distinct().collect()}
+    assert got == {(t, c) for t in record_queries.LOADED for c in spark.read.parquet(f"{DATA}/{t}.parquet").columns if c != "load_no"}
+
+
 @needs_data
 def test_p5_whole(spark):
     tables = {n: rows(n) for n in ("query_history", "quality_check_runs")}
