@@ -77,11 +77,12 @@ class TransformationRun:
     execution_time_ms: int | None = None
     rows_processed: int | None = None
     error_message: str | None = None
+    truncated: bool = False  # the stored result was cut at the cap
 
 
 @dataclass
 class Transformations:
-    """Named SQL of one organization; each run writes its capped result under its id."""
+    """Named SQL of one organization; each run writes its capped result under its id and tells whether it was cut."""
 
     engine: QueryEngine
     items: dict[str, Transformation] = field(default_factory=dict)
@@ -133,8 +134,11 @@ class Transformations:
                 df: DataFrame | None = None
                 for text in (s for s in t.sql_query.split(";") if s.strip()):  # a saved notebook holds several
                     df = e.sql(text, t.connection_id)
-                e.cache_result(run.id, df.limit(min(t.max_rows or e.config.max_rows_limit, 100_000)))
-                return e.cached(run.id).count()
+                cap = min(t.max_rows or e.config.max_rows_limit, 100_000)
+                e.cache_result(run.id, df.limit(cap))
+                n = e.cached(run.id).count()
+                run.truncated = n == cap and df.limit(cap + 1).count() > cap
+                return n
 
             run.rows_processed = with_timeout(e.spark, e.config.transformation_timeout_s, work, "Transformation")
             run.status = "success"
@@ -180,6 +184,7 @@ class StepResult:
     completed_at: datetime | None = None
     error: str | None = None
     rows_processed: int | None = None
+    truncated: bool = False
 
 
 @dataclass
@@ -192,19 +197,19 @@ class PipelineRun:
 class PipelineRunner:
     """Runs definitions: phases in order, the steps of a phase at once; step types are the engine's own or added ones."""
 
-    def __init__(self, transformations: Transformations, handlers: dict[str, Callable[[dict], int | None]] | None = None) -> None:
+    def __init__(self, transformations: Transformations, handlers: dict[str, Callable[[dict], int | tuple[int | None, bool] | None]] | None = None) -> None:
         self.t = transformations
         self.handlers = {"transform": self._transform, "cross-query": self._cross, "ingest": self._ingest, "export": self._export} | (handlers or {})
         self._lock = threading.Lock()
 
-    def _transform(self, config: dict) -> int | None:
+    def _transform(self, config: dict) -> tuple[int | None, bool]:
         run = self.t.run(config["transformationId"], "pipeline")
         if run.status != "success":
             raise RuntimeError(run.error_message)
-        return run.rows_processed
+        return run.rows_processed, run.truncated
 
     def _cross(self, config: dict) -> int:
-        return self.t.engine.run_saved(config["savedCrossQueryId"]).count()
+        return self.t.engine.run_saved(config["savedCrossQueryId"], capped=False).count()
 
     def _ingest(self, config: dict) -> int:
         from crosslake.sources.staging import stage
@@ -216,7 +221,7 @@ class PipelineRunner:
 
     def _export(self, config: dict) -> int:
         e = self.t.engine
-        df = e.run_saved(config["savedCrossQueryId"]) if config.get("savedCrossQueryId") else e.sql(config["sql"], config.get("connectionId"))
+        df = e.run_saved(config["savedCrossQueryId"], capped=False) if config.get("savedCrossQueryId") else e.sql(config["sql"], config.get("connectionId"))
         df.write.mode(config.get("mode", "overwrite")).format(config.get("format", "parquet")).save(config["path"])
         return df.count()
 
@@ -224,7 +229,8 @@ class PipelineRunner:
         clock = self.t.engine.clock
         result.status, result.started_at = "running", clock()
         try:
-            result.rows_processed = self.handlers[step["type"]](step.get("config") or {})
+            got = self.handlers[step["type"]](step.get("config") or {})
+            result.rows_processed, result.truncated = got if isinstance(got, tuple) else (got, False)
             result.status = "success"
         except Exception as x:  # noqa: BLE001 - the result records it
             result.status, result.error = "failed", str(x).splitlines()[0] if str(x) else type(x).__name__

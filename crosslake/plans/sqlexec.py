@@ -170,9 +170,11 @@ class QueryEngine:
 
     # cross-source definitions
 
-    def cross_query(self, d: QueryDefinition | dict, typed_joins: bool = False) -> DataFrame:
+    def cross_query(self, d: QueryDefinition | dict, typed_joins: bool = False, capped: bool = True) -> DataFrame:
+        """The plan of a definition; the cap is for rows that a client gets, not for what is written or counted."""
         d = QueryDefinition.from_dict(d) if isinstance(d, dict) else d
-        return compile_query(d, self.registry.resolve, typed_joins).limit(self.config.cross_query_cap)
+        df = compile_query(d, self.registry.resolve, typed_joins)
+        return df.limit(self.config.cross_query_cap) if capped else df
 
     def execute_cross(self, d: QueryDefinition | dict) -> tuple[list, QueryResult]:
         started = time.time()
@@ -186,8 +188,8 @@ class QueryEngine:
         self.saved[id_] = {"id": id_, "name": name, "description": description, "query_definition": d, "generated_sql": to_sql(QueryDefinition.from_dict(d)), "organization_id": self.organization_id, "created_by": created_by, "created_at": now, "updated_at": now}
         return id_
 
-    def run_saved(self, id_: str) -> DataFrame:
+    def run_saved(self, id_: str, capped: bool = True) -> DataFrame:
         s = self.saved.get(id_)
         if s is None or s["organization_id"] != self.organization_id:
             raise KeyError(f"Saved query not found: {id_}")
-        return self.cross_query(s["query_definition"])
+        return self.cross_query(s["query_definition"], capped=capped)

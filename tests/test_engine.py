@@ -244,6 +244,17 @@ def test_pipeline(spark, registry, tmp_path):
         t.get(bad.id)
 
 
+def test_steps_are_not_capped(spark, registry, tmp_path):
+    t = Transformations(QueryEngine(spark, registry, config=EngineConfig(cross_query_cap=2, max_rows_limit=2)))
+    saved = t.engine.save_cross("x", definition())
+    cut, whole = (t.create(n, f"SELECT name FROM users WHERE id < {n}", connection_id="db1") for n in ("4", "3"))
+    step = lambda i, k, **c: {"id": i, "type": k, "config": c}
+    r = PipelineRunner(t).run({"steps": [step("x", "cross-query", savedCrossQueryId=saved), step("out", "export", savedCrossQueryId=saved, path=f"{tmp_path}/out"), step("cut", "transform", transformationId=cut.id), step("whole", "transform", transformationId=whole.id)]})
+    assert {s: (x.rows_processed, x.truncated) for s, x in r.step_results.items()} == {"x": (4, False), "out": (4, False), "cut": (2, True), "whole": (2, False)}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4 and t.engine.run_saved(saved).count() == 2
+    assert [x.truncated for x in t.run_page(cut.id)] == [True]
+
+
 def test_notebook(spark, registry):
     n = Notebook("n", "n", [{"id": "b", "type": "sql", "content": "SELECT id FROM users ", "connectionId": "db1", "order": 2}, {"id": "a", "type": "markdown", "content": "x", "order": 0}, {"id": "c", "type": "sql", "content": "SELECT 1 AS one", "order": 1}])
     e = QueryEngine(spark, registry)
