@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from crosslake.model import ERROR_RECORD, SPARK_TYPES
 from crosslake.sources import excel
 
-SAMPLE_ROWS = 100
+SAMPLE_ROWS = 100  # of previews
+STRAY_SHARE = 0.01  # of a column's values may not fit its type in an uploaded file
 MAX_URL_BYTES, URL_TIMEOUT_S = 500 * 1024 * 1024, 60
 NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 WORDS = ("true", "false", "yes", "no", "1", "0")
@@ -29,12 +30,13 @@ def as_time(c: Column) -> Column:
     return F.when(F.year(t) > 1900, t.cast("timestamp_ntz"))
 
 
-def infer_types(df: DataFrame, sample: int = SAMPLE_ROWS, json_words: bool = False) -> dict[str, str]:
-    """integer, numeric, boolean, timestamp or text for each text column, in one pass over its first ``sample`` rows.
+def infer_types(df: DataFrame, sample: int | None = None, json_words: bool = False, strays: float = 0.0) -> dict[str, str]:
+    """integer, numeric, boolean, timestamp or text for each text column, in one pass over all rows (or any ``sample`` of them).
 
     Empty cells do not count; a column without values is text. Numbers are tested before
-    booleans, so a column of ones and zeros is an integer. ``json_words`` takes only true
-    and false as booleans.
+    booleans, so a column of ones and zeros is an integer; one number with a fraction makes
+    a column numeric. ``json_words`` takes only true and false as booleans. A share of
+    ``strays`` of the values need not fit.
     """
     if not df.columns:
         return {}
@@ -43,19 +45,20 @@ def infer_types(df: DataFrame, sample: int = SAMPLE_ROWS, json_words: bool = Fal
     for i, c in enumerate(df.columns):
         v = F.col(f"`{c}`").cast("string")
         v = F.when(v != "", v)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v.rlike(NUMBER)).alias(f"num{i}"), F.min(F.coalesce(v.try_cast("double") == F.floor(v.try_cast("double")), F.lit(False))).alias(f"int{i}")]
-        # cells that are null must not fail the tests
-        aggs[-1] = F.min(F.when(v.isNotNull(), F.coalesce(v.try_cast("double") == F.rint(v.try_cast("double")), F.lit(False)))).alias(f"int{i}")
-        aggs += [F.min(F.lower(v).isin(*words)).alias(f"bool{i}"), F.min(F.when(v.isNotNull(), as_time(v).isNotNull())).alias(f"time{i}")]
-    r = df.limit(sample).agg(*aggs).first()
+        whole = F.coalesce(v.try_cast("double") == F.rint(v.try_cast("double")), F.lit(False))
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(NUMBER)).alias(f"num{i}"), F.count_if(v.rlike(NUMBER) & ~whole).alias(f"fraction{i}")]
+        aggs += [F.count_if(F.lower(v).isin(*words)).alias(f"bool{i}"), F.count_if(as_time(v).isNotNull()).alias(f"time{i}")]
+    r = (df if sample is None else df.limit(sample)).agg(*aggs).first()
     out = {}
     for i, c in enumerate(df.columns):
-        if not r[f"n{i}"]:
+        n = r[f"n{i}"]
+        least = n - int(n * strays)
+        if not n:
             out[c] = "text"
-        elif r[f"num{i}"]:
-            out[c] = "integer" if r[f"int{i}"] else "numeric"
+        elif r[f"num{i}"] >= least:
+            out[c] = "numeric" if r[f"fraction{i}"] else "integer"
         else:
-            out[c] = "boolean" if r[f"bool{i}"] else "timestamp" if r[f"time{i}"] else "text"
+            out[c] = "boolean" if r[f"bool{i}"] >= least else "timestamp" if r[f"time{i}"] >= least else "text"
     return out
 
 
@@ -209,7 +212,8 @@ def parse_file(spark: SparkSession, path: str, kind: str | None = None, delimite
     kind = kind or file_kind(path)
     if kind == "json":
         rows, errors = read_json(spark, path, root_path)
-        return Parsed(rows, infer_types(rows.drop("_row"), json_words=True), errors)
+        types = infer_types(rows.drop("_row"), json_words=True, strays=STRAY_SHARE)
+        return Parsed(rows, types, errors.unionByName(error_records(rows, "_row", types).where("severity = 'error'")))
     if kind in ("parquet", "orc"):
         rows = with_row_numbers(spark.read.format(kind).load(path))
         return Parsed(rows, {}, spark.createDataFrame([], ERROR_RECORD))
@@ -224,7 +228,8 @@ def parse_file(spark: SparkSession, path: str, kind: str | None = None, delimite
         rows = rows.select("_row", *[F.trim(f"`{c}`").alias(c) for c in data])
     if skip_empty:
         rows = rows.where(F.coalesce(*[F.when(F.trim(f"`{c}`") != "", F.lit(1)) for c in data]).isNotNull())
-    return Parsed(rows, infer_types(rows.select(*[F.col(f"`{c}`") for c in data])), error_records(rows, "_row"))
+    types = infer_types(rows.select(*[F.col(f"`{c}`") for c in data]), strays=STRAY_SHARE)
+    return Parsed(rows, types, error_records(rows, "_row", types))
 
 
 def auth_headers(auth: dict | None) -> dict[str, str]:

@@ -60,7 +60,7 @@ def staged_metadata(spark: SparkSession, full_name: str, organization_id: str, j
 
 def import_parsed(p: Parsed, organization_id: str, name: str, job_id: str) -> dict:
     """Stages a parsed file: rows with an error stay out. Counters count rows, not error records."""
-    full_errors = p.errors.unionByName(error_records(p.rows, p.row_col, p.types).where("severity = 'error'")) if p.types else p.errors
+    full_errors = p.errors.unionByName(error_records(p.rows, p.row_col, p.types).where("severity = 'error'")).distinct() if p.types else p.errors  # parsing may have told of them already
     full_errors = full_errors.persist()
     try:
         bad = full_errors.where("severity = 'error'").select(F.col("row").alias(p.row_col)).distinct()

@@ -121,6 +121,24 @@ def test_staging(spark, tmp_path):
         staging.drop_staging(spark, "other.t")
 
 
+def test_types_of_all_rows(spark, tmp_path):
+    n = 150
+    late = lambda i, x, y: y if i >= 120 else x
+    lines = [f"{late(i, i, 12.5)},{late(i, i, 'code')},{'?' if i == 140 else i},{late(i, '', '2024-01-01')}" for i in range(n)]
+    p = files.parse_file(spark, put(tmp_path / "late.csv", "fraction,word,stray,time\n" + "\n".join(lines) + "\n"))
+    assert p.types == {"fraction": "numeric", "word": "text", "stray": "integer", "time": "timestamp"}
+    assert [(r.column, r.value, r.severity) for r in p.errors.where("type = 'VALIDATION_ERROR'").collect()] == [("stray", "?", "error")]
+    t = p.table()
+    assert t.where("fraction = 12.5 and word = 'code'").count() == 30 and t.where("stray is null").count() == 1
+    got = staging.import_parsed(p, "Org-1", "late.csv", "77aa-1")
+    assert (got["rows_succeeded"], got["rows_failed"]) == (149, 1) and sum(r.type == "VALIDATION_ERROR" for r in got["errors"]) == 1
+    staging.drop_staging(spark, got["table"])
+    j = files.parse_file(spark, put(tmp_path / "late.json", json.dumps([{"a": late(i, i, "x" if i == 130 else 0.5)} for i in range(n)])))
+    assert j.types == {"a": "numeric"} and [(r.row, r.value) for r in j.errors.collect()] == [(131, "x")]
+    every = spark.range(200).selectExpr("if(id = 199, 'x', cast(id as string)) a")
+    assert files.infer_types(every) == {"a": "text"} and files.infer_types(every, strays=0.01) == {"a": "integer"}
+
+
 def test_sinks(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "c", 3), (2, None, 4)], "k int, v string, n int")
     good, bad = staging.split_rejects(df, ["v"], ["k"], "n")
