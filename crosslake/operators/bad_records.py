@@ -29,6 +29,7 @@ VALUES = {
     "date": _DAY,
     "timestamp": _DAY + r"[ T](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]",
 }
+FINER = r"\.[0-9]{10}[0-9]*[1-9]"  # digits that decimal(38,10) would round off
 LOADED_AS = {"integer": "bigint", "decimal": "decimal(38,10)", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "text": "string"}
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 
@@ -131,11 +132,13 @@ def failing_records(files: DataFrame, upload_schemas: DataFrame) -> DataFrame:
 
 
 def sound_records(files: DataFrame, upload_schemas: DataFrame, kind: str) -> DataFrame:
-    """The sound records of one kind with their types: file_id, line_no and the kind's columns.
+    """The sound records of one kind with their types: file_id, line_no, the kind's columns, and unfit.
 
-    Quotes and surrounding blanks are taken off; empty values are null. An integer or
-    decimal beyond the loaded type is null. A schema column named file_id or line_no gets
-    a leading underscore. A kind without schema has no sound records.
+    Quotes and surrounding blanks are taken off; empty values are null. A value that its
+    loaded type cannot hold as a whole (an integer or decimal with too many digits) is null
+    in its column and stands as text in ``unfit``, a JSON object by column, null for records
+    that fit. A schema column named file_id, line_no or unfit gets a leading underscore. A
+    kind without schema has no sound records.
     """
     kind = kind.strip().lower()
     schemas = schemas_of(upload_schemas)
@@ -145,10 +148,18 @@ def sound_records(files: DataFrame, upload_schemas: DataFrame, kind: str) -> Dat
     parts: Column = F.when(F.lit(False), F.array(F.lit("")))
     for sep in SEPARATORS:
         parts = parts.when(F.col("sep") == sep, F.regexp_extract_all("record", F.lit(rf"(\A|{re.escape(sep)})({_any_field(sep)})"), F.lit(2)))
-    out = [F.col("file_id"), F.col("line_no")]
+    out, unfit = [F.col("file_id"), F.col("line_no")], []
     for k, (name, kind_of, _) in enumerate(schemas[kind]):
         raw = F.get("parts", F.lit(k))
         v = F.when(raw.startswith('"'), F.replace(F.expr(f"substring(get(parts, {k}), 2, length(get(parts, {k})) - 2)"), F.lit('""'), F.lit('"'))).otherwise(raw)
         v = F.nullif(F.regexp_replace(v, r"\A\s++|\s++\z", ""), F.lit(""))
-        out.append((v if kind_of == "text" else v.try_cast(LOADED_AS[kind_of])).alias(f"_{name}" if name in ("file_id", "line_no") else name))
-    return good.withColumn("parts", parts).select(*out)
+        to = f"_{name}" if name in ("file_id", "line_no", "unfit") else name
+        if kind_of != "text":
+            fits = v.try_cast(LOADED_AS[kind_of])
+            if kind_of == "decimal":
+                fits = F.when(~v.rlike(FINER), fits)
+            unfit.append(F.when(v.isNotNull() & fits.isNull(), v).alias(to))
+            v = fits
+        out.append(v.alias(to))
+    apart = F.nullif(F.to_json(F.struct(*unfit)), F.lit("{}")) if unfit else F.lit(None).cast("string")
+    return good.withColumn("parts", parts).select(*out, apart.alias("unfit"))

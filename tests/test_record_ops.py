@@ -150,6 +150,15 @@ def test_failing_records(spark):
     assert failing_records(files_of(spark, [b"seq;b\n1;2\n"]), odd).first().reason == "column_count"
 
 
+def test_records_that_no_type_holds(spark):
+    schema = spark.createDataFrame([("k", 0, "seq", "integer", True), ("k", 1, "d", "decimal", False), ("k", 2, "unfit", "text", False)], SCHEMA_COLUMNS)
+    big, fine, wide = "12345678901234567890", "0.12345678901", "9" * 29 + ".5"
+    lines = [f"{big};1.5;a", f"2;{fine};b", f"3;{wide};c", "4;1.123456789000;d", "5;;e", f"{big};{fine};f"]
+    got = {r._unfit: r for r in sound_records(files_of(spark, [("seq;d;unfit\n" + "\n".join(lines)).encode()]), schema, "k").collect()}
+    assert {k: json.loads(r.unfit) if r.unfit else None for k, r in got.items()} == {"a": {"seq": big}, "b": {"d": fine}, "c": {"d": wide}, "d": None, "e": None, "f": {"seq": big, "d": fine}}
+    assert got["a"].seq is None and float(got["a"].d) == 1.5 and got["b"].d is None and got["e"].d is None and float(got["d"].d) == 1.123456789
+
+
 @needs_data
 def test_p2_whole(spark):
     assert found(spark, "p2_found") == sorted(brute.p2(rows("uploaded_files"), rows("upload_schemas"))[0], key=str)
