@@ -198,9 +198,10 @@ def departures(states: DataFrame, agreed: list[Agreed], tables: dict[str, DataFr
     out = judged.select("table_name", "load_no", "column_name", F.explode("issues").alias("issue"))
     near_limit = {(r.table_name, r.column_name) for r in judged.where("limit is not null").select("table_name", "column_name").distinct().collect()}  # profiled columns
     for a in agreed:
-        if (a.table_name, a.column_name) in near_limit and (a.distinct_percent or 0) >= DISTINCT_FLOOR and a.column_name in tables[a.table_name].columns:
+        have = {c.lower(): c for c in tables[a.table_name].columns}
+        if (a.table_name, a.column_name) in near_limit and (a.distinct_percent or 0) >= DISTINCT_FLOOR and a.column_name.lower() in have:
             unsure = judged.where((F.col("table_name") == a.table_name) & (F.col("column_name") == a.column_name) & F.col("limit").isNotNull()).select(F.col("load_no").alias("l"), "limit")
-            t = tables[a.table_name].select(F.col(load_col).alias("load_no"), F.col(f"`{a.column_name}`").alias("x"))
+            t = tables[a.table_name].select(F.col(load_col).alias("load_no"), F.col(f"`{have[a.column_name.lower()]}`").alias("x"))
             exact = t.join(unsure, F.expr("load_no <=> l")).groupBy("load_no").agg(F.countDistinct("x").alias("distinct"), F.first("limit").alias("limit")).where("distinct < limit")
             out = out.unionByName(exact.select(F.lit(a.table_name).alias("table_name"), "load_no", F.lit(a.column_name).alias("column_name"), F.lit("distinct").alias("issue")))
     return out

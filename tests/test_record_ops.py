@@ -282,6 +282,12 @@ def test_control_limits(spark):
     assert [(r.load_no, r.metric) for r in control_limits(p).collect()] == [(15, "null_percent")]
 
 
+def test_near_limit_in_another_case(spark):
+    df = spark.range(1000).selectExpr("concat('a', least(id, 879)) id", "1 load_no")  # 88 % distinct, limit 90 %
+    agreed = agreed_profiles(spark.createDataFrame([("t", "ID", "text", 0.0, 100.0, None, None, None, None)], PROFILE_COLUMNS))
+    assert [tuple(r) for r in departures(column_states(df, "load_no", agreed), agreed, {"t": df}).collect()] == [("t", 1, "ID", "distinct")]
+
+
 def test_profile_of_all_columns(spark):
     data = [(f"a{i}", float(i % 7) if i % 5 else None, [i], T0, i % 3, 5 * i) for i in range(200)] + [("BAD", None, None, T0, 9, 1)]
     df = spark.createDataFrame(data, "id string, v double, extra array<int>, at timestamp_ntz, load_no int, n int")
