@@ -42,11 +42,12 @@ class TableInfo:
 
 @dataclass
 class QueryResult:
-    """A result that is still distributed; ``row_count`` is the full count where the caller asked for it."""
+    """A result that is still distributed; ``row_count`` is the full count where the caller asked for it, ``truncated`` tells that a cap left rows out."""
 
     df: DataFrame
     row_count: int | None = None
     elapsed_ms: int | None = None
+    truncated: bool = False
 
     @property
     def fields(self) -> list[dict[str, str]]:

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crosslake.functions.scalars import round_half_up
+from crosslake.plans.binding import bind, frames_resolver
 from crosslake.plans.guards import UnsafeSql, is_safe_query
 
 CHECK_TYPES = ("not_null", "unique", "min_rows", "max_rows", "freshness", "custom_sql")
@@ -125,12 +126,12 @@ def check_suite(df: DataFrame, checks: list[QualityCheck], now: Column) -> DataF
     return one.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
 
 
-def custom_check(spark, check: QualityCheck, sql: str | None = None) -> DataFrame:  # noqa: ANN001
-    """A custom check: the first cell of the first row of its SQL, as a number, against the threshold."""
+def custom_check(spark: SparkSession, check: QualityCheck, tables: dict[str, DataFrame], sql: str | None = None) -> DataFrame:
+    """A custom check: the first cell of the first row of its SQL, as a number, against the threshold. The SQL reads ``tables`` only."""
     text = sql or check.config["sql"]
     if not is_safe_query(text):
         raise UnsafeSql("SQL query contains potentially dangerous patterns or commands")
-    got = spark.sql(text.strip().rstrip(";")).limit(1)
+    got = bind(spark, text, frames_resolver(tables)).limit(1)
     v = got.select(F.col(f"`{got.columns[0]}`").try_cast("double").alias("v")).agg(F.first("v").alias("v"))
     return v.select(F.lit(check.id).alias("check_id"), F.when(check.passed(F.col("v")), "pass").otherwise("fail").alias("status"), F.col("v").alias("actual_value"), F.lit(check.expected()).alias("expected_desc"))
 
@@ -152,7 +153,7 @@ class CheckRunner:
         for group in ([fused] if fused else []) + [[c] for c in checks if c not in fused]:
             began = time.time()
             try:
-                got = check_suite(df, group, self.now) if group[0].type != "custom_sql" else custom_check(df.sparkSession, group[0])
+                got = check_suite(df, group, self.now) if group[0].type != "custom_sql" else custom_check(df.sparkSession, group[0], self.tables)
                 rows = [r.asDict() | {"error_message": None} for r in got.collect()]  # one row for each check
             except Exception as e:  # noqa: BLE001 - the run records it
                 rows = [{"check_id": c.id, "status": "error", "actual_value": None, "expected_desc": c.expected(), "error_message": str(e).splitlines()[0]} for c in group]

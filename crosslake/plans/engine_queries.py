@@ -173,7 +173,7 @@ def _sql(name: str, spark_sql: str, sql: str | None = None) -> None:
 
         r = ConnectionRegistry(spark)
         r.add_frames("data", lambda t: table(spark, d, t))
-        return QueryEngine(spark, r).sql(spark_sql, "data", ["orders", "customer", "nation", "events", "query_history"])
+        return QueryEngine(spark, r).sql(spark_sql, "data")
 
     _case(name, sql or spark_sql)(run)
 
@@ -243,8 +243,8 @@ def _suite(spark: SparkSession, d: str) -> DataFrame:
 
 @_case("dq_custom_sql", "SELECT 'c' AS check_id, CASE WHEN count(*) > 100 THEN 'pass' ELSE 'fail' END AS status, CAST(count(*) AS DOUBLE) AS actual_value, 'result gt 100' AS expected_desc FROM orders WHERE o_orderstatus = 'P'")
 def _custom(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "orders").createOrReplaceTempView("orders")
-    return quality.custom_check(spark, quality.QualityCheck("c", "custom_sql", None, {"sql": "SELECT count(*) FROM orders WHERE o_orderstatus = 'P'", "operator": "gt", "threshold": 100}))
+    check = quality.QualityCheck("c", "custom_sql", None, {"sql": "SELECT count(*) FROM orders WHERE o_orderstatus = 'P'", "operator": "gt", "threshold": 100})
+    return quality.custom_check(spark, check, {"orders": table(spark, d, "orders")})
 
 
 # --- shaping
@@ -484,7 +484,7 @@ def _infer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_case("ing_missing_errors", """
-SELECT "row", "column", CAST(NULL AS VARCHAR) AS value, 'Missing required value' AS error, 'MISSING_VALUE' AS type, 'warning' AS severity, 'Provide a value for this field or mark it as optional' AS suggestion FROM (
+SELECT "row", "column", CAST(NULL AS VARCHAR) AS value, 'Empty cell' AS error, 'MISSING_VALUE' AS type, 'warning' AS severity, 'Fill the cell, or let the column be empty' AS suggestion FROM (
   SELECT CAST(epoch_us(executed_at) AS BIGINT) AS "row", unnest([CASE WHEN connection_id IS NULL THEN 'connection_id' END, CASE WHEN error_message IS NULL THEN 'error_message' END]) AS "column" FROM query_history) WHERE "column" IS NOT NULL""")
 def _missing(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "query_history").select(F.unix_micros(F.col("executed_at").cast("timestamp")).alias("n"), "connection_id", "error_message")

@@ -63,26 +63,26 @@ def is_safe_query(sql: object) -> bool:
 
 def check_staging_query(sql: str, schema: str) -> None:
     if _hit(tuple(rf"\b{w}\s+" for w in STAGING_WORDS), sql):
-        raise UnsafeSql("Only SELECT queries are allowed on staging data")
+        raise UnsafeSql("Staging tables can only be read")
     if schema.lower() not in sql.lower():
-        raise UnsafeSql(f"Query must reference the staging schema: {schema}")
+        raise UnsafeSql(f"The text names no table of {schema}")
 
 
 def check_share_query(sql: str) -> None:
     if not isinstance(sql, str) or not sql:
-        raise UnsafeSql("SQL query is required")
+        raise UnsafeSql("No SQL given")
     if not sql.lower().strip().startswith("select"):
-        raise UnsafeSql("Only SELECT queries are allowed")
+        raise UnsafeSql("A share takes texts that begin with SELECT")
     if _hit(SHARE_PATTERNS, sql):
-        raise UnsafeSql("Query contains dangerous patterns and has been blocked")
+        raise UnsafeSql("Refused: the text has a pattern that shares do not take")
     semicolons = sql.count(";")
     if semicolons > 1 or (semicolons == 1 and not sql.strip().endswith(";")):
-        raise UnsafeSql("Multiple statements are not allowed")
+        raise UnsafeSql("One statement at a time")
 
 
 def check_where(text: str) -> None:
     if _hit(WHERE_PATTERNS, text):
-        raise UnsafeSql("WHERE clause contains dangerous patterns")
+        raise UnsafeSql("Refused: the condition holds more than a condition")
 
 
 @dataclass
@@ -109,26 +109,26 @@ def sanitize(sql: str) -> str:
 def validate_generated(sql: str, config: EngineConfig) -> Validation:
     """The guard of generated SQL, with the organization's settings."""
     if not config.sql_validation_enabled:
-        return Validation(True, warnings=["SQL validation is disabled"])
-    errors = [f"Dangerous SQL pattern detected: {p}" for p in GENERATED_PATTERNS if re.search(p, sql, re.IGNORECASE)]
+        return Validation(True, warnings=["Not checked: the guard is switched off"])
+    errors = [f"Refused pattern: {p}" for p in GENERATED_PATTERNS if re.search(p, sql, re.IGNORECASE)]
     warnings = []
     op = operation_of(sql)
     if op is None:
-        errors.append("Unable to determine SQL operation type")
+        errors.append("Neither SELECT, INSERT, UPDATE nor DELETE")
     elif op not in config.allowed_sql_operations:
-        errors.append(f"SQL operation '{op}' is not allowed. Allowed operations: {', '.join(config.allowed_sql_operations)}")
+        errors.append(f"{op} is not among the operations taken: {', '.join(config.allowed_sql_operations)}")
     if op == "SELECT":
         m = re.search(r"\bLIMIT\s+(\d+)", sql, re.IGNORECASE)
         if not m:
-            warnings.append(f"Query does not have a LIMIT clause. Consider adding LIMIT {config.max_rows_limit} to prevent large result sets.")
+            warnings.append(f"No LIMIT: at most {config.max_rows_limit} rows come back")
         elif int(m[1]) > config.max_rows_limit:
-            warnings.append(f"LIMIT {m[1]} exceeds the maximum allowed limit of {config.max_rows_limit}. Consider reducing it.")
+            warnings.append(f"LIMIT {m[1]} is above {config.max_rows_limit}, the most rows that come back")
     if sum(bool(s.strip()) for s in sql.split(";")) > 1:
-        errors.append("Multiple SQL statements detected. Only single statements are allowed.")
+        errors.append("More than one statement")
     if re.search(r"--.*(\bOR\b|\bAND\b)", sql, re.IGNORECASE):
-        errors.append("Suspicious SQL comment pattern detected")
+        errors.append("A comment that holds AND or OR")
     if re.search(r"\bUNION\s+(ALL\s+)?SELECT\b", sql, re.IGNORECASE):
-        warnings.append("UNION query detected")
+        warnings.append("Holds a UNION")
     return Validation(not errors, errors, warnings, sanitize(sql))
 
 

@@ -18,6 +18,7 @@ from crosslake.functions.scalars import table_name_of
 from crosslake.operators.shaping import combine_cells
 from crosslake.plans import guards
 from crosslake.plans.sqlexec import QueryEngine, QueryTimeout, with_timeout
+from crosslake.sources.staging import counted_write, stage_counted
 
 STEP_TYPES = ("ingest", "transform", "cross-query", "export")
 NEEDS = {"transform": ("transformationId",), "cross-query": ("savedCrossQueryId",), "ingest": ("sourceConnectionId", "sourceTable"), "export": ("path",)}
@@ -135,8 +136,7 @@ class Transformations:
                 for text in (s for s in t.sql_query.split(";") if s.strip()):  # a saved notebook holds several
                     df = e.sql(text, t.connection_id)
                 cap = min(t.max_rows or e.config.max_rows_limit, 100_000)
-                e.cache_result(run.id, df.limit(cap))
-                n = e.cached(run.id).count()
+                n = counted_write(df.limit(cap), lambda x: e.cache_result(run.id, x))
                 run.truncated = n == cap and df.limit(cap + 1).count() > cap
                 return n
 
@@ -212,18 +212,14 @@ class PipelineRunner:
         return self.t.engine.run_saved(config["savedCrossQueryId"], capped=False).count()
 
     def _ingest(self, config: dict) -> int:
-        from crosslake.sources.staging import stage
-
         e = self.t.engine
-        df = e.registry.scan(config["sourceConnectionId"], config["sourceTable"], config.get("sourceSchema"))
-        full = stage(df, e.organization_id, config.get("targetStagingName") or table_name_of(config["sourceTable"]), config.get("jobId", "pipeline"))
-        return e.spark.table(full).count()
+        df = e.registry.scan(config["sourceConnectionId"], config["sourceTable"], config.get("sourceSchema"), organization_id=e.organization_id)
+        return stage_counted(df, e.organization_id, config.get("targetStagingName") or table_name_of(config["sourceTable"]), config.get("jobId", "pipeline"))[1]
 
     def _export(self, config: dict) -> int:
         e = self.t.engine
         df = e.run_saved(config["savedCrossQueryId"], capped=False) if config.get("savedCrossQueryId") else e.sql(config["sql"], config.get("connectionId"))
-        df.write.mode(config.get("mode", "overwrite")).format(config.get("format", "parquet")).save(config["path"])
-        return df.count()
+        return counted_write(df, lambda x: x.write.mode(config.get("mode", "overwrite")).format(config.get("format", "parquet")).save(config["path"]))
 
     def _step(self, step: dict, result: StepResult) -> None:
         clock = self.t.engine.clock

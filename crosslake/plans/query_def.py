@@ -142,17 +142,17 @@ def validate(d: QueryDefinition) -> None:
     aliases = [t.alias for t in d.tables]
     known = set(aliases)
     if not aliases:
-        raise ValueError("At least one table must be selected")
+        raise ValueError("A definition needs a table")
     if len(aliases) > MAX_TABLES:
-        raise ValueError(f"Maximum {MAX_TABLES} tables allowed per query")
+        raise ValueError(f"Over {MAX_TABLES} tables")
     if len(d.joins) > MAX_JOINS:
-        raise ValueError(f"Maximum {MAX_JOINS} joins allowed per query")
+        raise ValueError(f"Over {MAX_JOINS} joins")
     if len(aliases) > 1 and not d.joins:
-        raise ValueError("Joins are required when querying multiple tables")
+        raise ValueError("Several tables need joins")
     if not d.columns:
-        raise ValueError("At least one column must be selected")
+        raise ValueError("A definition needs a column")
     if len(known) != len(aliases):
-        raise ValueError("Table aliases must be unique")
+        raise ValueError("An alias stands for two tables")
     for j in d.joins:
         for a in (j.left_table, j.right_table):
             if a not in known:
@@ -160,7 +160,7 @@ def validate(d: QueryDefinition) -> None:
         if j.type not in JOIN_TYPES:
             raise ValueError(f"Unknown join type: {j.type}")
         if not j.conditions:
-            raise ValueError("Each join needs at least one condition")
+            raise ValueError("A join needs a condition")
         for c in j.conditions:
             if c.operator not in COMPARE:
                 raise ValueError(f"Unknown join operator: {c.operator}")

@@ -73,9 +73,9 @@ class Shares:
         if s.dataset_type == "connection":
             if not s.table_name:
                 raise ValueError("The share names no table")
-            df = self.engine.registry.read(s.dataset_id, s.table_name)
+            df = self.engine.registry.read(s.dataset_id, s.table_name, organization_id=s.organization_id)
         elif s.dataset_type == "staged":
-            df = self.engine.spark.table(s.table_name or s.dataset_id)
+            df = self.engine.staged(s.table_name or s.dataset_id)
         elif s.dataset_type == "transformation":
             done = [r for r in (self.transformations.runs if self.transformations else []) if r.transformation_id == s.dataset_id and r.status == "success"]
             if not done:

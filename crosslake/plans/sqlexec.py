@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from crosslake.functions.common import checkpointed, shared_dir
 from crosslake.model import QUERY_HISTORY, EngineConfig, QueryResult
 from crosslake.plans import guards
-from crosslake.plans.query_def import QueryDefinition, compile_query, to_sql
+from crosslake.plans.binding import bind
+from crosslake.plans.query_def import QueryDefinition, TableRef, compile_query, to_sql
+from crosslake.sources.documents import Collections, mongo_query
 from crosslake.sources.files import with_row_numbers
-from crosslake.sources.registry import ConnectionRegistry
+from crosslake.sources.registry import NATIVE, ConnectionRegistry
+from crosslake.sources.staging import staging_schema
 
 
 class QueryTimeout(TimeoutError):
@@ -111,38 +114,70 @@ class QueryEngine:
         newest = sorted(self.history, key=lambda e: e.executed_at, reverse=True)
         return newest[offset : offset + limit], len(newest)
 
-    def sql(self, text: str, connection_id: str | None = None, tables: list[str] | None = None) -> DataFrame:
-        """The plan of a guarded text; the connection's tables that it names are views of their own names."""
+    def _table(self, connection_id: str | None) -> Callable[[tuple[str, ...]], DataFrame]:
+        """Names of a text as tables of its connection; without one, as this organization's staging tables."""
+
+        def find(parts: tuple[str, ...]) -> DataFrame:
+            if len(parts) > 2:
+                raise ValueError(f"Unknown table: {'.'.join(parts)}")
+            schema = parts[0] if len(parts) == 2 else None
+            if connection_id and connection_id != "staging":
+                return self.registry.read(connection_id, parts[-1], schema, organization_id=self.organization_id)
+            own = staging_schema(self.organization_id)
+            if (schema or own).lower() != own or not self.spark.catalog.tableExists(f"`{own}`.`{parts[-1]}`"):
+                raise ValueError(f"Unknown table: {'.'.join(parts)}")
+            return self.registry.read("staging", parts[-1], own)
+
+        return find
+
+    def sql(self, text: str, connection_id: str | None = None, native: bool | None = None) -> DataFrame:
+        """The plan of a guarded text over one connection's tables, of which it can name no others.
+
+        Databases get the text as it is, in their own SQL, so that they join, aggregate and
+        limit where the data lies (``native=False`` plans it here over their tables); document
+        stores take a find or aggregate specification in JSON; everything else is planned here.
+        """
+        if connection_id and connection_id != "staging":
+            c = self.registry.get(connection_id, self.organization_id)
+            if c.type == "mongodb" or text.lstrip().startswith("{"):
+                return mongo_query(Collections(lambda name: self.registry.read(c.id, name, organization_id=self.organization_id)), text)
         if not guards.is_safe_query(text):
             raise guards.UnsafeSql("SQL query contains potentially dangerous patterns or commands")
-        if connection_id and connection_id != "staging":
-            self.registry.get(connection_id, self.organization_id)
-            for name in tables or guards.tables_in(text):
-                try:
-                    self.registry.read(connection_id, name.split(".")[-1]).createOrReplaceTempView(name.split(".")[-1])
-                except ValueError:
-                    continue  # a name of the text itself, such as a WITH table
-        return self.spark.sql(text.strip().rstrip(";"))
+        if connection_id and connection_id != "staging" and (native if native is not None else c.type in NATIVE):
+            if guards.operation_of(text) != "SELECT":
+                raise guards.UnsafeSql("Only queries can be sent to a database")
+            return self.registry.read(c.id, "", query=text.strip().rstrip(";"), organization_id=self.organization_id)
+        return bind(self.spark, text, self._table(connection_id))
 
     def execute(self, text: str, connection_id: str | None = None, cache: bool = False, cap: int | None = None, count_all: bool = False) -> tuple[list, QueryResult]:
-        """(rows up to the cap, result). The cap is part of the plan; ``count_all`` also counts what lies beyond it."""
+        """(rows up to the cap, result), which tells by ``truncated`` whether there are more.
+
+        The cap is part of the plan; ``count_all`` also counts what lies beyond it. ``sql``
+        gives the same result without a cap, for what is written or processed further.
+        """
         started, cap = time.time(), cap or self.config.max_rows_limit
         try:
             df = self.sql(text, connection_id)
-            capped = df.limit(cap)
-            rows, total = with_timeout(self.spark, self.config.query_timeout_s, lambda: (capped.collect(), df.count() if count_all else None))
+            rows, total = with_timeout(self.spark, self.config.query_timeout_s, lambda: (df.limit(cap + 1).collect(), df.count() if count_all else None))
+            rows, cut, capped = rows[:cap], len(rows) > cap, df.limit(cap)
             total = total if count_all else len(rows)
             e = self._record(connection_id, text, started, total, None)
             if cache:
                 self.cache_result(e.id, capped)
-            return rows, QueryResult(capped, total, e.execution_time_ms)
+            return rows, QueryResult(capped, total, e.execution_time_ms, cut)
         except Exception as x:
             self._record(connection_id, text, started, None, str(x).splitlines()[0])
             raise
 
+    def staged(self, name: str) -> DataFrame:
+        """A staging table of this organization."""
+        return self._table("staging")(tuple(name.split(".")))
+
     def staging(self, text: str, schema: str) -> DataFrame:
         guards.check_staging_query(text, schema)
-        return self.spark.sql(text.strip().rstrip(";")).limit(self.config.max_rows_limit)
+        if schema.lower() != staging_schema(self.organization_id):
+            raise guards.UnsafeSql(f"Not a staging schema of this organization: {schema}")
+        return bind(self.spark, text, self._table("staging")).limit(self.config.max_rows_limit)
 
     def generated(self, text: str, connection_id: str | None = None) -> tuple[DataFrame, guards.Validation]:
         """SQL that another program wrote: validated, limited, planned."""
@@ -173,14 +208,19 @@ class QueryEngine:
     def cross_query(self, d: QueryDefinition | dict, typed_joins: bool = False, capped: bool = True) -> DataFrame:
         """The plan of a definition; the cap is for rows that a client gets, not for what is written or counted."""
         d = QueryDefinition.from_dict(d) if isinstance(d, dict) else d
-        df = compile_query(d, self.registry.resolve, typed_joins)
+        df = compile_query(d, self._resolve, typed_joins)
         return df.limit(self.config.cross_query_cap) if capped else df
 
+    def _resolve(self, ref: TableRef) -> DataFrame:
+        if ref.connection_id == "staging":
+            return self._table("staging")((ref.schema, ref.table) if ref.schema else (ref.table,))
+        return self.registry.resolve(ref, self.organization_id)
+
     def execute_cross(self, d: QueryDefinition | dict) -> tuple[list, QueryResult]:
-        started = time.time()
-        df = self.cross_query(d)
-        rows = with_timeout(self.spark, self.config.cross_query_timeout_s, df.collect, "Cross query")
-        return rows, QueryResult(df, len(rows), int((time.time() - started) * 1000))
+        started, cap = time.time(), self.config.cross_query_cap
+        df = self.cross_query(d, capped=False)
+        rows = with_timeout(self.spark, self.config.cross_query_timeout_s, df.limit(cap + 1).collect, "Cross query")
+        return rows[:cap], QueryResult(df.limit(cap), min(len(rows), cap), int((time.time() - started) * 1000), len(rows) > cap)
 
     def save_cross(self, name: str, d: dict, description: str | None = None, created_by: str = "") -> str:
         id_ = uuid.uuid4().hex

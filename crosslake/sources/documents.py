@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 from operator import and_, or_
 from urllib.parse import quote
@@ -96,7 +97,7 @@ def _project(df: DataFrame, spec: dict) -> DataFrame:
     return df.select(*[F.col(c) for c in cols], *[(_field(k) if v in (1, True) else _expr(v)).alias(k) for k, v in keep.items()])
 
 
-def aggregate(df: DataFrame, pipeline: list[dict], limit: int, collections: dict[str, DataFrame] | None = None) -> DataFrame:
+def aggregate(df: DataFrame, pipeline: list[dict], limit: int, collections: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The stages in order; a pipeline without $limit gets one at its end."""
     if not any("$limit" in s for s in pipeline):
         pipeline = [*pipeline, {"$limit": limit}]
@@ -135,7 +136,28 @@ def aggregate(df: DataFrame, pipeline: list[dict], limit: int, collections: dict
     return df
 
 
-def mongo_query(collections: dict[str, DataFrame], text: str) -> DataFrame:
+class Collections(Mapping):
+    """Collections read by name when a specification asks for them."""
+
+    def __init__(self, read: Callable[[str], DataFrame]) -> None:
+        self._read, self._got = read, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._got:
+            try:
+                self._got[name] = self._read(name)
+            except ValueError as e:
+                raise KeyError(name) from e
+        return self._got[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._got)
+
+    def __len__(self) -> int:
+        return len(self._got)
+
+
+def mongo_query(collections: Mapping[str, DataFrame], text: str) -> DataFrame:
     """A JSON text {collection, filter, projection, limit} or {collection, pipeline, limit}."""
     try:
         spec = json.loads(text)

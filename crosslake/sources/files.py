@@ -92,7 +92,7 @@ def error_records(df: DataFrame, row_col: str, types: dict[str, str] | None = No
         v = F.col(f"`{f.name}`").cast("string")
         row = F.col(f"`{row_col}`").cast("bigint").alias("row")
         rec = lambda error, kind, level, tip: F.struct(row, F.lit(f.name).alias("column"), v.alias("value"), F.lit(error).alias("error"), F.lit(kind).alias("type"), F.lit(level).alias("severity"), F.lit(tip).alias("suggestion"))  # noqa: E731, B023
-        recs.append(F.when(v.isNull() | (v == ""), rec("Missing required value", "MISSING_VALUE", "warning", "Provide a value for this field or mark it as optional")))
+        recs.append(F.when(v.isNull() | (v == ""), rec("Empty cell", "MISSING_VALUE", "warning", "Fill the cell, or let the column be empty")))
         kind = (types or {}).get(f.name, "text")
         if kind != "text":
             recs.append(F.when((F.trim(v) != "") & _typed(F.col(f"`{f.name}`"), kind).isNull(), rec(f"Value is not of type {kind}", "VALIDATION_ERROR", "error", f"Provide a value of type {kind}")))

@@ -26,6 +26,8 @@ JDBC = {
 }
 PORTS = {"postgresql": 5432, "mysql": 3306, "redshift": 5439, "sqlserver": 1433, "clickhouse": 8123}
 FILE_TYPES = ("parquet", "csv", "json", "orc")
+NATIVE = (*JDBC, "sqlite", "bigquery")  # take SQL of their own
+JDBC_TASKS = 16
 MATERIALISED_LIMIT = 10_000
 
 
@@ -95,6 +97,8 @@ class ConnectionRegistry:
             except KeyError as e:
                 raise ValueError(f"Unknown table: {table}") from e
         if c.type in FILE_TYPES:
+            if not table or table.startswith(".") or any(x in table for x in "/\\:*?{}[]"):
+                raise ValueError(f"Unknown table: {table}")  # a path, not a name
             reader = self.spark.read.format(c.type)
             if c.type == "csv":
                 reader = reader.options(header=c.options.get("header", "true"), sep=c.options.get("sep", ","), escape='"')
@@ -117,16 +121,41 @@ class ConnectionRegistry:
         name = f"{schema or default}.{table}" if schema or default else table
         if c.type == "snowflake":
             name = name.upper()
-        reader = self.spark.read.format("jdbc").options(**self._jdbc(c))
-        return (reader.option("query", query) if query else reader.option("dbtable", name)).load()
-
-    def resolve(self, ref: TableRef) -> DataFrame:
+        options = self._jdbc(c)
+        if query:
+            options = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+            return self.spark.read.format("jdbc").options(**options).option("query", query).load()
+        return self.spark.read.format("jdbc").options(**self._divided(c, options, name, table, schema)).option("dbtable", name).load()
+
+    def _divided(self, c: Connection, options: dict[str, str], name: str, table: str, schema: str | None) -> dict[str, str]:
+        """Options that read a table in ranges of a numeric column, whose bounds are asked of the database.
+
+        The column is ``partitionColumn`` of the connection (for several tables ``{table}.partitionColumn``),
+        else a whole-number primary key where the catalog tells of one; a table without either is read by one task.
+        """
+        column = c.options.get(f"{table}.partitionColumn") or c.options.get("partitionColumn")
+        if {"lowerBound", "upperBound"} <= options.keys():
+            return options
+        if not column and c.type in ("postgresql", "mysql", "sqlserver"):
+            column = next((x.name for x in self.columns(c.id, table, schema) if x.is_primary_key and "int" in x.type.lower()), None)
+        options = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound")}
+        if not column:
+            return options
+        mark = "`" if c.type == "mysql" else '"'
+        names = self.spark.read.format("jdbc").options(**options).option("dbtable", name).load().columns
+        quoted = mark + next((x for x in names if x.lower() == column.lower()), column) + mark
+        low, high = self.spark.read.format("jdbc").options(**options).option("query", f"select min({quoted}) as lo, max({quoted}) as hi from {name}").load().first()
+        if low is None or low == high:
+            return options
+        return {"numPartitions": str(JDBC_TASKS)} | options | {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high)}
+
+    def resolve(self, ref: TableRef, organization_id: str | None = None) -> DataFrame:
         """A table of a query definition."""
-        return self.read(ref.connection_id, ref.table, ref.schema, ref.source_query)
+        return self.read(ref.connection_id, ref.table, ref.schema, ref.source_query, organization_id)
 
-    def scan(self, connection_id: str, table: str, schema: str | None = None, columns: list[str] | None = None, where: str | None = None, limit: int | None = None) -> DataFrame:
+    def scan(self, connection_id: str, table: str, schema: str | None = None, columns: list[str] | None = None, where: str | None = None, limit: int | None = None, organization_id: str | None = None) -> DataFrame:
         """Part of a table for an import; a raw condition passes a guard first."""
-        df = self.read(connection_id, table, schema)
+        df = self.read(connection_id, table, schema, organization_id=organization_id)
         if where:
             check_where(where)
             df = df.where(where)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
+from collections import defaultdict
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosslake.functions.scalars import table_name_of
@@ -24,22 +28,53 @@ def staging_name(file_name: str, job_id: str) -> str:
     return f"{table_name_of(file_name)}_{job_id.split('-')[0]}"
 
 
+def column_names(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
+    """Names that a table takes: odd characters as underscores; a name that is taken already, in any case, gets a number."""
+    seen, out = {t.lower() for t in taken}, []
+    for c in names:
+        base = c if re.fullmatch(r"[A-Za-z0-9_]+", c) else table_name_of(c)
+        name, n = base, 1
+        while name.lower() in seen:
+            n += 1
+            name = f"{base}_{n}"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def counted_write(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Runs ``write`` and returns the rows that it wrote, counted as they pass, not by a second run."""
+    seen = Observation(f"written-{uuid.uuid4().hex}")
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return int(seen.get["n"])
+
+
+_appends: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
 def stage(df: DataFrame, organization_id: str, name: str, job_id: str, id_col: str = "_staging_id") -> str:
-    """Appends rows to a staging table, made on the first call; the full name.
+    """Appends rows to a staging table, made on the first call; the full name."""
+    return stage_counted(df, organization_id, name, job_id, id_col)[0]
+
+
+def stage_counted(df: DataFrame, organization_id: str, name: str, job_id: str, id_col: str = "_staging_id") -> tuple[str, int]:
+    """``stage``, with the number of rows appended.
 
-    Each row gets a number that is unique in the table and grows from one append to the next.
+    Each row gets a number that is unique in the table and grows from one append to the
+    next; appends of this program to one table take turns for that.
     """
     spark = df.sparkSession
     schema, table = staging_schema(organization_id), staging_name(name, job_id)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
     full = f"{schema}.{table}"
-    base = 0
-    if spark.catalog.tableExists(full):
-        base = (spark.table(full).agg(F.max(id_col)).first()[0] or 0) + 1
-    clean = df.select(*[F.col(f"`{c}`").alias(table_name_of(c) if not re.fullmatch(r"[A-Za-z0-9_]+", c) else c) for c in df.columns])
-    numbered = clean.select((F.monotonically_increasing_id() + F.lit(base + 1)).alias(id_col), *[F.col(f"`{c}`") for c in clean.columns])
-    numbered.write.mode("append").format("parquet").saveAsTable(full)
-    return full
+    clean = df.toDF(*column_names(df.columns, (id_col,)))
+    with _appends[full]:
+        base = 0
+        if spark.catalog.tableExists(full):
+            base = (spark.table(full).agg(F.max(id_col)).first()[0] or 0) + 1
+        numbered = clean.select((F.monotonically_increasing_id() + F.lit(base + 1)).alias(id_col), "*")
+        rows = counted_write(numbered, lambda d: d.write.mode("append").format("parquet").saveAsTable(full))
+    return full, rows
 
 
 def drop_staging(spark: SparkSession, full_name: str) -> None:
@@ -65,9 +100,9 @@ def import_parsed(p: Parsed, organization_id: str, name: str, job_id: str) -> di
     try:
         bad = full_errors.where("severity = 'error'").select(F.col("row").alias(p.row_col)).distinct()
         good = p.rows.join(bad, p.row_col, "left_anti").drop(p.row_col)
-        table = stage(_typed_table(good, p.types), organization_id, name, job_id)
-        total, failed = p.rows.count(), bad.count()
-        return {"table": table, "rows_processed": total, "rows_succeeded": total - failed, "rows_failed": failed, "errors": full_errors.orderBy("row", "column").limit(MAX_ERRORS).collect(), "status": "completed"}
+        table, kept = stage_counted(_typed_table(good, p.types), organization_id, name, job_id)
+        failed = bad.count()
+        return {"table": table, "rows_processed": kept + failed, "rows_succeeded": kept, "rows_failed": failed, "errors": full_errors.orderBy("row", "column").limit(MAX_ERRORS).collect(), "status": "completed"}
     finally:
         full_errors.unpersist()
 

@@ -68,13 +68,13 @@ def test_filters_take_the_column_type(registry):
 @pytest.mark.parametrize(
     "change, message",
     [
-        ({"columns": []}, "At least one column must be selected"),
-        ({"tables": []}, "At least one table"),
-        ({"joins": []}, "Joins are required"),
-        ({"tables": [{"alias": "u", "table": "users"}] * 2}, "unique"),
-        ({"tables": [{"alias": f"t{i}", "table": "x"} for i in range(MAX_TABLES + 1)]}, "Maximum"),
+        ({"columns": []}, "needs a column"),
+        ({"tables": []}, "needs a table"),
+        ({"joins": []}, "need joins"),
+        ({"tables": [{"alias": "u", "table": "users"}] * 2}, "two tables"),
+        ({"tables": [{"alias": f"t{i}", "table": "x"} for i in range(MAX_TABLES + 1)]}, "Over"),
         ({"joins": [{"leftTable": "u", "rightTable": "x", "conditions": [{"leftColumn": "id", "rightColumn": "id"}]}]}, "Unknown table alias in join"),
-        ({"joins": [{"leftTable": "u", "rightTable": "o", "conditions": []}]}, "at least one condition"),
+        ({"joins": [{"leftTable": "u", "rightTable": "o", "conditions": []}]}, "needs a condition"),
         ({"filters": [{"tableAlias": "z", "column": "a", "operator": "="}]}, "in filter"),
         ({"filters": [{"tableAlias": "u", "column": "a", "operator": "~"}]}, "filter operator"),
         ({"groupBy": [{"tableAlias": "z", "column": "a"}]}, "in group by"),
@@ -157,8 +157,8 @@ def test_share_guard(sql, ok):
 def test_generated_guard():
     c = EngineConfig()
     v = guards.validate_generated("SELECT a FROM t", c)
-    assert v.is_valid and "LIMIT 10000" in v.warnings[0]
-    assert guards.validate_generated("WITH x AS (SELECT 1) SELECT * FROM x LIMIT 20000", c).warnings[0].startswith("LIMIT 20000 exceeds")
+    assert v.is_valid and "10000" in v.warnings[0]
+    assert guards.validate_generated("WITH x AS (SELECT 1) SELECT * FROM x LIMIT 20000", c).warnings[0].startswith("LIMIT 20000 is above")
     for bad in ("DROP TABLE t", "DELETE FROM t", "SELECT 1; SELECT 2", "MERGE x", "SELECT 1 -- OR 1=1", "SELECT 1; DELETE FROM t", "GRANT a"):
         assert not guards.validate_generated(bad, c).is_valid, bad
     assert guards.validate_generated("DROP TABLE t", EngineConfig(sql_validation_enabled=False)).is_valid
@@ -193,6 +193,74 @@ def test_execute_history_cache(spark, registry):
         QueryEngine(spark, registry, "other").run_saved(saved)
 
 
+def test_texts_see_their_own_tables(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    r = ConnectionRegistry(spark)
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    r.add_frames("c1", {"secret": frame(1), "t": frame(10), "u": frame(7)}, "org1")
+    r.add_frames("c2", {"t": frame(20, 21)}, "org2")
+    one, two = QueryEngine(spark, r, "org1"), QueryEngine(spark, r, "org2")
+    assert one.sql("SELECT x FROM secret", "c1").first().x == 1
+    for text in ("SELECT * FROM secret", "WITH secret AS (SELECT 2 AS x) SELECT * FROM (SELECT * FROM t) a, (WITH b AS (SELECT 1) SELECT * FROM b) c, gone", "SELECT * FROM (WITH secret AS (SELECT 3 AS x) SELECT * FROM secret) a, secret", "SELECT * FROM t WHERE x IN (SELECT x FROM secret)"):
+        with pytest.raises(ValueError, match="Unknown table"):
+            two.sql(text, "c2")
+    with pytest.raises(UnknownConnection):
+        two.sql("SELECT 1", "c1")
+    assert two.sql("WITH secret AS (SELECT 5 AS x) SELECT secret.x FROM secret JOIN t ON t.x > secret.x", "c2").count() == 2
+    assert one.sql("SELECT t.x + u.x AS s FROM t, u WHERE EXISTS (SELECT 1 FROM secret s WHERE s.x < t.x) AND t.x > (SELECT max(secret.x) FROM secret)", "c1").first().s == 17
+    assert one.sql("TABLE t", "c1").first().x == 10
+    lazy = [(one.sql("SELECT sum(x) AS s FROM t", "c1"), two.sql("SELECT sum(x) AS s FROM t", "c2")) for _ in range(3)]
+    with ThreadPoolExecutor(6) as pool:
+        assert list(pool.map(lambda d: d.first().s, [x for p in lazy for x in p])) == [10, 41] * 3
+        assert [x.x for x in pool.map(lambda e: e[0].sql("SELECT max(x) AS x FROM t", e[1]).first(), [(one, "c1"), (two, "c2")] * 5)] == [10, 21] * 5
+    assert not any(t.name.startswith("bound_") for t in spark.catalog.listTables())
+    for text in ("SELECT * FROM text.`/etc/hostname`", "DROP TABLE t", "INSERT INTO t SELECT 1", "SHOW TABLES", "SELECT reflect('java.lang.System', 'getenv', 'HOME')", "SELECT * FROM IDENTIFIER('t')"):
+        with pytest.raises(ValueError):
+            one.sql(text, "c1")
+    with pytest.raises(UnknownConnection):
+        two.cross_query({"tables": [{"alias": "t", "table": "t", "connectionId": "c1"}], "columns": [{"tableAlias": "t", "column": "x"}]})
+    r.add(Connection("f", "f", "parquet", "org1", {"path": f"{tmp_path}/own"}))
+    spark.range(3).write.parquet(f"{tmp_path}/other.parquet")
+    for name in ("../other", "`../other`"):
+        with pytest.raises(ValueError):
+            one.sql(f"SELECT * FROM `{name.strip('`')}`", "f")
+
+
+def test_staging_of_others(spark):
+    from crosslake.sources.staging import drop_staging, stage
+
+    r = ConnectionRegistry(spark)
+    full = stage(spark.createDataFrame([(1, 2, 3)], "`a b` int, a_b int, _staging_id int"), "orgA", "t", "j1")
+    name = full.split(".")[1]
+    assert spark.table(full).columns == ["_staging_id", "a_b", "a_b_2", "_staging_id_2"]
+    one, two = QueryEngine(spark, r, "orgA"), QueryEngine(spark, r, "orgB")
+    assert one.sql(f"SELECT * FROM {name}").count() == one.staging(f"SELECT * FROM {full}", "staging_orga").count() == one.sql(f"SELECT * FROM {full}", "staging").count() == 1
+    for text in (f"SELECT * FROM {name}", f"SELECT * FROM {full}"):
+        with pytest.raises(ValueError):
+            two.sql(text)
+    with pytest.raises(guards.UnsafeSql):
+        two.staging(f"SELECT * FROM {full}", "staging_orga")
+    with pytest.raises(ValueError):
+        two.cross_query({"tables": [{"alias": "t", "table": name, "schema": "staging_orga", "connectionId": "staging"}], "columns": [{"tableAlias": "t", "column": "a_b"}]})
+    drop_staging(spark, full)
+
+
+def test_truncated_results(spark, registry):
+    e = QueryEngine(spark, registry, config=EngineConfig(max_rows_limit=2, cross_query_cap=3))
+    assert [e.execute(f"SELECT id FROM users WHERE id <= {n}", "db1")[1].truncated for n in (2, 3)] == [False, True]
+    rows, result = e.execute_cross(definition())
+    assert (len(rows), result.row_count, result.truncated, result.df.count()) == (3, 3, True, 3)
+    assert e.sql("SELECT id FROM users", "db1").count() == 3  # the way without a cap
+
+
+def test_document_texts(spark, registry):
+    e = QueryEngine(spark, registry)
+    assert e.sql('{"collection": "users", "filter": {"id": {"$gt": 1}}, "projection": {"name": 1}}', "db1").columns == ["name"]
+    with pytest.raises(ValueError, match="Unknown collection"):
+        e.sql('{"collection": "orders"}', "db1")
+
+
 def test_timeout_cancels(spark):
     began = time.time()
     with pytest.raises(QueryTimeout):
@@ -285,6 +353,11 @@ def test_sqlite(spark, tmp_path):
     cols = r.columns("s", "t")
     assert cols[0].is_primary_key and not cols[1].nullable and cols[2].default == "1.5"
     assert r.test("s")[0] and not r.test("nowhere")[0]
+    e = QueryEngine(spark, r)
+    assert e.sql("SELECT name, ifnull(v, -1) AS v FROM t ORDER BY rowid DESC LIMIT 2 -- own words".split(" --")[0], "s").count() == 2
+    assert e.sql("SELECT count(*) AS n FROM t", "s", native=False).first().n == 101
+    with pytest.raises(guards.UnsafeSql):
+        e.sql("DELETE FROM t", "s")
 
 
 def test_jdbc(spark):
@@ -298,6 +371,10 @@ def test_jdbc(spark):
     r.add(Connection("d", "d", "derby", options=opts))
     assert r.read("d", "items").where("id > 1").count() == 1
     assert r.test("d") == (True, None)
+    insert_database(spark.range(4, 400).selectExpr("cast(id as int) as id", "'n' as name"), opts, "items")
+    r.add(Connection("p", "p", "derby", options=opts | {"partitionColumn": "id", "numPartitions": "4"}))
+    assert r.read("p", "items").rdd.getNumPartitions() == 4 and r.read("p", "items").count() == r.read("d", "items").count() == 398
+    assert QueryEngine(spark, r).sql("SELECT count(*) AS n FROM items FETCH FIRST 1 ROWS ONLY", "p").first()[0] == 398  # the database's own words
 
 
 def test_primary_keys(spark):

@@ -37,10 +37,10 @@ def test_checks(spark):
     got = {r["check_id"]: r for r in runner.run("t", checks)}
     assert {k: r["status"] for k, r in got.items()} == {"a": "pass", "b": "fail", "d": "fail", "e": "pass", "f": "fail", "g": "error"}
     assert got["e"]["actual_value"] == 12.0 and got["g"]["error_message"]
-    df.createOrReplaceTempView("t_checks")
-    op = lambda o, t: quality.custom_check(spark, c("x", "custom_sql", None, {"sql": "select count(*) from t_checks", "operator": o, "threshold": t})).first().status
+    tables = {"t_checks": df}
+    op = lambda o, t: quality.custom_check(spark, c("x", "custom_sql", None, {"sql": "select count(*) from t_checks", "operator": o, "threshold": t}), tables).first().status
     assert [op("gt", 2), op("gte", 3), op("lt", 3), op("lte", 3), op("eq", 3)] == ["pass", "pass", "fail", "pass", "pass"]
-    empty = quality.custom_check(spark, c("x", "custom_sql", None, {"sql": "select id from t_checks where id > 5"})).first()
+    empty = quality.custom_check(spark, c("x", "custom_sql", None, {"sql": "select id from t_checks where id > 5"}), tables).first()
     assert empty.status == "fail" and empty.actual_value is None
     assert quality.check_suite(df.limit(0), checks[:2], now()).where("status = 'fail'").count() == 2
     with pytest.raises(ValueError):
