@@ -163,7 +163,7 @@ def test_export(spark, tmp_path):
     with pytest.raises(ValueError):
         export.json_envelope(df, dt.datetime(2025, 1, 1), 2)
     errs = files.error_records(spark.createDataFrame([(1, ""), (2, None)], "n int, c string"), "n")
-    assert sorted(r.value for r in export.error_lines(errs).collect())[0].startswith('"1","c","""""","Missing required value"')
+    assert sorted(r.value for r in export.error_lines(errs).collect())[0].startswith('"1","c","""""","Empty cell"')
     assert "A" in export.dashboard_report({"A": {"x": 1}, "B": [{"y": None}]}, dt.datetime(2025, 1, 1))
     h = spark.createDataFrame([("q", dt.datetime(2025, 1, 1))], "id string, executed_at timestamp_ntz")
     now = F.lit("2025-01-03 00:00:00").cast("timestamp_ntz")
