@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,16 @@ def ship(spark: SparkSession) -> None:
         sc._crosslake_shipped = True
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a relation inside the plan: reading it takes no tasks, unlike a parallelized list."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], names=kinds.names), schema)
+
+
 def same_id(c: Column | str) -> Column:
     """The form in which two ids are equal: blanks around them trimmed, lower case."""
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
@@ -56,14 +67,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(jsc.hadoopConfiguration() if jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
+def release() -> None:
+    """Deletes all tables written so far; results that have not been read or written yet are lost. For long sessions, between queries."""
+    while _roots:
+        _delete(*_roots.pop())
+
+
 @atexit.register
 def _clean() -> None:
     """The written tables of this program go with it; until then results may still read them."""
-    for spark, root in _roots:
-        try:
-            _delete(spark, root)
-        except Exception:  # noqa: BLE001 - the JVM may be gone
-            return
+    try:
+        release()
+    except Exception:  # noqa: BLE001 - the JVM may be gone
+        return
 
 
 class Scratch:

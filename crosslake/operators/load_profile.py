@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslake.functions.common import Scratch
+from crosslake.functions.common import Scratch, local_rows
 
 SKETCH_LG_K = 12  # standard error 1.6 %
 SKETCH_GUARD = 0.08  # five standard errors
@@ -164,7 +164,7 @@ def profiles(states: DataFrame) -> DataFrame:
 def _frame(states: DataFrame, agreed: list[Agreed]) -> DataFrame:
     spark = states.sparkSession
     rows = [(a.table_name, a.column_name, a.null_percent, a.distinct_percent, a.median_value) for a in agreed]
-    return spark.createDataFrame(rows, "table_name string, column_name string, a_null double, a_distinct double, a_median double")
+    return local_rows(spark, rows, "table_name string, column_name string, a_null double, a_distinct double, a_median double")
 
 
 def departures(states: DataFrame, agreed: list[Agreed], tables: dict[str, DataFrame], load_col: str = "load_no") -> DataFrame:

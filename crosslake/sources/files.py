@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosslake.functions.common import local_rows
 from crosslake.model import ERROR_RECORD, SPARK_TYPES
 from crosslake.sources import excel
 
@@ -122,7 +123,7 @@ def with_row_numbers(df: DataFrame, first: int = 1, name: str = "_row") -> DataF
     for p, n in counts:
         starts.append((p, at))
         at += n
-    start = df.sparkSession.createDataFrame(starts, "__p bigint, __start bigint")
+    start = local_rows(df.sparkSession, starts, "__p bigint, __start bigint")
     return indexed.join(F.broadcast(start), "__p").withColumn(name, F.col("__start") + F.expr("__id & ((1L << 33) - 1)")).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
