@@ -2,9 +2,9 @@
 
 The fraction is an Efraimidis–Spirakis sample: each document has an exponential key divided
 by its quality weight, and the documents with the least keys are taken until the source's
-budget of tokens is full. The order of keys is never sorted as a whole: sums over a
-histogram of the keys locate the cut, a finer histogram of the one bucket that holds it
-locates it again, and only what lies in that last bucket is sorted.
+budget of tokens is full. The order of keys is never sorted as a whole: sums over ever
+finer histograms locate the cut, only its last bin is sorted, and every document then tells
+by its own key on which side of the cut it lies.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosslake.functions.common import local_rows
+
 MOST_TARGETS = 10_000
 SEED = 7
 COARSE, FINE = 256, 4096
+GAP_SHARE, FILL = 0.001, 200
 
 
 @dataclass(frozen=True)
@@ -58,15 +61,66 @@ def make_plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], tot
 
 
 def exponential_key(id_col: Column, weight: Column, seed: int = SEED) -> Column:
-    """-ln(u) / weight with u uniform in (0, 1] by a hash of the id. Null weights and weights of 0 or less come last."""
+    """-ln(u) / weight with u uniform in (0, 1] by a hash of the id. Null weights and weights of 0 or less come last, in random order."""
     u = (F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
-    return F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(1e300))
+    return F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(1e300) * (1 + u))
+
+
+def _cut_bins(part: DataFrame, bin_: Column, start: DataFrame) -> list:
+    """The bin of each source in which its running sum reaches ``rest``: source, bin, rest, before (the sum up to it), and the bin's extremes of the keys.
+
+    start: source, rest, before. Bins are few for each source.
+    """
+    bins = part.groupBy("source", bin_.alias("b")).agg(F.sum("n_tokens").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
+    w = Window.partitionBy("source").orderBy("b")
+    run = bins.withColumn("run", F.sum("size").over(w)).join(F.broadcast(start), "source")  # a row for each target
+    met = run.withColumn("before", F.col("before") + F.col("run") - F.col("size")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
+    return met.groupBy("source").agg(F.min_by(F.struct("b", "rest", "before", "low", "high"), "b").alias("c")).select("source", "c.*").collect()  # a row for each target
+
 
+_CUT = "source string, b bigint, rest bigint, before bigint, low double, high double"
 
-def _prefix(bins: DataFrame, by: str) -> DataFrame:
-    """Sums over bins before each bin; bins are few for each source."""
-    w = Window.partitionBy("source").orderBy(by)
-    return bins.withColumn("before", F.sum("size").over(w) - F.col("size"))
+
+def _find_cuts(part: DataFrame, rests: DataFrame) -> list[tuple]:
+    """(source, key, spread, id, sum) of the last document of each source that the budget holds in the order of key, spread and id.
+
+    A coarse histogram over the logarithms of the keys, a finer one over the keys of its bin
+    and, where these are all equal, one over the spread (a hash of the id) locate the cut; so
+    only the last bin's documents are sorted. Where not even the last bin's first document
+    fits, the cut has no id and lies before it.
+    """
+    spark = part.sparkSession
+    coarse = F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * COARSE).cast("bigint")
+    at = _cut_bins(part, coarse, rests.withColumn("before", F.lit(0).cast("bigint")))
+    columns = ["source", "id", "n_tokens", "key", "spread"]
+    found = local_rows(spark, at, _CUT)
+    fine = F.when(F.col("high") > F.col("low"), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * FINE)).otherwise(F.lit(0)).cast("bigint")
+    kept = part.join(F.broadcast(found.select("source", "b", "low", "high")), "source").where(coarse == F.col("b")).withColumn("bin", fine).select(*columns, "bin")
+    at = _cut_bins(kept, F.col("bin"), found.select("source", "rest", "before"))
+    found = local_rows(spark, at, _CUT)
+    kept = kept.join(F.broadcast(found.select("source", "b", "low", "high")), "source").where("bin = b")
+    if any(r.low == r.high for r in at):
+        kept = kept.withColumn("bin", F.when(F.col("low") == F.col("high"), F.shiftright("spread", 52 - 12)).otherwise(F.lit(0).cast("bigint"))).select(*columns, "bin")
+        at = _cut_bins(kept, F.col("bin"), found.select("source", "rest", "before"))
+        found = local_rows(spark, at, _CUT)
+        kept = kept.join(F.broadcast(found.select("source", "b")), "source").where("bin = b")
+    run = kept.select(*columns).join(F.broadcast(found.select("source", "rest", "before")), "source")
+    w = Window.partitionBy("source").orderBy("key", "spread", "id")  # one bin's documents
+    run = run.withColumn("run", F.sum("n_tokens").over(w) + F.col("before")).withColumn("place", F.struct("key", "spread", "id"))
+    last = run.groupBy("source").agg(F.max_by(F.struct("key", "spread", "id", "run"), F.when(F.col("run") <= F.col("rest"), F.col("place"))).alias("last"), F.min("place").alias("first"), F.min("before").alias("before"))
+    return [(r.source, r["last"].key, r["last"].spread, r["last"].id, r["last"].run) if r["last"] else (r.source, r["first"].key, r["first"].spread, None, r.before) for r in last.collect()]  # a row for each target
+
+
+def _fill(missing: int, sizes: list[tuple[int, object]]) -> list:
+    """What of the next documents goes into the gap: each that still fits, in order, and at last the one nearest to what is then missing, if that is nearer than none."""
+    taken = []
+    for n, id_ in sizes:
+        if 0 < n <= missing:
+            taken.append(id_)
+            missing -= n
+    held = set(taken)
+    off, _, last = min(((abs(missing - n), i, id_) for i, (n, id_) in enumerate(sizes) if id_ not in held), default=(missing, 0, None))
+    return [*taken, last] if off < missing else taken
 
 
 def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -75,8 +129,11 @@ def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None) -> tu
     docs: id, source (source_name), n_tokens, key (exponential_key); it is read several
     times, so it should be a written table. Targets repeated with the same source count
     once, the one with the greatest share. Documents of sources without a target, or with a
-    null source, are not chosen. The document at the cut is taken if that comes nearer to
-    the budget. uses never exceeds max_repeats. Ties in keys go by id.
+    null source, are not chosen. Of each source's fraction the documents in order of key are
+    taken while the budget holds them; where more than GAP_SHARE of it is then missing, the
+    next FILL documents are taken as far as they still fit, and one more if that brings the
+    source nearer to its budget. uses never exceeds max_repeats. Equal keys go by a hash of
+    the id, then by id.
 
     The report has source, target_share, actual_share (of all chosen tokens, repeats
     included), tokens, chosen_tokens, epochs and max_repeats.
@@ -86,32 +143,32 @@ def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None) -> tu
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"over {MOST_TARGETS} targets")
     targets = sorted((r.source, float(r.target_share or 0), int(r.max_repeats or 0)) for r in rows)
-    names = spark.createDataFrame([(s,) for s, _, _ in targets], "source string")
+    names = local_rows(spark, [(s,) for s, _, _ in targets], "source string")
     wanted = docs.join(F.broadcast(names), "source")  # at most MOST_TARGETS rows
     sums = {r.source: int(r.n or 0) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each target
     plan = make_plan(targets, sums, total)
-    frame = spark.createDataFrame([(p.source, p.epochs, p.rest) for p in plan], "source string, epochs int, rest bigint")
-    base = wanted.join(F.broadcast(frame), "source")
-    part = base.where("rest > 0").withColumn("b1", F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * COARSE))
-    cut = lambda t: t.where("before < rest and before + size >= rest")
-    rest = frame.select("source", "rest")
-    first = cut(_prefix(part.groupBy("source", "b1").agg(F.sum("n_tokens").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")), "b1").join(F.broadcast(rest), "source"))
-    first = first.groupBy("source").agg(F.min_by(F.struct("b1", "before", "low", "high"), "b1").alias("c")).select("source", F.col("c.b1").alias("c1"), F.col("c.before").alias("before1"), "c.low", "c.high")
-    c1 = spark.createDataFrame(first.collect(), first.schema)  # a row for each target
-    in_first = part.join(F.broadcast(c1), "source").where("b1 = c1")
-    fine = F.when(F.col("high") > F.col("low"), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * FINE)).otherwise(F.lit(0)).cast("bigint")
-    in_first = in_first.withColumn("b2", fine)
-    second = _prefix(in_first.groupBy("source", "b2").agg(F.sum("n_tokens").alias("size")), "b2").join(F.broadcast(c1.select("source", "before1")), "source").withColumn("before", F.col("before") + F.col("before1")).join(F.broadcast(rest), "source")
-    second = cut(second).groupBy("source").agg(F.min_by(F.struct("b2", "before"), "b2").alias("c")).select("source", F.col("c.b2").alias("c2"), F.col("c.before").alias("before2"))
-    c2 = spark.createDataFrame(second.collect(), second.schema)  # a row for each target
-    last = in_first.join(F.broadcast(c2), "source").where("b2 = c2")
-    w = Window.partitionBy("source").orderBy("key", "id")
-    last = last.withColumn("run", F.sum("n_tokens").over(w) + F.col("before2")).where(F.col("run") - F.col("n_tokens") / 2 <= F.col("rest")).select("source", "id", F.lit(1).alias("hit"))
-    marked = base.withColumn("b1", F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * COARSE)).join(F.broadcast(c1), "source", "left").withColumn("b2", fine).join(F.broadcast(c2), "source", "left").join(last, ["source", "id"], "left")
-    extra = (F.col("rest") > 0) & ((F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & ((F.col("b2") < F.col("c2")) | F.col("hit").isNotNull())))
-    uses = F.col("epochs") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
-    chosen = marked.select("id", "source", "n_tokens", uses.cast("int").alias("uses")).where("uses > 0")
-    plan_frame = spark.createDataFrame([(p.source, p.target_share, p.max_repeats, p.tokens, p.epochs) for p in plan], "source string, target_share double, max_repeats int, tokens bigint, epochs int")
+    frame = local_rows(spark, [(p.source, p.epochs, p.rest) for p in plan], "source string, epochs int, rest bigint")
+    base = wanted.withColumn("spread", F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED + 1)), 12)).join(F.broadcast(frame), "source")  # 52 bits
+    cuts = _find_cuts(base.where("rest > 0").select("source", "id", "n_tokens", "key", "spread"), frame.where("rest > 0").select("source", "rest"))
+    kind = docs.schema["id"].dataType.simpleString()
+    cut = F.broadcast(local_rows(spark, cuts, f"source string, cut_key double, cut_spread bigint, cut_id {kind}, taken bigint"))  # a row for each target
+    marked = base.join(cut, "source", "left")
+    first = (F.col("spread") < F.col("cut_spread")) | ((F.col("spread") == F.col("cut_spread")) & (F.col("id") <= F.col("cut_id")))
+    inside = F.coalesce((F.col("rest") > 0) & ((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & first)), F.lit(False))
+    rest = {p.source: p.rest for p in plan}
+    gap = {s: rest[s] - taken for s, _, _, _, taken in cuts if rest[s] - taken > GAP_SHARE * rest[s]}
+    fill: list[tuple] = []
+    if gap:
+        near = marked.where(F.col("source").isin(*gap) & ~inside).select("source", "key", "spread", "id", "n_tokens")
+        w = Window.partitionBy("source").orderBy("key", "spread", "id")  # the limit holds before the shuffle too
+        sizes: dict[str, list] = {s: [] for s in gap}
+        for r in near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= FILL).orderBy("source", "rn").collect():  # FILL rows for each target
+            sizes[r.source].append((r.n_tokens, r.id))
+        fill = [(s, id_) for s in gap for id_ in _fill(gap[s], sizes[s])]
+    filled = marked.join(F.broadcast(local_rows(spark, fill, f"source string, id {kind}").withColumn("fills", F.lit(1))), ["source", "id"], "left")
+    uses = F.col("epochs") + F.when(inside | F.col("fills").isNotNull(), 1).otherwise(0)
+    chosen = filled.select("id", "source", "n_tokens", uses.cast("int").alias("uses")).where("uses > 0")
+    plan_frame = local_rows(spark, [(p.source, p.target_share, p.max_repeats, p.tokens, p.epochs) for p in plan], "source string, target_share double, max_repeats int, tokens bigint, epochs int")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("chosen_tokens"), F.count(F.lit(1)).alias("documents"))
     report = plan_frame.join(got, "source", "left").fillna(0, ["chosen_tokens", "documents"])
     everything = F.sum("chosen_tokens").over(Window.partitionBy(F.lit(1)))  # a row for each target

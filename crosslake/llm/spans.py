@@ -4,7 +4,7 @@ Windows of half the asked length come first: of each stretch of the asked length
 with the least hash (so every shared span keeps at least one window that both texts chose).
 Only windows that repeat in another text are extended, by as much text as any window of
 twice their length around them could use, and only windows of twice the length that repeat
-are shared spans. Longer spans are unions of these.
+are shared spans. ``shared_runs`` goes on doubling until no longer run repeats.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from crosslake.functions.common import Scratch, ship
 PIECE_BYTES = 1 << 20
 GROUP_CONTEXTS = 4096  # contexts of one window that one task compares in memory; more are compared by a shuffle
 PAIR_CHUNK = 1024  # texts of one class that one task pairs at once
-_M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,9 +35,9 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """The 64-bit hash of each window of ``width`` code points, by doubling: a window is two windows of half its width."""
-    h, have = codes.astype(np.uint64) * _M[3], 1
+def window_hashes(codes: np.ndarray, width: int, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each window of ``width`` code points, by doubling: a window is two windows of half its width. The second hash is independent of the first."""
+    h, have = (codes.astype(np.uint64) + second) * _M[3 + second], 1
     h ^= h >> np.uint64(31)
     while have * 2 <= width:
         h, have = _mix(h[: len(h) - have], h[have:]), have * 2
@@ -120,35 +120,44 @@ def _contexts_of(docs: DataFrame, hits: DataFrame, span: int) -> DataFrame:
     return docs.join(per_text, "id").select("id", "text", "hits").mapInArrow(run, f"h bigint, id {kind}, pos int, left int, ctx string")
 
 
-def _long_windows(t: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start relative to the half window, hash) of all windows of ``span`` in the contexts, h mixed in."""
-    rows, starts, hashes = [], [], []
-    base = 0
-    left, h = t["left"].to_numpy(), t["h"].to_numpy().view(np.uint64)
+def _long_windows(t: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start relative to the half window, two hashes) of all windows of ``span`` in the contexts."""
+    rows, starts, hashes, seconds = [], [], [], []
+    left = t["left"].to_numpy()
     for first, codes, lengths in _coded(t["ctx"].combine_chunks()):
-        w = window_hashes(codes, span)
+        w, v = window_hashes(codes, span), window_hashes(codes, span, True)
         n = np.maximum(0, lengths - span + 1)
         begin = np.cumsum(lengths) - lengths
         row = np.repeat(np.arange(len(lengths)), n)
         off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        rows.append(row + first + base)
-        rel = off - left[first + row]
-        starts.append(rel)
-        hashes.append(_mix(w[begin[row] + off] ^ h[first + row], rel.astype(np.int64).view(np.uint64)))
+        rows.append(row + first)
+        starts.append(off - left[first + row])
+        hashes.append(w[begin[row] + off])
+        seconds.append(v[begin[row] + off])
     cat = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
-    return cat(rows, np.int64), cat(starts, np.int64), cat(hashes, np.uint64)
+    return cat(rows, np.int64), cat(starts, np.int64), cat(hashes, np.uint64), cat(seconds, np.uint64)
 
 
 def _compare(t: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of ``span`` in whole groups of contexts: their classes, and which part of each context they cover."""
-    row, rel, key = _long_windows(t, span)
+    """Repeated windows of ``span`` in whole groups of contexts: their classes, and which part of each context they cover.
+
+    Windows are equal when half window, place and both hashes are; one mix of these is sorted,
+    and all of them only where the mix alone would not keep equal windows together.
+    """
+    row, rel, one, two = _long_windows(t, span)
     if not len(row):
         return
+    half = t["h"].to_numpy().view(np.uint64)[row]
+    key = _mix(one ^ half, rel.view(np.uint64) + two)
     order = np.argsort(key, kind="stable")
-    row, rel, key = row[order], rel[order], key[order]
-    first = np.r_[True, key[1:] != key[:-1]]
-    cls = np.cumsum(first) - 1
-    begin = np.flatnonzero(first)
+    changed = lambda x: x[order[1:]] != x[order[:-1]]
+    differ = changed(half) | changed(rel) | changed(one) | changed(two)
+    if (differ & ~changed(key)).any():
+        order = np.lexsort((rel, two, one, half))
+        differ = changed(half) | changed(rel) | changed(one) | changed(two)
+    row, rel, two = row[order], rel[order], two[order]
+    cls = np.cumsum(np.r_[True, differ]) - 1
+    begin = np.flatnonzero(np.r_[True, differ])
     lo = np.minimum.reduceat(t["lo"].to_numpy()[row], begin)
     hi = np.maximum.reduceat(t["hi"].to_numpy()[row], begin)
     repeated = (lo < hi)[cls]
@@ -156,28 +165,36 @@ def _compare(t: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
     if not len(row):
         return
     # classes of the same contexts are one
-    salt = _mix(row.astype(np.uint64), t["h"].to_numpy().view(np.uint64)[row])
+    half = t["h"].to_numpy().view(np.uint64)[row]
+    salt = _mix(row.astype(np.uint64), half)
     begin = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-    mark = np.repeat(np.add.reduceat(salt, begin), np.diff(np.r_[begin, len(cls)]))
-    _, pick = np.unique(mark[begin], return_index=True)
-    kept = np.isin(np.arange(len(begin)), pick)[np.cumsum(np.r_[True, cls[1:] != cls[:-1]]) - 1]
+    count = np.diff(np.r_[begin, len(cls)])
+    mark = np.add.reduceat(salt, begin), np.add.reduceat(_mix(salt, half), begin)
+    by = np.lexsort(mark)
+    fresh = np.r_[True, (mark[0][by[1:]] != mark[0][by[:-1]]) | (mark[1][by[1:]] != mark[1][by[:-1]])]
+    pick = np.zeros(len(begin), bool)
+    pick[by[fresh]] = True
+    kept = np.repeat(pick, count)
     names = ("h", "left", "ck")
     member = t.select(names).take(pa.array(row[kept])).combine_chunks()
-    ids = _mix(mark[kept], t["h"].to_numpy().view(np.uint64)[row[kept]]).view(np.int64)
+    ck, left = t["ck"].to_numpy().view(np.uint64)[row], t["left"].to_numpy().astype(np.uint64)[row]
+    seen = [np.repeat(np.add.reduceat(_mix(ck + np.uint64(i), left), begin), count)[kept] for i in (0, 1)]
     null = lambda n: pa.nulls(n, pa.int32())
-    yield from member.append_column("cls", pa.array(ids)).append_column("a", null(len(ids))).append_column("b", null(len(ids))).to_batches()
+    for i, x in enumerate(seen):
+        member = member.append_column(f"cls{i}", pa.array(_mix(x, half[kept]).view(np.int64)))
+    yield from member.append_column("a", null(len(member))).append_column("b", null(len(member))).to_batches()
     order = np.lexsort((rel, row))
     row, rel = row[order], rel[order]
     gap = np.r_[True, (row[1:] != row[:-1]) | (rel[1:] > rel[:-1] + 1)]
     begin, end = np.flatnonzero(gap), np.r_[np.flatnonzero(gap)[1:], len(row)] - 1
     part = t.select(names).take(pa.array(row[begin])).combine_chunks()
-    cover = part.append_column("cls", pa.nulls(len(begin), pa.int64())).append_column("a", pa.array(rel[begin], pa.int32())).append_column("b", pa.array(rel[end] + span, pa.int32()))
+    cover = part.append_column("cls0", pa.nulls(len(begin), pa.int64())).append_column("cls1", pa.nulls(len(begin), pa.int64())).append_column("a", pa.array(rel[begin], pa.int32())).append_column("b", pa.array(rel[end] + span, pa.int32()))
     yield from cover.to_batches()
 
 
 def _small_groups(contexts: DataFrame, span: int) -> DataFrame:
     """Compares contexts of the same half window; each partition is read in order of the windows, some whole groups at a time."""
-    schema = "h bigint, left int, ck bigint, cls bigint, a int, b int"
+    schema = "h bigint, left int, ck bigint, cls0 bigint, cls1 bigint, a int, b int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -200,22 +217,24 @@ def _small_groups(contexts: DataFrame, span: int) -> DataFrame:
 
 def _large_groups(contexts: DataFrame, span: int) -> DataFrame:
     """The same for windows with very many contexts: every window of ``span`` is a row, and a shuffle finds the repeated ones."""
-    schema = "h bigint, left int, ck bigint, lo bigint, hi bigint, rel int, w bigint"
+    schema = "h bigint, left int, ck bigint, lo bigint, hi bigint, rel int, w bigint, v bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(0, batch.num_rows, 2000):
                 t = pa.Table.from_batches([batch.slice(r, 2000)])
-                row, rel, key = _long_windows(t, span)
-                out = t.select(["h", "left", "ck", "lo", "hi"]).take(pa.array(row)).append_column("rel", pa.array(rel, pa.int32())).append_column("w", pa.array(key.view(np.int64)))
+                row, rel, one, two = _long_windows(t, span)
+                out = t.select(["h", "left", "ck", "lo", "hi"]).take(pa.array(row)).append_column("rel", pa.array(rel, pa.int32()))
+                out = out.append_column("w", pa.array(one.view(np.int64))).append_column("v", pa.array(two.view(np.int64)))
                 yield from out.to_batches()
 
     rows = contexts.select("h", "left", "ck", "ctx", "lo", "hi").mapInArrow(run, schema)
-    mark = F.xxhash64("left", "ck")
-    classes = rows.groupBy("h", "w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("m2"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    one = classes.groupBy("h", "m1", "m2", "n").agg(F.min("w").alias("w")).select("h", "w")
-    member = rows.join(one, ["h", "w"]).select("h", "left", "ck", F.xxhash64("h", "w").alias("cls"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    cover = rows.join(classes.select("h", "w"), ["h", "w"]).select("h", "left", "ck", F.lit(None).cast("bigint").alias("cls"), F.col("rel").alias("a"), (F.col("rel") + span).alias("b"))
+    mark, at = F.xxhash64("left", "ck"), ["h", "rel", "w", "v"]
+    classes = rows.groupBy(*at).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("m2"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    one = classes.groupBy("h", "m1", "m2", "n").agg(F.min(F.struct("rel", "w", "v")).alias("o")).select("h", "o.*")
+    null = F.lit(None)
+    member = rows.join(one, at).select("h", "left", "ck", F.xxhash64(*at).alias("cls0"), F.xxhash64(*at, F.lit(1)).alias("cls1"), null.cast("int").alias("a"), null.cast("int").alias("b"))
+    cover = rows.join(classes.select(*at), at).select("h", "left", "ck", null.cast("bigint").alias("cls0"), null.cast("bigint").alias("cls1"), F.col("rel").alias("a"), (F.col("rel") + span).alias("b"))
     return member.unionByName(cover)
 
 
@@ -224,8 +243,8 @@ class SharedSpans:
 
     docs needs ``id_col`` (unique, of an integral type) and ``text_col``; other columns play
     no part. Null texts and texts shorter than ``span`` share nothing; a span repeated only
-    within one text is not shared. Texts are compared exactly as they stand. Equality of
-    windows is that of 64-bit hashes of windows of half and of full length together.
+    within one text is not shared. Texts are compared exactly as they stand. Windows are
+    equal when two independent 64-bit hashes of them are, and that of their half besides.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, span: int = 200) -> None:
@@ -246,27 +265,36 @@ class SharedSpans:
         large = _large_groups(contexts.join(many, "h", "left_semi"), span)
         self.found = self.scratch.write(small.unionByName(large))
 
+    def classes(self) -> DataFrame:
+        """The pairs in a form that does not grow with their square: cls0, cls1 (a class's two numbers), id, n (texts of the class).
+
+        The texts of a class all share one span, and each two texts that share a span stand
+        in some class together; a text can stand in several. Classes of the same texts are one.
+        """
+        at, cls = ["h", "left", "ck"], ["cls0", "cls1"]
+        member = self.found.where("cls0 is not null").select(*at, *cls).join(self.places.select(*at, "id"), at).select(*cls, "id").distinct()
+        member = self.scratch.write(member)
+        marks = member.groupBy(*cls).agg(F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2"), F.count(F.lit(1)).alias("n"))
+        one = marks.groupBy("m1", "m2", "n").agg(F.min(F.struct(*cls)).alias("o")).select("o.*", "n")
+        return member.join(one, cls)
+
     def pairs(self) -> DataFrame:
         """Each two texts that share a span: id_a < id_b.
 
         The result itself is quadratic in the texts of one span; a class of many texts is
         divided into chunks, and each two chunks are paired by themselves.
         """
-        at = ["h", "left", "ck"]
-        member = self.found.where("cls is not null").select(*at, "cls").join(self.places.select(*at, "id"), at).select("cls", "id").distinct()
-        member = self.scratch.write(member)
-        marks = member.groupBy("cls").agg(F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2"), F.count(F.lit(1)).alias("n"))
-        one = marks.groupBy("m1", "m2", "n").agg(F.min("cls").alias("cls"))  # classes of the same texts are one
-        m = member.join(one.select("cls", "n"), "cls").withColumn("chunks", F.ceil(F.col("n") / PAIR_CHUNK)).withColumn("c", F.pmod(F.xxhash64("id", F.lit(2)), "chunks"))
-        a = m.select("cls", F.col("id").alias("x"), F.col("c").alias("c1"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("c2"))
-        b = m.select("cls", F.col("id").alias("y"), F.col("c").alias("c2"), F.explode(F.sequence(F.lit(0).cast("bigint"), "c")).alias("c1"))
-        both = a.join(b, ["cls", "c1", "c2"]).where((F.col("c1") < F.col("c2")) | (F.col("x") < F.col("y")))
+        cls = ["cls0", "cls1"]
+        m = self.classes().withColumn("chunks", F.ceil(F.col("n") / PAIR_CHUNK)).withColumn("c", F.pmod(F.xxhash64("id", F.lit(2)), "chunks"))
+        a = m.select(*cls, F.col("id").alias("x"), F.col("c").alias("c1"), F.explode(F.sequence("c", F.col("chunks") - 1)).alias("c2"))
+        b = m.select(*cls, F.col("id").alias("y"), F.col("c").alias("c2"), F.explode(F.sequence(F.lit(0).cast("bigint"), "c")).alias("c1"))
+        both = a.join(b, [*cls, "c1", "c2"]).where((F.col("c1") < F.col("c2")) | (F.col("x") < F.col("y")))
         return both.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
     def spans(self) -> DataFrame:
         """The longest stretches of each text of which every character lies in a shared span: id, start, end (exclusive)."""
         at = ["h", "left", "ck"]
-        cover = self.found.where("cls is null").join(self.places.select(*at, "id", "pos"), at).select("id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"))
+        cover = self.found.where("cls0 is null").join(self.places.select(*at, "id", "pos"), at).select("id", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("end"))
         return _merged(cover)
 
     def shares(self) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslake.functions.common import ship
@@ -27,16 +29,34 @@ def encoder(path: str, pattern: str):  # noqa: ANN201
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER_FILE, pattern: str = SPLIT_PATTERN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns of ``keep``, and n_tokens: the whole text's size. Null and empty texts have 0 tokens."""
+def shipped_tokenizer(spark: SparkSession, path: str) -> str:
+    """Sends a tokenizer's file to all executors, once for each context; the name by which they find it."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_crosslake_tokenizers", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
+def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZER_FILE, pattern: str = SPLIT_PATTERN, keep: tuple[str, ...] = (), score: tuple[str, Callable[[pa.Array], pa.Array]] | None = None) -> DataFrame:
+    """``id_col``, the columns of ``keep``, and n_tokens: the whole text's size. Null and empty texts have 0 tokens.
+
+    ``path`` is a file of the driver, which the executors get sent. ``score`` (name,
+    function of a batch's texts) adds a column of numbers from the same pass.
+    """
     ship(df.sparkSession)
+    name = shipped_tokenizer(df.sparkSession, path)
     out = df.select(id_col, *keep).schema.add("n_tokens", "long")
+    if score:
+        out = out.add(score[0], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(SparkFiles.get(name), pattern)
         for b in batches:
             # a fresh text object for each row; a batch's texts are never all decoded at once
             n = [len(enc.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[f.name for f in out.fields])
+            more = [score[1](b.column(b.num_columns - 1))] if score else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), *more], names=[f.name for f in out.fields])
 
     return df.select(id_col, *keep, F.col(text_col).alias("__text")).mapInArrow(run, out)

@@ -1,10 +1,11 @@
 """Top N items within every group, by sorted runs and a loser-tree merge.
 
-Each input partition becomes sorted runs, ordered by group, score and ties, of which each
-group keeps its first N (nothing below can come out). A run is stored in buckets of groups,
-one packed row for each. A bucket's runs are then merged by a loser tree; after N items of a
-group every run seeks to its next group. A group of millions of items thus reaches its
-bucket as N items for each run.
+Each input partition becomes sorted runs, ordered by the group's slot (a hash), group, score
+and ties, of which each group keeps its first N (nothing below can come out). Runs are
+written as packed blocks. Their size gives the number of buckets of slots; blocks are cut at
+the buckets' bounds, and a bucket's runs are merged by a loser tree, a bounded number of
+them at a time; after N items of a group every run seeks to its next group. A group of
+millions of items thus reaches its bucket as N items for each run.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslake.functions.common import ship
+from crosslake.functions.common import Scratch, ship
 
 RUN_ROWS = 200_000
+BLOCK_ROWS = 4096
+SLOTS = 1 << 20
+BUCKET_ROWS = 50_000  # of stored runs, on average
+FAN_IN = 64  # runs that are merged at once
+HEAD_ROWS = 256  # rows of a run whose keys are Python values at a time
 
 
 class LoserTree:
@@ -81,30 +87,44 @@ def _cut(t: pa.Table, n: int, keys: list[str]) -> pa.Table:
     return t.filter(pa.array(fresh & (rank < n)))
 
 
+class _Run:
+    """A sorted run: its table, where its groups start, and the keys of the few rows around the cursor as Python values."""
+
+    def __init__(self, t: pa.Table, order: list[tuple[str, str]]) -> None:
+        self.table, self.rows, self.order = t, t.num_rows, order
+        self.base = self.stop = 0
+        self.keys: list[tuple] = []
+        change = np.zeros(max(0, self.rows - 1), bool)
+        g = t[order[1][0]].combine_chunks()
+        if self.rows > 1:
+            change = pc.not_equal(g.slice(1), g.slice(0, self.rows - 1)).to_numpy(zero_copy_only=False)
+        self.starts = np.r_[np.flatnonzero(change) + 1, self.rows]
+
+    def next_group(self, i: int) -> int:
+        return int(self.starts[np.searchsorted(self.starts, i, "right")])
+
+    def head(self, i: int) -> tuple | None:
+        """((slot, group), the other keys) of row ``i``, None at the end."""
+        if i >= self.rows:
+            return None
+        if not self.base <= i < self.stop:
+            part = self.table.slice(i, HEAD_ROWS)
+            self.base, self.stop = i, i + part.num_rows
+            columns = []
+            for c, way in self.order:
+                v = part[c]
+                v = (v.cast(pa.int64()) if pa.types.is_timestamp(v.type) else v).to_pylist()
+                columns.append([(True, 0) if x is None else (False, -x if way == "descending" else x) for x in v])
+            self.keys = [(k[:2], k[2:]) for k in zip(*columns)]
+        return self.keys[i - self.base]
+
+
 def merge_runs(runs: list[pa.Table], n: int, order: list[tuple[str, str]]) -> pa.Table:
-    """The first n rows of each group over runs that are each sorted by ``order`` (whose first key is the group), with their rank."""
-    keys = [c for c, _ in order]
-    columns = []
-    for r in runs:
-        cols = []
-        for c, way in order[1:]:
-            v = r[c].to_pylist()
-            if way == "descending":
-                cols.append([(x is None, 0 if x is None else -x) for x in v])
-            else:
-                cols.append([(x is None, x if x is not None else 0) for x in v])
-        columns.append((r[keys[0]].to_pylist(), list(zip(*cols))))
-    ends = []
-    for g, _ in columns:  # where the next group starts, for the seeks
-        nxt, last = [0] * len(g), len(g)
-        for i in range(len(g) - 1, -1, -1):
-            if i + 1 < len(g) and g[i + 1] != g[i]:
-                last = i + 1
-            nxt[i] = last
-        ends.append(nxt)
+    """The first n rows of each group over runs that are each sorted by ``order`` (whose first keys are the slot and the group), with their rank."""
+    cursors = [_Run(r, order) for r in runs]
     pos = [0] * len(runs)
-    tree = LoserTree([(g[0], k[0]) if g else None for g, k in columns])
-    starts = np.cumsum([0, *[r.num_rows for r in runs]])
+    tree = LoserTree([c.head(0) for c in cursors])
+    starts = np.cumsum([0, *[r.num_rows for r in runs]]).tolist()
     take, ranks = [], []
     group, got, last = None, 0, None
     while (w := tree.winner()) >= 0:
@@ -113,7 +133,7 @@ def merge_runs(runs: list[pa.Table], n: int, order: list[tuple[str, str]]) -> pa
             group, got, last = g, 0, None
         i = pos[w]
         if got >= n:
-            i = ends[w][i]
+            i = cursors[w].next_group(i)
         else:
             if key != last:
                 take.append(starts[w] + i)
@@ -121,58 +141,82 @@ def merge_runs(runs: list[pa.Table], n: int, order: list[tuple[str, str]]) -> pa
                 ranks.append(got)
             i += 1
         pos[w] = i
-        gs, ks = columns[w]
-        tree.replace((gs[i], ks[i]) if i < len(gs) else None)
-    whole = pa.concat_tables(runs) if runs else None
-    out = whole.take(pa.array(np.array(take, np.int64)))
+        tree.replace(cursors[w].head(i))
+    out = pa.concat_tables(runs).take(pa.array(take, pa.int64()))
     return out.append_column("rank", pa.array(ranks, pa.int32()))
 
 
+class _Merger:
+    """Merges the runs of a bucket as they come, FAN_IN at a time, each time cut to n items a group; so what is held does not grow with the number of runs."""
+
+    def __init__(self, n: int, order: list[tuple[str, str]]) -> None:
+        self.n, self.order, self.levels = n, order, [[]]
+
+    def add(self, run: pa.Table, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) == FAN_IN:
+            some, self.levels[level] = self.levels[level], []
+            self.add(merge_runs(some, self.n, self.order).drop_columns(["rank"]), level + 1)
+
+    def end(self) -> pa.Table | None:
+        runs, self.levels = [r for some in self.levels for r in some], [[]]
+        return merge_runs(runs, self.n, self.order) if runs else None
+
+
+def _packed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    t = t.combine_chunks()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+
 def _rankable(df: DataFrame, score: Column) -> Column:
     """NaN has no rank; it counts as null."""
     kind = df.select(score.alias("s")).schema["s"].dataType
     return F.when(~F.isnan(score), score) if isinstance(kind, (T.DoubleType, T.FloatType)) else score
 
 
-def top_n(df: DataFrame, group: Column, n: int, score: Column, ties: list[Column], keep: dict[str, Column], buckets: int | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
+def top_n(df: DataFrame, group: Column, n: int, score: Column, ties: list[Column], keep: dict[str, Column], run_rows: int = RUN_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The n rows of each group with the greatest score: group_key, rank (from 1), score and the columns of ``keep``.
 
     Ties go to the smaller values of ``ties``, in order; a null score or tie ranks last, NaN like null.
     Rows equal in group, score and all ties are copies and count once. Rows with a null
     group are left out. The score must be numeric; ties may be of any ordered type. The
-    result is the same however the rows are partitioned. A bucket is merged in memory; it
-    holds n items for each of its groups and runs at most, and ``buckets`` (by default four
-    for each shuffle partition) divides that.
+    result is the same however the rows are partitioned. The runs are written first; their
+    number of rows gives the number of buckets, of about ``bucket_rows`` each.
     """
     spark = df.sparkSession
     ship(spark)
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie_names = [f"tie{i}" for i in range(len(ties))]
-    if taken := {"group_key", "score", "bucket", "rank", *tie_names} & set(keep):
+    if taken := {"group_key", "score", "slot", "rank", *tie_names} & set(keep):
         raise ValueError(f"Names of the result itself: {', '.join(sorted(taken))}")
     flat = df.select(group.cast("string").alias("group_key"), _rankable(df, score).alias("score"), *[t.alias(c) for t, c in zip(ties, tie_names)], *[c.alias(k) for k, c in keep.items()]).where("group_key is not null")
-    flat = flat.withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int"))
-    order = [("group_key", "ascending"), ("score", "descending"), *[(c, "ascending") for c in tie_names]]
-    keys = [c for c, _ in order]
+    fields = flat.schema.fields
+    flat = flat.withColumn("slot", F.pmod(F.xxhash64("group_key"), F.lit(SLOTS)).cast("int"))
+    order = [("slot", "ascending"), ("group_key", "ascending"), ("score", "descending"), *[(c, "ascending") for c in tie_names]]
+    keys = [c for c, _ in order[1:]]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list[pa.Table] = []
-        rows = 0
+        rows, made = 0, 0
 
         def cut() -> pa.Table:
-            return _cut(_sorted(pa.concat_tables(held), [("bucket", "ascending"), *order]), n, keys)
+            return _cut(_sorted(pa.concat_tables(held), order), n, keys)
 
         def stored(run: pa.Table) -> pa.RecordBatch:
-            b = run["bucket"].combine_chunks().to_numpy()
-            at = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
-            packs = []
-            for lo, hi in zip(at[:-1], at[1:]):
-                sink = pa.BufferOutputStream()
-                part = run.slice(lo, hi - lo).drop_columns(["bucket"]).combine_chunks()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(part)
-                packs.append(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(b[at[:-1]], pa.int32()), "run": pa.array(packs, pa.binary())})
+            blocks = [run.slice(i, BLOCK_ROWS) for i in range(0, run.num_rows, BLOCK_ROWS)]
+            number = (TaskContext.get().partitionId() << 32) + made
+            columns = {"low": [b["slot"][0].as_py() for b in blocks], "high": [b["slot"][-1].as_py() for b in blocks], "n_rows": [b.num_rows for b in blocks], "run": [number] * len(blocks), "part": range(len(blocks)), "block": map(_packed, blocks)}
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns.values(), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=list(columns))
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
@@ -181,27 +225,52 @@ def top_n(df: DataFrame, group: Column, n: int, score: Column, ties: list[Column
                 run = cut()
                 if run.num_rows > run_rows // 2:  # many groups: the run is full
                     yield stored(run)
-                    held, rows = [], 0
+                    held, rows, made = [], 0, made + 1
                 else:
                     held, rows = [run], run.num_rows
         if rows:
             yield stored(cut())
 
-    fields = [f for f in flat.schema.fields if f.name != "bucket"]
+    written = Scratch(spark, "topn").write(flat.mapInArrow(runs, "low int, high int, n_rows int, run bigint, part int, block binary"))
+    buckets = min(SLOTS, max(1, -(-int(written.agg(F.sum("n_rows")).first()[0] or 0) // bucket_rows)))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks cut where a bucket ends."""
+        for batch in batches:
+            out: list[tuple] = []
+            for low, high, run, part, block in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "run", "part")), batch.column("block")):
+                if low * buckets // SLOTS == high * buckets // SLOTS:
+                    out.append((low * buckets // SLOTS, run, part, block.as_py()))
+                    continue
+                t = _unpacked(block)
+                b = t["slot"].to_numpy().astype(np.int64) * buckets // SLOTS
+                at = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
+                out += [(int(b[i]), run, part, _packed(t.slice(i, j - i))) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "run", "part", "block"])
+
     result = T.StructType([*fields, T.StructField("rank", T.IntegerType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        # rows come by bucket, run and part
+        merger, now, blocks = _Merger(n, order), (None, None), []
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            out = merger.end()
+            if out is not None:
+                yield from out.drop_columns(["slot"]).to_batches(max_chunksize=10_000)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.column(0)[i].as_py()
-                if b != now and held:
-                    yield from merge_runs(held, n, order).to_batches()
-                    held = []
-                now = b
-                held.append(pa.ipc.open_stream(batch.column(1)[i].as_buffer()).read_all())
-        if held:
-            yield from merge_runs(held, n, order).to_batches()
-
-    packed = flat.mapInArrow(runs, "bucket int, run binary").repartition("bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(merge, result).select("group_key", "rank", "score", *keep)
+            for bucket, run, block in zip(batch.column("bucket").to_pylist(), batch.column("run").to_pylist(), batch.column("block")):
+                if (bucket, run) != now:
+                    if blocks:
+                        merger.add(pa.concat_tables(blocks))
+                    if bucket != now[0]:
+                        yield from finished()
+                    now, blocks = (bucket, run), []
+                blocks.append(_unpacked(block))
+        if blocks:
+            merger.add(pa.concat_tables(blocks))
+        yield from finished()
+
+    divided = written.select("low", "high", "run", "part", "block").mapInArrow(divide, "bucket int, run bigint, part int, block binary")
+    return divided.repartition("bucket").sortWithinPartitions("bucket", "run", "part").mapInArrow(merge, result).select("group_key", "rank", "score", *keep)

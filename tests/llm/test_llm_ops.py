@@ -14,10 +14,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crosslake.llm import queries as Q
+from crosslake.llm import mixing
 from crosslake.llm import spans as S
-from crosslake.llm.mixing import exponential_key, make_plan, mix, source_name
+from crosslake.llm import topn
+from crosslake.llm.mixing import SEED, exponential_key, make_plan, mix, source_name
 from crosslake.llm.packing import fill_report, first_fit_decreasing, pack
-from crosslake.llm.quantiles import merge_percentile_states, percentile_states, percentiles, rank_error
+from crosslake.llm.quantiles import merge_percentile_states, percentile_states, percentiles, rank_check, rank_error
 from crosslake.llm.tokens import token_counts
 from crosslake.llm.topn import LoserTree, top_n
 from tests.conftest import DATA, needs_data
@@ -65,6 +67,14 @@ def test_percentiles(spark):
                 if v:
                     low, high = bisect.bisect_left(v, y) / len(v), bisect.bisect_right(v, y) / len(v)
                     assert max(0, low - p, p - high) <= 1.5 * x.rank_error + 1 / len(v)
+    fine = spark.createDataFrame([("a", 0.1), ("a", 0.5), ("a", 0.9), ("a", float("nan")), ("b", -1.5)], "g string, v double")
+    assert sorted((r.g, r.n_values, r.p50, r.p99, r.rank_error) for r in percentiles(merge_percentile_states(percentile_states(fine, ["g"], "v"), ["g"])).collect()) == [("a", 3, 0.5, 0.9, 0.0), ("b", 1, -1.5, -1.5, 0.0)]
+    assert percentiles(percentile_states(fine.withColumn("v", F.lit("12.34").cast("decimal(6,2)")), ["g"], "v")).first().p50 == 12.34
+    for bad in ("decimal(38,10)", "string"):
+        with pytest.raises(ValueError):
+            percentile_states(fine.withColumn("v", F.col("v").cast(bad)), ["g"], "v")
+    off = rank_check(df, percentiles(percentile_states(df, ["g"], "v")), ["g"], "v").collect()
+    assert len(off) == 4 * 4 and all(r.off <= 1.5 * (rank_error() if r.n_values > 512 else 0) + 1 / r.n_values for r in off)
     assert whole["few"].rank_error == 0 and whole["hot"].rank_error == rank_error() < 0.006
     assert percentiles(percentile_states(df.limit(0), ["g"], "v")).count() == 0
 
@@ -85,13 +95,16 @@ def test_loser_tree_sorts(runs):
     assert out == sorted(x for r in runs for x in r)
 
 
-@pytest.mark.parametrize("run_rows", [7, 200_000])
-def test_top_n(spark, run_rows):
+@pytest.mark.parametrize("run_rows, block, bucket, fan", [(7, 3, 10, 2), (50, 4096, 200, 3), (200_000, 100, 50_000, 64)])
+def test_top_n(spark, monkeypatch, run_rows, block, bucket, fan):
+    monkeypatch.setattr(topn, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topn, "FAN_IN", fan)
+    monkeypatch.setattr(topn, "HEAD_ROWS", block)
     r = random.Random(2)
     data = [(r.choice(["hot"] * 5 + [f"g{i}" for i in range(40)] + [None, "", "é"]), r.choice([None, *range(8)]), r.choice([None, 1, 2]), f"i{i:04d}", "rank") for i in range(3000)]
     data += data[:500]  # copies
     df = spark.createDataFrame(data, "g string, s int, t int, id string, rank string").repartition(5)
-    got = top_n(df, F.col("g"), 3, F.col("s"), [F.col("t"), F.col("id")], {"id": F.col("id")}, run_rows=run_rows).collect()
+    got = top_n(df, F.col("g"), 3, F.col("s"), [F.col("t"), F.col("id")], {"id": F.col("id")}, run_rows=run_rows, bucket_rows=bucket).collect()
     groups = defaultdict(set)
     for g, s, t, i, _ in data:
         if g is not None:
@@ -190,20 +203,24 @@ def test_mix(spark, total):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     chosen, report = mix(docs, targets, total)
     all_docs = defaultdict(list)
-    for r in docs.collect():
-        all_docs[r.source].append((r.key, r.id, r.n_tokens))
+    for r in docs.withColumn("spread", F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED + 1)), 12)).collect():
+        all_docs[r.source].append((r.key, r.spread, r.id, r.n_tokens))
     uses = defaultdict(dict)
     for r in chosen.collect():
         assert r.id not in uses[r.source]
         uses[r.source][r.id] = r.uses
-    plan = make_plan(sorted((s.lower().replace("-", "_"), w, c) for s, w, c in TARGETS), {s: sum(x[2] for x in v) for s, v in all_docs.items()}, total)
+    plan = make_plan(sorted((s.lower().replace("-", "_"), w, c) for s, w, c in TARGETS), {s: sum(x[3] for x in v) for s, v in all_docs.items()}, total)
     for p in plan:
-        run, want = 0, {}
-        for _, i, n in sorted(all_docs.get(p.source, [])):
+        run, part, inside = 0, sorted(all_docs.get(p.source, [])), set()
+        for *_, i, n in part:
             run += n
-            extra = 1 if p.rest and run - n / 2 <= p.rest else 0
-            if p.epochs + extra:
-                want[i] = p.epochs + extra
+            if not p.rest or run > p.rest:
+                run -= n
+                break
+            inside.add(i)
+        if p.rest - run > mixing.GAP_SHARE * p.rest:
+            inside |= set(mixing._fill(p.rest - run, [(n, i) for *_, i, n in part if i not in inside][: mixing.FILL]))
+        want = {i: p.epochs + (i in inside) for *_, i, _ in part if p.epochs + (i in inside)}
         assert uses[p.source] == want, p
         assert max(want.values(), default=0) <= p.max_repeats
     rep = {r.source: r for r in report.collect()}
@@ -213,6 +230,41 @@ def test_mix(spark, total):
     docs.unpersist()
 
 
+def test_fill():
+    assert mixing._fill(10, [(12, "a"), (4, "b"), (0, "c"), (7, "d"), (5, "e")]) == ["b", "e"]
+    assert mixing._fill(10, [(12, "a"), (30, "b")]) == ["a"] and mixing._fill(10, [(20, "a")]) == [] and mixing._fill(3, []) == []
+
+
+def test_mix_equal_keys(spark):
+    """Keys that are all equal, as of texts without a weight, are divided by a hash of the id."""
+    df = spark.range(30_000).select("id", F.lit("s").alias("source"), (F.col("id") % 7 + 1).alias("n_tokens"), F.lit(2.5).alias("key"))
+    one = [("s", 1.0, 1)], "source string, target_share double, max_repeats int"
+    chosen, report = mix(df, spark.createDataFrame(*one), 30_000)
+    ids = [r.id for r in chosen.collect()]
+    assert 29_970 <= report.first().chosen_tokens <= 30_000 and 6500 < len(ids) < 8500 and 13_000 < sum(ids) / len(ids) < 17_000
+    worst = spark.range(100).select("id", F.lit("s").alias("source"), F.lit(50).cast("bigint").alias("n_tokens"), F.lit(1.0).alias("key"))
+    assert [mix(worst, spark.createDataFrame(*one), n)[1].first().chosen_tokens for n in (20, 30, 74, 76)] == [0, 50, 50, 100]
+
+
+def test_quality_weight(spark):
+    from crosslake.llm import quality as U
+
+    usual = ["the table was loaded without errors and all checks have passed today", "the report of the table has passed the checks without errors"] * 40
+    odd = ["zq xv wj kq pz vx jw qk zp xq vj wk", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts = [*usual, *odd, None, "", "ab", "\U0001f600\U0001f601\U0001f602"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    model = U.train(df, "text")
+    grams = [t[k : k + 3] for t in texts if t for k in range(len(t) - 2)]
+    assert model[0].sum() == model[1].sum() == len(grams)
+    bits = U.scorer(model)(pa.array(texts, pa.string())).to_pylist()
+    assert bits[-4:-1] == [None] * 3 and bits[len(usual)] > max(bits[: len(usual)]) + 1
+    assert U.scorer(model)(pa.array([texts[0], None, texts[len(usual)]], pa.string())).to_pylist() == pytest.approx([bits[0], None, bits[len(usual)]], abs=1e-9)
+    w = spark.createDataFrame([(b,) for b in (5.0, 6.0, 20.0, None)], "b double").select(U.usual_weight(F.col("b"), F.lit(5.0), F.lit(1.0))).collect()
+    assert [round(r[0], 3) for r in w] == [1.0, 0.607, U.LEAST_WEIGHT, U.LEAST_WEIGHT]
+    empty = U.train(df.limit(0), "text")
+    assert empty[0].sum() == 0 and U.scorer(empty)(pa.array(["abc", None])).to_pylist()[1] is None
+
+
 def test_mix_prefers_weight(spark):
     df = spark.range(20_000).select("id", F.lit("s").alias("source"), F.lit(10).cast("bigint").alias("n_tokens"), exponential_key(F.col("id"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0)).alias("key"))
     chosen = mix(df, spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int"), 40_000)[0]
@@ -353,3 +405,35 @@ def test_pieces_do_not_matter(monkeypatch):
     monkeypatch.setattr(S, "PIECE_BYTES", 64)
     b = [(first, codes.tolist(), n.tolist()) for first, codes, n in S._coded(texts)]
     assert [x for _, c, _ in a for x in c] == [x for _, c, _ in b for x in c] and len(b) > len(a)
+
+
+def test_mixes_that_collide(monkeypatch):
+    """Where the sorted mix of two different windows is the same, all hashes decide."""
+    t = pa.table({"h": pa.array([5] * 4, pa.int64()), "left": pa.array([0] * 4, pa.int32()), "ck": pa.array([1, 2, 3, 4], pa.int64()), "ctx": ["abcdefgh", "zbcdefgh", "abcdefgi", "xxxxxxxx"], "lo": pa.array([1, 2, 3, 4], pa.int64()), "hi": pa.array([1, 2, 3, 4], pa.int64())})
+    want = [b.to_pydict() for b in S._compare(t, 6)]
+    real = S._mix
+    monkeypatch.setattr(S, "_mix", lambda a, b: real(a, b) & np.uint64(0) if len(a) == 12 else real(a, b))
+    got = [b.to_pydict() for b in S._compare(t, 6)]
+    key = lambda out: sorted((r["ck"], r["a"], r["b"]) for b in out for r in pa.table(b).to_pylist() if r["a"] is not None)
+    assert key(got) == key(want) != []
+
+
+def test_many_runs():
+    """A bucket's merge keeps at most the open runs' heads and n items a group, however many runs come."""
+    r = np.random.default_rng(5)
+    order = [("slot", "ascending"), ("group_key", "ascending"), ("score", "descending"), ("tie0", "ascending")]
+    m, all_rows, most = topn._Merger(3, order), [], 0
+    for _ in range(300):
+        n = int(r.integers(1, 60))
+        g = r.integers(0, 20, n)
+        t = pa.table({"slot": pa.array(g * 7 % 5, pa.int32()), "group_key": [f"g{x}" for x in g], "score": r.integers(0, 50, n), "tie0": r.integers(0, 10**6, n)})
+        run = topn._cut(topn._sorted(t, order), 3, [c for c, _ in order[1:]])
+        all_rows += [tuple(x.values())[1:] for x in run.to_pylist()]
+        m.add(run)
+        most = max(most, sum(x.num_rows for some in m.levels for x in some))
+    groups = defaultdict(set)
+    for g, s, t in all_rows:
+        groups[g].add((-s, t))
+    got = m.end().to_pylist()
+    assert sorted((x["group_key"], x["rank"], -x["score"], x["tie0"]) for x in got) == sorted((g, k + 1, *x) for g, v in groups.items() for k, x in enumerate(sorted(v)[:3]))
+    assert most <= topn.FAN_IN * 60 + 5 * topn.FAN_IN * 60
