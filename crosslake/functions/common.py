@@ -94,10 +94,11 @@ class Scratch:
         self._paths: dict[int, str] = {}
         _roots.append((spark, self.root))
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
+        """``by``: columns whose values get folders of their own, so that a filter on them reads no others."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

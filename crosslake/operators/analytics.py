@@ -108,6 +108,11 @@ def health_totals(health: DataFrame) -> DataFrame:
     return health.agg(F.count(F.lit(1)).alias("total_connections"), is_("online").alias("online"), is_("offline").alias("offline"), is_("error").alias("error"), is_("untested").alias("idle"))
 
 
+def health_by_type(health: DataFrame) -> DataFrame:
+    """Connections of each type and how many of them are online."""
+    return health.groupBy("type").agg(F.count(F.lit(1)).alias("connections"), F.count_if(F.col("status") == "online").alias("online"))
+
+
 def dataset_catalog(staged: DataFrame, connections: DataFrame, transformations: DataFrame, cross_queries: DataFrame, shares: DataFrame) -> DataFrame:
     """All datasets in one list, each with its active share if it has one (of several, the one with the smallest id)."""
     dash, zero = F.lit("-"), F.lit(0)

@@ -9,14 +9,16 @@ pattern inside the JVM; a file's lines never leave its row, so nothing is shuffl
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosslake.functions.common import same_id
+from crosslake.functions.common import Scratch, same_id
 
 SEPARATORS = (",", ";", "\t", "|")
 MOST_SCHEMA_COLUMNS = 20_000
+JUDGED_COLUMNS = 64
 
 _DAY = (
     r"(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
@@ -105,7 +107,27 @@ def file_records(files: DataFrame) -> DataFrame:
 
 
 def judge(records: DataFrame, schemas: dict[str, list[tuple[str, str, bool]]]) -> DataFrame:
-    """Adds ``reason`` (null for sound rows: the first of quoting, column_count, invalid_value that applies) and ``field_no`` (from 0, the first broken field)."""
+    """Adds ``reason`` (null for sound rows: the first of quoting, column_count, invalid_value that applies) and ``field_no`` (from 0, the first broken field).
+
+    The patterns stand in the plan, so kinds of up to JUDGED_COLUMNS columns together are
+    judged by one expression; with more, the records are written once, by their part of the
+    kinds, and each part is judged with its own patterns.
+    """
+    parts: list[dict] = [{}]
+    for kind, columns in schemas.items():
+        if parts[-1] and sum(map(len, parts[-1].values())) + len(columns) > JUDGED_COLUMNS:
+            parts.append({})
+        parts[-1][kind] = columns
+    if len(parts) == 1:
+        return _judge(records, schemas)
+    of = F.create_map(*[F.lit(x) for i, p in enumerate(parts) for kind in p for x in (kind, i)])
+    scratch = Scratch(records.sparkSession, "records")
+    kept = scratch.write(records.withColumn("part_no", F.coalesce(F.try_element_at(of, F.col("kind")), F.lit(0))), "part_no")
+    each = [_judge(kept.where(F.col("part_no") == i).drop("part_no"), p) for i, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _judge(records: DataFrame, schemas: dict[str, list[tuple[str, str, bool]]]) -> DataFrame:
     reason: Column = F.when(F.lit(False), F.lit(""))
     field: Column = F.when(F.lit(False), F.lit(0))
     rec = F.col("record")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from crosslake.plans.binding import bind, frames_resolver
 from crosslake.plans.guards import UnsafeSql, is_safe_query
 
 CHECK_TYPES = ("not_null", "unique", "min_rows", "max_rows", "freshness", "custom_sql")
-DISTINCT_BATCH = 8  # exact distinct counts multiply rows by their number, so wide tables are profiled in batches
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
 def profile_table(df: DataFrame, sample_rows: int | None = None, max_columns: int = 200, exact: bool = True, typed_extremes: bool = False) -> DataFrame:
@@ -24,41 +23,53 @@ def profile_table(df: DataFrame, sample_rows: int | None = None, max_columns: in
 
     min and max are those of the texts; ``typed_extremes`` adds typed_min and typed_max.
     avg and stddev (of the sample) are for numbers, to two decimals. ``exact=False`` counts
-    distinct values by sketches in one scan; otherwise DISTINCT_BATCH columns share a scan.
-    An empty table has counts and percents of 0.
+    distinct values by sketches in the same scan; otherwise one more pass turns the columns
+    into rows of (column, value), which are counted as groups, so neither the number of
+    scans nor the width of a row grows with the columns. An empty table has counts and
+    percents of 0.
     """
     if len(df.columns) > max_columns:
         raise ValueError(f"Table has {len(df.columns)} columns; profiling is capped at {max_columns}")
     if sample_rows:
         df = df.limit(sample_rows)
     fields = df.schema.fields
-    step = DISTINCT_BATCH if exact else max(1, len(fields))
-    parts = [_profile(df, fields[i : i + step], exact, typed_extremes) for i in range(0, len(fields), step)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _profile(df: DataFrame, fields: list[T.StructField], exact: bool, typed_extremes: bool) -> DataFrame:
     aggs, recs = [F.count(F.lit(1)).alias("total")], []
-    total = F.col("total")
+    total, none = F.col("total"), F.lit(None)
+    share = lambda n: F.when(total > 0, F.floor(n / total * 10000 + 0.5) / 100).otherwise(0.0)
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        text, number = c.cast("string"), isinstance(f.dataType, T.NumericType)
-        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-        aggs += [F.count(c).alias(f"n{i}"), (F.count_distinct if exact else F.approx_count_distinct)(F.to_json(c) if nested else c).alias(f"d{i}"), F.min(text).alias(f"lo{i}"), F.max(text).alias(f"hi{i}")]
+        text, number, nested = c.cast("string"), isinstance(f.dataType, T.NumericType), isinstance(f.dataType, _NESTED)
+        aggs += [F.count(c).alias(f"n{i}"), F.min(text).alias(f"lo{i}"), F.max(text).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.approx_count_distinct(_distinct_text(c, f.dataType)).alias(f"d{i}"))
         if number:
             aggs += [F.avg(c).alias(f"avg{i}"), F.stddev_samp(c).alias(f"sd{i}")]
         if typed_extremes and not nested:
             aggs += [F.min(c).cast("string").alias(f"tlo{i}"), F.max(c).cast("string").alias(f"thi{i}")]
-        share = lambda n: F.when(total > 0, F.floor(n / total * 10000 + 0.5) / 100).otherwise(0.0)
         nulls = total - F.col(f"n{i}")
-        none = F.lit(None)
         recs.append(F.struct(
             F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("data_type"), total.alias("total_rows"), nulls.alias("null_count"), share(nulls).alias("null_percent"),
-            F.col(f"d{i}").alias("distinct_count"), share(F.col(f"d{i}")).alias("distinct_percent"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
+            (F.lit(0).cast("bigint") if exact else F.col(f"d{i}")).alias("distinct_count"), F.lit(0.0).alias("distinct_percent"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
             (round_half_up(F.col(f"avg{i}").cast("double")) if number else none.cast("double")).alias("avg"), (round_half_up(F.col(f"sd{i}")) if number else none.cast("double")).alias("stddev"),
             *([(F.col(f"tlo{i}") if not nested else none.cast("string")).alias("typed_min"), (F.col(f"thi{i}") if not nested else none.cast("string")).alias("typed_max")] if typed_extremes else []),
+            F.lit(i).alias("__i"),
         ))
-    return df.agg(*aggs).select(F.explode(F.array(*recs)).alias("p")).select("p.*")
+    out = df.agg(*aggs).select(F.explode(F.array(*recs)).alias("p")).select("p.*")
+    if exact:
+        values = df.select(*[_distinct_text(F.col(f"`{f.name}`"), f.dataType).alias(str(i)) for i, f in enumerate(fields)]).unpivot([], [str(i) for i in range(len(fields))], "__c", "v")
+        counts = values.where("v is not null").groupBy("__c", "v").agg(F.lit(1).alias("one")).groupBy("__c").agg(F.count(F.lit(1)).alias("__d"))
+        out = out.join(F.broadcast(counts.limit(max_columns)), F.col("__i").cast("string") == F.col("__c"), "left").withColumn("distinct_count", F.coalesce("__d", F.lit(0))).drop("__c", "__d")  # a row for each column
+    percent = F.when(F.col("total_rows") > 0, F.floor(F.col("distinct_count") / F.col("total_rows") * 10000 + 0.5) / 100).otherwise(0.0)
+    return out.withColumn("distinct_percent", percent).drop("__i")
+
+
+def _distinct_text(c: Column, t: T.DataType) -> Column:
+    """A text that is equal for equal values only; zeros of either sign are equal."""
+    if isinstance(t, _NESTED):
+        return F.to_json(c)
+    if isinstance(t, T.BinaryType):
+        return F.hex(c)
+    return (c + F.lit(0.0).cast(t)).cast("string") if isinstance(t, (T.DoubleType, T.FloatType)) else c.cast("string")
 
 
 @dataclass

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslake.functions.common import checkpointed
+from crosslake.functions.common import checkpointed, local_rows
 from crosslake.sources.files import with_row_numbers
 
 MOST_SERIES = 10_000
+RANGE_ROWS = 100_000
 
 
 def number(c: Column) -> Column:
@@ -25,13 +26,19 @@ def series(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pivot_long(df: DataFrame, x: str, group: str, y: str, order: Column) -> DataFrame:
-    """Every (x, group) with its value: the last one by ``order``, 0 where there is none; x_no and group_no give the order of first appearance."""
+    """Every (x, group) with its value: the last one by ``order``, 0 where there is none; x_no and group_no give the order of first appearance.
+
+    Each x gets a row for each group, of which there may be MOST_SERIES.
+    """
     base = df.select(F.coalesce(F.col(x).cast("string"), F.lit("null")).alias("x"), F.coalesce(F.col(group).cast("string"), F.lit("null")).alias("grp"), F.col(y).cast("string").try_cast("double").alias("y"), order.alias("o"))
     cell = base.groupBy("x", "grp").agg(F.max_by(F.struct("y"), "o")["y"].alias("y"), F.min("o").alias("o"))
     xs = cell.groupBy("x").agg(F.min("o").alias("x_no"))
-    gs = cell.groupBy("grp").agg(F.min("o").alias("group_no"))
-    # the full grid is the result itself
-    grid = xs.crossJoin(gs)
+    gs = cell.groupBy("grp").agg(F.min("o").alias("group_no")).limit(MOST_SERIES + 1).collect()  # become a list in the plan
+    if len(gs) > MOST_SERIES:
+        raise ValueError(f"Over {MOST_SERIES} series")
+    kind = cell.schema["o"].dataType.simpleString()
+    every = local_rows(df.sparkSession, [([tuple(r) for r in gs],)], f"gs array<struct<grp:string,group_no:{kind}>>")
+    grid = xs.join(F.broadcast(every)).select("x", "x_no", F.explode("gs").alias("g")).select("x", "x_no", "g.*")  # one row
     return grid.join(cell.select("x", "grp", "y"), ["x", "grp"], "left").select("x", "grp", F.coalesce(F.when(~F.isnan("y"), F.col("y")), F.lit(0.0)).alias("y"), "x_no", "group_no")
 
 
@@ -77,17 +84,15 @@ def time_buckets(df: DataFrame, ts: str, value: str, period: str, order: Column
 def moving_average(df: DataFrame, value: str, order: list[str], window: int, by: list[str] | None = None, out: str = "moving_avg") -> DataFrame:
     """The mean of the last ``window`` values, fewer at the start, within each group of ``by``.
 
-    Without ``by`` the whole table is one series: it is cut into ranges of the order, and
-    each range gets the ``window - 1`` rows before it, so no task sorts the whole series.
+    The rows, sorted by group and order, are cut into ranges, and each range gets the
+    ``window - 1`` rows before it; so no task holds a whole series, however long one is.
     """
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1), 0)
-        return df.withColumn(out, F.avg(value).over(w))
-    rows = with_row_numbers(checkpointed(df.orderBy(*order)), 0, "__n")
-    size = max(100_000, window)
+    by = by or []
+    rows = with_row_numbers(checkpointed(df.orderBy(*by, *order)), 0, "__n")
+    size = max(RANGE_ROWS, window)
     block = F.floor(F.col("__n") / size)
     both = rows.withColumn("__b", F.explode(F.when(F.col("__n") % size > size - window, F.array(block, block + 1)).otherwise(F.array(block))))
-    w = Window.partitionBy("__b").orderBy("__n").rowsBetween(-(window - 1), 0)
+    w = Window.partitionBy("__b", *by).orderBy("__n").rowsBetween(-(window - 1), 0)
     return both.withColumn(out, F.avg(value).over(w)).where(F.col("__b") == block).drop("__b", "__n")
 
 

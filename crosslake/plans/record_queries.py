@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslake.functions.common import Scratch, latest, same_id, table
+from crosslake.functions.scalars import round_half_up
 from crosslake.operators.bad_records import failing_records, sound_records
 from crosslake.operators.hierarchy import descendants, hierarchies
-from crosslake.operators.load_profile import agreed_profiles, all_columns, column_states, control_limits, departures, profiles
+from crosslake.operators.load_profile import agreed_profiles, all_columns, column_states, control_limits, departures, distribution_shifts, merge_states, profiles
 from crosslake.operators.nested import flatten_nested
 from crosslake.operators.orphans import key_of, orphan_references
 
@@ -173,6 +174,37 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return profiles(_states(spark, d, True)[0])
 
 
+_EXACT = ("table_name", "load_no", "column_name", "total_rows", "null_count", "null_percent", "range_violations", "pattern_violations")
+
+
+def _exact(profile: DataFrame, *keys: str) -> DataFrame:
+    """What is exact in a profile; extremes of numbers as numbers, means to three decimals."""
+    number, text = (lambda c: F.when(F.col("mean_value").isNotNull(), F.col(c).cast("double"))), (lambda c: F.when(F.col("mean_value").isNull(), F.col(c)))
+    return profile.select(*keys, *_EXACT[2:], number("min_value").alias("low"), number("max_value").alias("high"), text("min_value").alias("first_text"), text("max_value").alias("last_text"), round_half_up(F.col("mean_value"), 3).alias("mean_value"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The exact parts of the profile of every column of every load."""
+    return _exact(profiles(_states(spark, d, True)[0]), "table_name", "load_no")
+
+
+def p5_overall(spark: SparkSession, d: str) -> DataFrame:
+    """The exact parts of the profile of every column of each table, from the merged states of its loads; nothing is read again."""
+    states = Scratch(spark, "states").write(_states(spark, d, True)[0])
+    return _exact(profiles(merge_states(states.withColumn("load_no", F.lit(0)))), "table_name")
+
+
+def p5_control(spark: SparkSession, d: str) -> DataFrame:
+    """Control limits over the exact metrics alone."""
+    exact = profiles(_states(spark, d, True)[0]).select("table_name", "load_no", "column_name", "null_percent", "mean_value", "range_percent", "pattern_percent")
+    return control_limits(exact).select("table_name", "load_no", "column_name", "metric", round_half_up(F.col("value"), 3).alias("value"))
+
+
+def p5_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of loads whose values are distributed otherwise than in the loads before."""
+    return distribution_shifts(_states(spark, d, True)[0])
+
+
 def p5_anomalies(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of loads outside the control limits of the loads before."""
     return control_limits(profiles(_states(spark, d, True)[0]))
@@ -183,7 +215,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_fields": p2_fields, "p2_loaded_meters": _loaded("meters"), "p2_loaded_shipments": _loaded("shipments"), "p2_loaded_tickets": _loaded("tickets"),
     "p3_found": p3_found, "p3_counts": p3_counts,
     "p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants,
-    "p5_found": p5_found, "p5_profile": p5_profile, "p5_anomalies": p5_anomalies,
+    "p5_found": p5_found, "p5_profile": p5_profile, "p5_anomalies": p5_anomalies, "p5_counts": p5_counts, "p5_overall": p5_overall, "p5_control": p5_control, "p5_shifts": p5_shifts,
 }
 
 # --- the same in SQL, straight from the problem statements
@@ -253,7 +285,72 @@ def _p5_sql() -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE issue IS NOT NULL"
 
 
+_PROFILED = {
+    "query_history": ("id", "connection_id", "organization_id", "sql_query", "executed_at", "execution_time_ms", "row_count", "status", "error_message"),
+    "quality_check_runs": ("id", "check_id", "organization_id", "status", "actual_value", "expected_desc", "error_message", "duration_ms", "ran_at"),
+}
+_NUMERIC, _TIMES = ("execution_time_ms", "row_count", "actual_value", "duration_ms"), ("executed_at", "ran_at")
+
+
+def _exact_sql(by_load: bool) -> str:
+    parts = []
+    for t, columns in _PROFILED.items():
+        for c in columns:
+            number, to = c in _NUMERIC, "TIMESTAMP" if c in _TIMES else "DOUBLE"
+            v = f"CAST({c} AS {to})"
+            outside = f"count(*) FILTER ({v} < CAST(rtrim(min_value, 'Z') AS {to}) OR {v} > CAST(rtrim(max_value, 'Z') AS {to}))" if number or c in _TIMES else "CAST(0 AS BIGINT)"
+            text = lambda f: "CAST(NULL AS VARCHAR)" if number else f"CAST({f}({c}) AS VARCHAR)"  # noqa: E731, B023
+            num = lambda f: f"{f}({v})" if number else "CAST(NULL AS DOUBLE)"  # noqa: E731, B023
+            parts.append(
+                f"SELECT '{t}' AS table_name, {'load_no, ' if by_load else ''}'{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, (count(*) - count({c})) * 100e0 / count(*) AS null_percent, {outside} AS range_violations, "
+                f"count(*) FILTER (NOT regexp_matches(CAST({c} AS VARCHAR), value_pattern)) AS pattern_violations, {num('min')} AS low, {num('max')} AS high, {text('min')} AS first_text, {text('max')} AS last_text, {f'avg({v})' if number else 'CAST(NULL AS DOUBLE)'} AS mean, count({c}) AS filled "
+                f"FROM {t} LEFT JOIN (SELECT * FROM table_profiles WHERE table_name = '{t}' AND column_name = '{c}') p ON TRUE GROUP BY ALL"
+            )
+    return " UNION ALL ".join(parts)
+
+
+_EXACT_COLUMNS = "column_name, total_rows, null_count, null_percent, range_violations, pattern_violations, low, high, first_text, last_text, floor(mean * 1000 + 0.5) / 1000 AS mean_value"
+_CONTROL = f"""
+WITH x AS ({_exact_sql(True)}), l AS (
+  SELECT table_name, load_no, column_name, unnest(['null_percent', 'mean_value', 'range_percent', 'pattern_percent']) AS metric, unnest([null_percent, mean, range_violations * 100e0 / nullif(filled, 0), pattern_violations * 100e0 / nullif(filled, 0)]) AS value FROM x),
+s AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS sd, count(value) OVER w AS n FROM l WINDOW w AS (PARTITION BY table_name, column_name, metric ORDER BY load_no ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
+
+
+# records of uploaded files, without the engine's patterns: fields are split and each value is tried
+_RECORDS = r"""
+WITH raw AS (SELECT file_id, lower(trim(schema_kind)) AS kind, buffer, regexp_matches(lower(coalesce(mimetype, '')), 'iso[-_ ]?8859-1([^0-9]|$)') AS latin FROM uploaded_files WHERE octet_length(buffer) > 0),
+txt AS (SELECT file_id, kind, regexp_replace(CASE WHEN latin THEN (SELECT string_agg(chr(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)), '' ORDER BY i) FROM (SELECT hex(buffer) AS h), unnest(range(octet_length(buffer))) u(i)) ELSE decode(buffer) END, '^(' || chr(65279) || '|' || chr(239) || chr(187) || chr(191) || ')', '') AS t FROM raw),
+head AS (SELECT *, list_transform([',', ';', chr(9), '|'], lambda s: length(split_part(t, chr(10), 1)) - length(replace(split_part(t, chr(10), 1), s, ''))) AS n FROM txt),
+sepd AS (SELECT file_id, kind, string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)) AS l, [',', ';', chr(9), '|'][list_position(n, list_max(n))] AS sep FROM head),
+starts AS (SELECT *, list_filter(range(2, len(l) + 1), lambda i: regexp_matches(l[i], '^[0-9]+[' || sep || ']')) AS st FROM sepd),
+rec AS (SELECT file_id, kind, sep, CAST(st[k] AS INTEGER) AS line_no, regexp_replace(array_to_string(l[st[k]:coalesce(st[k + 1], len(l) + 1) - 1], chr(10)), '(\n[ \t\v\f\r]*)+$', '') AS r FROM (SELECT *, unnest(range(1, len(st) + 1)) AS k FROM starts)),
+cols AS (SELECT lower(trim(schema_kind)) AS kind, list({'t': data_type, 'need': required} ORDER BY position) AS cs FROM upload_schemas GROUP BY 1),
+part AS (SELECT rec.*, cs, regexp_full_match(r, f || '([' || sep || ']' || f || ')*') AS quoted, list_transform(regexp_extract_all(r, '(^|[' || sep || '])' || f, 2), lambda p: regexp_replace(CASE WHEN starts_with(p, '"') THEN replace(p[2:-2], '""', '"') ELSE p END, '^\s+|\s+$', '', 'g')) AS v
+  FROM (SELECT *, '("(?:[^"]|"")*"|[^"' || sep || ']*)' AS f FROM rec) rec JOIN cols USING (kind)),
+judged AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(v) <> len(cs) THEN 'column_count' WHEN len(list_filter(range(1, len(cs) + 1), lambda i: NOT CASE WHEN v[i] = '' THEN NOT cs[i].need
+    WHEN cs[i].t = 'integer' THEN regexp_full_match(v[i], '-?[0-9]+') WHEN cs[i].t = 'decimal' THEN regexp_full_match(v[i], '-?[0-9]+(\.[0-9]+)?') WHEN cs[i].t = 'boolean' THEN lower(v[i]) IN ('true', 'false', 'yes', 'no', '1', '0')
+    WHEN cs[i].t = 'date' THEN regexp_full_match(v[i], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v[i] AS DATE) IS NOT NULL AND v[i] >= '0001'
+    WHEN cs[i].t = 'timestamp' THEN regexp_full_match(v[i], '[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') AND try_cast(v[i][1:10] AS DATE) IS NOT NULL AND v[i] >= '0001' ELSE TRUE END)) > 0 THEN 'invalid_value' END AS reason FROM part)"""
+
+
+def _loaded_sql(kind: str, columns: str) -> str:
+    to = {"integer": "BIGINT", "decimal": "DECIMAL(38,10)", "date": "DATE", "timestamp": "TIMESTAMP", "text": "VARCHAR"}
+    out = []
+    for i, spec in enumerate(columns.split(), 1):
+        name, t = spec.split(":")
+        v = f"nullif(v[{i}], '')"
+        out.append((f"lower({v}) IN ('true', 'yes', '1')" if t == "boolean" else f"CAST({v} AS {to[t]})") + f' AS "{name}"')
+    return f"{_RECORDS} SELECT file_id, line_no, {', '.join(out)}, CAST(NULL AS VARCHAR) AS unfit FROM judged WHERE kind = '{kind}' AND reason IS NULL"
+
+
 SQL = {
+    "p2_found": f"{_RECORDS} SELECT file_id, line_no, reason FROM judged WHERE reason IS NOT NULL",
+    "p2_loaded_meters": _loaded_sql("meters", "seq:integer meter_code:text read_on:date reading:decimal estimated:boolean observation:text"),
+    "p2_loaded_shipments": _loaded_sql("shipments", "seq:integer depot:text shipped_at:timestamp units:integer weight_kg:decimal fragile:boolean remark:text route:text"),
+    "p2_loaded_tickets": _loaded_sql("tickets", "seq:integer opened_on:date queue:text priority:integer hours:decimal escalated:boolean note:text"),
+    "p5_counts": f"SELECT table_name, load_no, {_EXACT_COLUMNS} FROM ({_exact_sql(True)})",
+    "p5_overall": f"SELECT table_name, {_EXACT_COLUMNS} FROM ({_exact_sql(False)})",
+    "p5_control": f"{_CONTROL} SELECT table_name, load_no, column_name, metric, floor(value * 1000 + 0.5) / 1000 AS value FROM s WHERE n >= 8 AND abs(value - m) > greatest(3 * sd, 1e-9 * greatest(abs(m), 1))",
     "p1_found": f"{_WALK} SELECT root_table, root_id, parent_path, path AS node_path FROM walk WHERE hit",
     "p1_steps": f"""SELECT pipeline_id, 'steps[' || i || ']' AS node_path, CAST(i AS INTEGER) AS position, x ->> '$.id' AS step_id, x ->> '$.type' AS type, x ->> '$.label' AS label, CAST(x ->> '$.position.x' AS DOUBLE) AS x, CAST(x ->> '$.position.y' AS DOUBLE) AS y
       FROM (SELECT id AS pipeline_id, i, json_extract(d, '$.steps[' || i || ']') AS x FROM (SELECT id, d, unnest(range(CAST(json_array_length(d, '$.steps') AS BIGINT))) AS i FROM ({_READABLE}))) WHERE json_type(x) = 'OBJECT'""",

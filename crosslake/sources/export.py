@@ -103,12 +103,24 @@ def dashboard_report(sections: dict[str, dict | list[dict]], generated_at: datet
     return "\n".join(out)
 
 
-def catalog_payload(services: DataFrame, tables: DataFrame, edges: DataFrame, history: DataFrame, now: Column, days: int = 7, queries: int = 500) -> DataFrame:
-    """What a metadata catalog is told: kind, name and JSON body of services, tables, lineage edges, and the latest queries."""
+def catalog_payload(services: DataFrame, tables: DataFrame, pipelines: DataFrame, edges: DataFrame, history: DataFrame, now: Column, days: int = 7, queries: int = 500) -> DataFrame:
+    """What a metadata catalog is told: kind, name and JSON body of services, tables, pipelines, lineage edges, and the latest queries."""
     body = lambda df: F.to_json(F.struct(*df.columns))
     recent = history.where(F.col("executed_at") > now - F.make_dt_interval(F.lit(days))).orderBy(F.desc("executed_at"), "id").limit(queries)
     part = lambda df, kind, name: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), body(df).alias("body"))
-    return part(services, "service", "name").unionByName(part(tables, "table", "name")).unionByName(part(edges, "edge", "id")).unionByName(part(recent, "query", "id"))
+    return part(services, "service", "name").unionByName(part(tables, "table", "name")).unionByName(part(pipelines, "pipeline", "name")).unionByName(part(edges, "edge", "id")).unionByName(part(recent, "query", "id"))
+
+
+def catalog_changes(payload: DataFrame, known: DataFrame) -> DataFrame:
+    """The payload against what a catalog knows (kind, name, body): the entries to send, each with ``action``, created or updated; equal ones are left out.
+
+    Entries with the same kind and name count once, the one with the greatest body.
+    """
+    at = ["kind", "name"]
+    new = payload.groupBy(*at).agg(F.max("body").alias("body"))
+    old = known.groupBy(*at).agg(F.max("body").alias("known"))
+    met = new.join(old, at, "left").where(~F.col("body").eqNullSafe(F.col("known")))
+    return met.select(*at, "body", F.when(F.col("known").isNull(), "created").otherwise("updated").alias("action"))
 
 
 def payload_counts(payload: DataFrame) -> DataFrame:

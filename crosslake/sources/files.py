@@ -8,6 +8,7 @@ import urllib.request
 from base64 import b64encode
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def as_time(c: Column) -> Column:
 
 
 def infer_types(df: DataFrame, sample: int | None = None, json_words: bool = False, strays: float = 0.0) -> dict[str, str]:
-    """integer, numeric, boolean, timestamp or text for each text column, in one pass over all rows (or any ``sample`` of them).
+    """integer, numeric, boolean, timestamp or text for each text column, in one pass over all rows, or from ``sample`` values of each column that are not empty.
 
     Empty cells do not count; a column without values is text. Numbers are tested before
     booleans, so a column of ones and zeros is an integer; one number with a fraction makes
@@ -49,7 +50,10 @@ def infer_types(df: DataFrame, sample: int | None = None, json_words: bool = Fal
         whole = F.coalesce(v.try_cast("double") == F.rint(v.try_cast("double")), F.lit(False))
         aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.rlike(NUMBER)).alias(f"num{i}"), F.count_if(v.rlike(NUMBER) & ~whole).alias(f"fraction{i}")]
         aggs += [F.count_if(F.lower(v).isin(*words)).alias(f"bool{i}"), F.count_if(as_time(v).isNotNull()).alias(f"time{i}")]
-    r = (df if sample is None else df.limit(sample)).agg(*aggs).first()
+    if sample is not None:
+        one = [df.where(F.col(f"`{c}`").cast("string") != "").limit(sample).select(*[(F.col(f"`{c}`") if k == i else F.lit(None)).cast("string").alias(n) for k, n in enumerate(df.columns)]) for i, c in enumerate(df.columns)]
+        df = reduce(DataFrame.unionByName, one)
+    r = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(df.columns):
         n = r[f"n{i}"]
@@ -102,11 +106,14 @@ def error_records(df: DataFrame, row_col: str, types: dict[str, str] | None = No
     return df.select(F.explode(F.array_compact(F.array(*recs))).alias("e")).select("e.*")
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, multi_line: bool | None = None) -> DataFrame:
     """Text columns; without a header they are named 0, 1, 2 ... Quoted fields may hold separators, doubled quotes and line ends.
 
-    ``multi_line=False`` lets large files split, for files whose fields hold no line ends.
+    Files are split among tasks unless a field holds a line end, which a pass over the lines
+    finds (one with an odd number of quotes); ``multi_line`` spares that pass.
     """
+    if multi_line is None:
+        multi_line = not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
     df = spark.read.csv(path, sep=delimiter, header=header, multiLine=multi_line, quote='"', escape='"', inferSchema=False, enforceSchema=False, mode="PERMISSIVE", nullValue="\u0000", emptyValue="")
     return df if header else df.toDF(*map(str, range(len(df.columns))))
 
@@ -145,7 +152,11 @@ def read_json(spark: SparkSession, path: str, root_path: str | None = None) -> t
         rows = doc.select(F.lit(1).cast("bigint").alias("row"), F.col("v").alias("value"))
     else:
         rows = doc.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select((F.col("pos") + 1).cast("bigint").alias("row"), "value")
-    is_obj = F.schema_of_variant("value").startswith("OBJECT")
+    return _json_rows(rows)
+
+
+def _json_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    is_obj = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
     bad = rows.where(~is_obj).select("row", F.lit(None).cast("string").alias("column"), F.col("value").cast("string").alias("value"), F.lit("Row is not an object").alias("error"), F.lit("VALIDATION_ERROR").alias("type"), F.lit("error").alias("severity"), F.lit("Provide an object").alias("suggestion"))
     good = rows.where(is_obj)
     keys = _object_keys(good)
@@ -159,6 +170,12 @@ def read_json(spark: SparkSession, path: str, root_path: str | None = None) -> t
     return flat.withColumnRenamed("row", "_row"), bad.unionByName(empty)
 
 
+def read_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of a file with one JSON document a line, which splits among tasks; blank lines count as rows without an object."""
+    lines = with_row_numbers(spark.read.text(path), 1, "row")
+    return _json_rows(lines.select("row", F.try_parse_json("value").alias("value"), F.col("value").alias("text")).where(F.trim("text") != "").drop("text"))
+
+
 def _object_keys(good: DataFrame) -> list[tuple[str, str | None]]:
     """(key, nested key) of the objects; the union over all rows, in order of first appearance by row."""
     tvf = good.sparkSession.tvf
@@ -200,9 +217,9 @@ class Parsed:
 
 
 def file_kind(name: str) -> str:
-    """csv, excel, json, parquet, orc or avro by the ending."""
+    """csv, excel, json, json lines, parquet or orc by the ending."""
     end = os.path.splitext(name.lower())[1].lstrip(".")
-    kinds = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "excel", "xls": "excel", "json": "json", "parquet": "parquet", "orc": "orc"}
+    kinds = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "excel", "xls": "excel", "json": "json", "jsonl": "json lines", "ndjson": "json lines", "parquet": "parquet", "orc": "orc"}
     if end not in kinds:
         raise ValueError(f"Unsupported file type: {end or name}")
     return kinds[end]
@@ -211,8 +228,8 @@ def file_kind(name: str) -> str:
 def parse_file(spark: SparkSession, path: str, kind: str | None = None, delimiter: str = ",", header: bool = True, sheet: str | None = None, root_path: str | None = None, trim: bool = False, skip_empty: bool = False) -> Parsed:
     """Any supported file as Parsed. Row numbers start at 1 (CSV with header, JSON) or 2 (the line below a header otherwise)."""
     kind = kind or file_kind(path)
-    if kind == "json":
-        rows, errors = read_json(spark, path, root_path)
+    if kind in ("json", "json lines"):
+        rows, errors = read_json(spark, path, root_path) if kind == "json" else read_json_lines(spark, path)
         types = infer_types(rows.drop("_row"), json_words=True, strays=STRAY_SHARE)
         return Parsed(rows, types, errors.unionByName(error_records(rows, "_row", types).where("severity = 'error'")))
     if kind in ("parquet", "orc"):

@@ -167,7 +167,7 @@ def test_export(spark, tmp_path):
     assert "A" in export.dashboard_report({"A": {"x": 1}, "B": [{"y": None}]}, dt.datetime(2025, 1, 1))
     h = spark.createDataFrame([("q", dt.datetime(2025, 1, 1))], "id string, executed_at timestamp_ntz")
     now = F.lit("2025-01-03 00:00:00").cast("timestamp_ntz")
-    pay = export.catalog_payload(df.select(F.col("t").alias("name")), df.select(F.col("t").alias("name")), h.select("id"), h, now)
+    pay = export.catalog_payload(df.select(F.col("t").alias("name")), df.select(F.col("t").alias("name")), df.select(F.col("t").alias("name")).limit(0), h.select("id"), h, now)
     assert {r.kind: r.n for r in export.payload_counts(pay).collect()} == {"service": 3, "table": 3, "edge": 1, "query": 1}
 
 
@@ -225,3 +225,39 @@ def test_rest(spark):
     assert read_rest(spark, "u", {"type": "offset", "items": "items", "size": 2}, offset, "i int").agg(F.sum("i")).first()[0] == 10
     with pytest.raises(ValueError):
         list(pages("u", {"type": "link"}, lambda u, p: ([1], {"next": "u"}), 5))
+
+
+def test_catalog_changes(spark):
+    p = spark.createDataFrame([("table", "a", "1"), ("table", "a", "1"), ("table", "b", "2"), ("table", "c", "3"), ("edge", "a", None)], "kind string, name string, body string")
+    known = spark.createDataFrame([("table", "a", "1"), ("table", "b", "1"), ("table", "z", "1")], p.schema)
+    assert sorted((r.kind, r.name, r.action) for r in export.catalog_changes(p, known).collect()) == [("table", "b", "updated"), ("table", "c", "created")]
+    assert export.catalog_changes(p.limit(0), known).count() == 0
+
+
+def test_csv_splits_unless_quoted(spark, tmp_path):
+    plain, quoted = f"{tmp_path}/plain.csv", f"{tmp_path}/quoted.csv"
+    with open(plain, "w") as f:
+        f.write("a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(500)))
+    with open(quoted, "w") as f:
+        f.write('a,b\n1,"two\nlines"\n2,x\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        df = files.read_csv(spark, plain)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 500 and df.where("a = '7'").first().b == 'x, "7"'
+        assert [r.b for r in files.read_csv(spark, quoted).collect()] == ["two\nlines", "x"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_lines(spark, tmp_path):
+    path = f"{tmp_path}/x.jsonl"
+    with open(path, "w") as f:
+        f.write('{"a": 1, "b": {"c": "x"}}\n\n[1]\n{"a": 2}\nbroken\n{"b": {"c": ""}}\n')
+    p = files.parse_file(spark, path)
+    assert sorted((r._row, r.a, r["b.c"]) for r in p.rows.collect()) == [(1, "1", "x"), (4, "2", None), (6, None, None)]
+    assert {r.row for r in p.errors.where("severity = 'error'").collect()} == {3, 5} and p.types["a"] == "integer"
+
+
+def test_types_from_first_values(spark):
+    df = spark.createDataFrame([("", "1")] * 150 + [(str(i), "x") for i in range(150)], "a string, b string").coalesce(1)
+    assert files.infer_types(df, sample=100) == {"a": "integer", "b": "integer"} and files.infer_types(df) == {"a": "integer", "b": "text"}

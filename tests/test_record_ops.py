@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crosslake.operators.bad_records import failing_records, sound_records
 from crosslake.operators.hierarchy import descendants, hierarchies
-from crosslake.operators.load_profile import agreed_profiles, all_columns, column_states, control_limits, departures, merge_states, profiles
+from crosslake.operators.load_profile import agreed_profiles, all_columns, column_states, control_limits, departures, distribution_shifts, merge_states, profiles
 from crosslake.operators.nested import flatten_nested, flatten_texts
 from crosslake.operators.orphans import key_of, orphan_references
 from crosslake.plans import record_queries
@@ -327,3 +327,40 @@ def test_p5_whole(spark):
 @pytest.mark.parametrize("bad", ["not json", "{"])
 def test_unreadable(spark, bad):
     assert flatten_nested(spark.createDataFrame([("i", bad)], "id string, j string"), "id", "j", include_root=True).count() == 0
+
+
+def test_many_kinds_in_parts(spark, monkeypatch):
+    """More columns than one expression takes: the kinds are judged in parts, with the same result."""
+    from crosslake.operators import bad_records
+
+    kinds = [(f"k{k}", i, f"c{i}", t, True) for k in range(5) for i, t in enumerate(("integer", "date", "text")[: 1 + k % 3])]
+    schemas = spark.createDataFrame(kinds, "schema_kind string, position int, column_name string, data_type string, required boolean")
+    body = b"h\n1,2025-01-01,x\n2\n3,2025-01-01\n4,x\n"
+    files = spark.createDataFrame([(i, "text/csv", f"k{i % 6}", b"a,b,c\n" + body[2:]) for i in range(12)], "file_id bigint, mimetype string, schema_kind string, buffer binary")
+    whole = sorted(tuple(r) for r in failing_records(files, schemas).collect())
+    monkeypatch.setattr(bad_records, "JUDGED_COLUMNS", 3)
+    assert sorted(tuple(r) for r in failing_records(files, schemas).collect()) == whole != []
+    assert {r[2] for r in whole} == {"column_count", "invalid_value", "unknown_schema"}
+
+
+def test_distribution_shifts(spark):
+    """The same mean and null rate, another distribution: for numbers and for texts."""
+    r = random.Random(4)
+    data = []
+    for load in range(1, 13):
+        for _ in range(400):
+            v = r.gauss(100, 10) if load != 9 else 100.0 + r.choice([-10.0, 10.0])
+            data.append((load, v, r.choice("aaab") if load != 10 else r.choice("ab"), "same", T0 + dt.timedelta(days=load)))
+    df = spark.createDataFrame(data, "load_no int, v double, t string, c string, at timestamp_ntz").repartition(4)
+    states = column_states(df, "load_no", all_columns(df, "load_no", [], "x"))
+    got = {(x.load_no, x.column_name): x for x in distribution_shifts(states).collect()}
+    assert set(got) == {(9, "v"), (10, "t")} and got[9, "v"].n_values == 400 and got[9, "v"].n_before == 3200
+    assert abs(got[10, "t"].distance - 0.25) < 0.06
+    assert distribution_shifts(states.limit(0)).count() == 0
+    assert control_limits(profiles(states)).where("metric in ('mean_value', 'null_percent') and column_name in ('v', 't')").where("load_no in (9, 10)").count() == 0
+
+
+def test_control_limits_of_constants(spark):
+    """Means of equal fractions differ from them by rounding; that is no departure."""
+    p = spark.createDataFrame([("t", i, "c", 0.1 + 0.2 if i < 12 else 5.0) for i in range(13)], "table_name string, load_no int, column_name string, mean_value double")
+    assert [x.load_no for x in control_limits(p).collect()] == [12]

@@ -186,3 +186,28 @@ def test_streams(spark, tmp_path):
     q = first_deliveries(read_files(spark, src, schema), "v", "ts").writeStream.format("memory").queryName("fd").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("fd").count() == 300
+
+
+def test_moving_average_cuts_series(spark, monkeypatch):
+    monkeypatch.setattr(shaping, "RANGE_ROWS", 7)
+    data = [(g, i, float(i * i % 11)) for g in ("a", "b", None) for i in range(40 if g == "a" else 5)]
+    df = spark.createDataFrame(data, "g string, i int, v double").repartition(3)
+    got = {(r.g, r.i): r.moving_avg for r in shaping.moving_average(df, "v", ["i"], 4, ["g"]).collect()}
+    for g, i, _ in data:
+        near = [v for h, k, v in data if h == g and i - 3 <= k <= i]
+        assert got[g, i] == pytest.approx(sum(near) / len(near))
+    assert len(got) == len(data)
+
+
+def test_pivot_grid_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(shaping, "MOST_SERIES", 2)
+    df = spark.createDataFrame([(1, "a", 1.0, 1), (1, "b", 2.0, 2), (2, "a", 3.0, 3)], "x int, g string, y double, o int")
+    assert sorted((r.x, r.grp, r.y) for r in shaping.pivot_long(df, "x", "g", "y", F.col("o")).collect()) == [("1", "a", 1.0), ("1", "b", 2.0), ("2", "a", 3.0), ("2", "b", 0.0)]
+    with pytest.raises(ValueError):
+        shaping.pivot_long(df.union(spark.createDataFrame([(1, "c", 1.0, 1)], df.schema)), "x", "g", "y", F.col("o"))
+    assert shaping.pivot_long(df.limit(0), "x", "g", "y", F.col("o")).count() == 0
+
+
+def test_distinct_counts_are_exact(spark):
+    df = spark.createDataFrame([(0.0, b"\xff", [1], 1), (-0.0, b"\xfe", [1], 1), (None, None, None, None), (float("nan"), b"\xff", [2], 2)], "d double, b binary, a array<int>, i int")
+    assert {r.name: r.distinct_count for r in quality.profile_table(df).collect()} == {"d": 2, "b": 2, "a": 2, "i": 2}
