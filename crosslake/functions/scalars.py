@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crosslake.plans.guards import OPERATION_WORDS
+from crosslake.plans.guards import OPERATION_WORDS, QUERY_COMMENTS, QUERY_PATTERNS, SHARE_PATTERNS, STAGING_WORDS
 
 
 def round_half_up(c: Column, digits: int = 2) -> Column:
@@ -82,6 +82,30 @@ def table_name_column(c: Column) -> Column:
     return F.substring(F.when(out.rlike("^[0-9]"), F.concat(F.lit("_"), out)).otherwise(out), 1, 50)
 
 
+def needs_quoting_column(c: Column) -> Column:
+    return (c != F.lower(c)) | ~c.rlike(r"\A[a-z0-9_]+\z")
+
+
+def _any(c: Column, patterns: tuple[str, ...]) -> Column:
+    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def query_is_safe(c: Column) -> Column:
+    """The guard of queries over a column of texts; null and empty texts do not pass."""
+    comment = "|".join(re.escape(x) for x in QUERY_COMMENTS)
+    return F.coalesce((c != "") & ~c.rlike(comment) & ~_any(c, QUERY_PATTERNS), F.lit(False))
+
+
+def staging_query_is_safe(c: Column, schema: Column) -> Column:
+    return F.coalesce(~_any(c, tuple(rf"\b{w}\s+" for w in STAGING_WORDS)) & F.contains(F.lower(c), F.lower(schema)), F.lit(False))
+
+
+def share_query_is_safe(c: Column) -> Column:
+    """The guard of shares: begins with SELECT, holds none of the patterns, at most one semicolon, at its end."""
+    text, semicolons = F.regexp_replace(c, r"\A\s+|\s+\z", ""), F.regexp_count(c, F.lit(";"))
+    return F.coalesce(F.lower(text).startswith("select") & ~_any(c, SHARE_PATTERNS) & ((semicolons == 0) | ((semicolons == 1) & text.endswith(";"))), F.lit(False))
+
+
 def needs_quoting(name: str) -> bool:
     return name != name.lower() or not re.fullmatch(r"[a-z0-9_]+", name)
 

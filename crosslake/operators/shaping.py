@@ -155,6 +155,13 @@ def match_columns(source: list[str], target: list[str]) -> dict[str, str]:
     return {s: by[s.lower()] for s in source if s.lower() in by}
 
 
+def combined_cells(cells: Column) -> Column:
+    """combine_cells over a column of JSON texts: the SQL cells of each notebook in their order (without one, as 0; ties by place), joined to one text."""
+    parsed = F.from_json(cells, "array<struct<type:string,content:string,order:int>>")
+    sql = F.filter(F.transform(parsed, lambda c, i: F.struct(F.coalesce(c["order"], F.lit(0)).alias("order"), i.alias("i"), c["type"].alias("type"), F.regexp_replace(c["content"], r"\A\s+|\s+\z", "").alias("text"))), lambda c: (c["type"] == "sql") & (c["text"] != ""))
+    return F.array_join(F.transform(F.array_sort(sql), lambda c: c["text"]), ";\n\n")
+
+
 def combine_cells(cells: list[dict], selected: set[str] | None = None) -> str:
     """The SQL cells of a notebook in their order, joined to one text."""
     texts = [c["content"].strip() for c in sorted(cells, key=lambda c: c.get("order", 0)) if c.get("type") == "sql" and (selected is None or c["id"] in selected)]

@@ -113,11 +113,16 @@ for _name, _kind, _op in (("xq_theta_text_lt", "INNER", "<"), ("xq_theta_full_gt
         {"tables": _t("nation a", "nation b"), "joins": [_j("a", "b", _kind, f"n_nationkey {_op} n_nationkey")], "columns": _c("a.n_name left_name", "b.n_name right_name")},
         f"SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a {_kind} JOIN nation b ON CAST(a.n_nationkey AS VARCHAR) {_op} CAST(b.n_nationkey AS VARCHAR)",
     )
-_define(
-    "xq_text_meets_number",
-    {"tables": _t("part p", "nation n"), "joins": [_j("p", "n", "INNER", "p_size = n_nationkey")], "columns": _c("p.p_partkey", "n.n_name")},
-    "SELECT p_partkey, n_name FROM part JOIN nation ON CAST(p_size AS VARCHAR) = CAST(n_nationkey AS VARCHAR)",
-)
+
+
+@_case("xq_text_meets_number", "SELECT p_partkey, n_name FROM part JOIN nation ON lpad(CAST(p_size AS VARCHAR), 2, '0') = CAST(n_nationkey AS VARCHAR) UNION ALL SELECT p_partkey, n_name FROM part JOIN nation ON CAST(p_size AS VARCHAR) = CAST(n_nationkey AS VARCHAR)")
+def _text_meets_number(spark: SparkSession, d: str) -> DataFrame:
+    """A text column, with and without a leading zero, meets a number."""
+    frames = {"padded": table(spark, d, "part").withColumn("size", F.lpad(F.col("p_size").cast("string"), 2, "0")), "plain": table(spark, d, "part").withColumn("size", F.col("p_size").cast("string")), "nation": table(spark, d, "nation")}
+    one = lambda t: compile_query(QueryDefinition.from_dict({"tables": _t(f"{t} p", "nation n"), "joins": [_j("p", "n", "INNER", "size = n_nationkey")], "columns": _c("p.p_partkey", "n.n_name")}), lambda ref: frames[ref.table])
+    return one("padded").unionByName(one("plain"))
+
+
 _define(
     "xq_multi_condition",
     {"tables": _t("lineitem a", "lineitem b"), "joins": [_j("a", "b", "INNER", "l_orderkey = l_orderkey", "l_suppkey = l_suppkey", "l_linenumber != l_linenumber")], "columns": _c("a.l_orderkey k", "a.l_linenumber n1", "b.l_linenumber n2")},
@@ -139,7 +144,7 @@ _define(
 )
 _define("xq_filter_cmp", {"tables": _t("part p"), "columns": _c("p.p_partkey", "p.p_size"), "filters": [_f("p.p_size >", "10"), _f("p.p_size <", "40"), _f("p.p_size !=", 20)]}, "SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size < 40 AND p_size <> 20")
 _define("xq_filter_range", {"tables": _t("orders o"), "columns": _c("o.o_orderkey", "o.o_orderdate"), "filters": [_f("o.o_orderdate >=", "1996-01-01"), _f("o.o_orderdate <=", "1996-06-30 00:00:00")]}, "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1996-06-30'")
-_define("xq_filter_like", {"tables": _t("part p"), "columns": _c("p.p_partkey", "p.p_name"), "filters": [_f("p.p_name LIKE", "%1%"), _f("p.p_size LIKE", "1_")]}, "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND CAST(p_size AS VARCHAR) LIKE '1_'")
+_define("xq_filter_like", {"tables": _t("part p"), "columns": _c("p.p_partkey", "p.p_name"), "filters": [_f("p.p_name LIKE", "%r%t"), _f("p.p_size LIKE", "1_")]}, "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%r%t' AND CAST(p_size AS VARCHAR) LIKE '1_'")
 _define("xq_filter_in", {"tables": _t("orders o"), "columns": _c("o.o_orderkey", "o.o_orderstatus"), "filters": [_f("o.o_orderstatus IN", "F, P"), _f("o.o_custkey IN", [1, 2, 3, 5, 8, 13, 21, 34])]}, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_custkey IN (1, 2, 3, 5, 8, 13, 21, 34)")
 _define(
     "xq_filter_null",
@@ -212,9 +217,10 @@ def _profile(name: str, columns: dict[str, str]) -> None:
     _case(f"dq_profile_{name}", _profile_sql(name, columns))(lambda spark, d: quality.profile_table(table(spark, d, name).select(*columns)))
 
 
-_profile("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"})
-_profile("events", {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "props": "string"})
-_profile("query_history", {"id": "string", "connection_id": "string", "execution_time_ms": "int", "row_count": "int", "status": "string", "error_message": "string"})
+_profile("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"})
+_profile("events", {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"})
+_profile("query_history", {"id": "string", "connection_id": "string", "organization_id": "string", "sql_query": "string", "executed_at": "timestamp_ntz", "execution_time_ms": "int", "row_count": "int", "status": "string", "error_message": "string", "load_no": "int"})
+_profile("quality_check_runs", {"id": "string", "check_id": "string", "organization_id": "string", "status": "string", "actual_value": "double", "expected_desc": "string", "error_message": "string", "duration_ms": "int", "ran_at": "timestamp_ntz", "load_no": "int"})
 
 _CHECKS = [
     quality.QualityCheck("c1", "not_null", "connection_id", {"maxNullPercent": 5}),
@@ -306,9 +312,11 @@ def _gauge(spark: SparkSession, d: str) -> DataFrame:
     return shaping.gauge(table(spark, d, "events"), "value", ["event_id"])
 
 
-@_case("shape_scatter", "SELECT CAST(user_id AS DOUBLE) AS x, coalesce(TRY_CAST(props AS DOUBLE), 0.0) AS y FROM events")
+@_case("shape_scatter", "SELECT CAST(user_id AS DOUBLE) AS x, coalesce(TRY_CAST(y AS DOUBLE), 0.0) AS y FROM (SELECT user_id, CASE event_type WHEN 'click' THEN props WHEN 'view' THEN CAST(value AS VARCHAR) WHEN 'error' THEN NULL ELSE CAST(event_id AS VARCHAR) END AS y FROM events)")
 def _scatter(spark: SparkSession, d: str) -> DataFrame:
-    return shaping.scatter(table(spark, d, "events"), "user_id", "props")
+    kind = F.col("event_type")
+    y = F.when(kind == "click", F.col("props")).when(kind == "view", F.col("value").cast("string")).when(kind != "error", F.col("event_id").cast("string"))
+    return shaping.scatter(table(spark, d, "events").withColumn("y", y), "user_id", "y")
 
 
 @_case("shape_page", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_no, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 100 AS INTEGER) AS page_no FROM events")
@@ -476,11 +484,15 @@ def _dashboard(spark: SparkSession, d: str) -> DataFrame:
 # --- ingestion
 
 
-@_case("ing_infer_types", "SELECT * FROM (VALUES ('event_id', 'integer'), ('ts', 'timestamp'), ('user_id', 'integer'), ('event_type', 'text'), ('value', 'numeric'), ('props', 'text')) t(name, type)")
+_TYPES = "CASE WHEN count(*) FILTER (NOT regexp_matches(v, '{n}')) = 0 THEN CASE WHEN count(*) FILTER (TRY_CAST(v AS DOUBLE) <> floor(TRY_CAST(v AS DOUBLE))) > 0 THEN 'numeric' ELSE 'integer' END WHEN count(*) FILTER (NOT lower(v) IN ('true', 'false', 'yes', 'no', '1', '0')) = 0 THEN 'boolean' WHEN count(*) FILTER (NOT regexp_matches(v, '{t}')) = 0 THEN 'timestamp' ELSE 'text' END".format(n=files.NUMBER, t=files.ISO_TIME)
+_INFERRED = {"events": ("event_id", "ts", "user_id", "event_type", "value", "props"), "dataset_shares": ("id", "active", "row_count", "access_count", "created_at"), "lineitem": ("l_quantity", "l_discount", "l_linenumber", "l_shipdate")}
+
+
+@_case("ing_infer_types", " UNION ALL ".join(f"SELECT '{t}.{c}' AS name, CASE WHEN count(v) = 0 THEN 'text' ELSE {_TYPES} END AS type FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t} WHERE CAST({c} AS VARCHAR) <> '')" for t, cs in _INFERRED.items() for c in cs))
 def _infer(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "events")
-    types = files.infer_types(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]))
-    return spark.createDataFrame(list(types.items()), "name string, type string")
+    """The types of tables whose columns are all text, over all rows."""
+    found = [(f"{t}.{c}", kind) for t, cs in _INFERRED.items() for c, kind in files.infer_types(table(spark, d, t).select(*[F.col(c).cast("string").alias(c) for c in cs])).items()]
+    return spark.createDataFrame(found, "name string, type string")
 
 
 @_case("ing_missing_errors", """
@@ -504,9 +516,15 @@ def _stage(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(got, "n bigint, ids bigint, kinds bigint")
 
 
-@_case("ing_mongo_find", "SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'view') AND value >= 10 AND (user_id < 20 OR user_id % 7 = 3) ORDER BY event_id LIMIT 500")
+@_case("ing_mongo_find", "SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'view') AND value >= 10 AND regexp_matches(props, '[02468]}') AND (user_id < 20 OR user_id % 7 = 3)")
 def _find(spark: SparkSession, d: str) -> DataFrame:
-    spec = {"collection": "events", "pipeline": [{"$match": {"event_type": {"$in": ["click", "view"]}, "value": {"$gte": 10}, "$or": [{"user_id": {"$lt": 20}}, {"user_id": {"$mod": [7, 3]}}]}}, {"$sort": {"event_id": 1}}, {"$limit": 500}, {"$project": {"event_id": 1, "event_type": 1, "value": 1}}]}
+    spec = {"collection": "events", "filter": {"event_type": {"$in": ["click", "view"]}, "value": {"$gte": 10}, "props": {"$regex": "[02468]}"}, "$or": [{"user_id": {"$lt": 20}}, {"user_id": {"$mod": [7, 3]}}]}, "projection": {"event_id": 1, "event_type": 1, "value": 1}, "limit": 10_000}
+    return documents.mongo_query({"events": table(spark, d, "events")}, json.dumps(spec))
+
+
+@_case("ing_mongo_stages", "SELECT event_id, event_type, value FROM events WHERE event_type IN ('click', 'view') AND value >= 10 ORDER BY event_id LIMIT 500")
+def _stages(spark: SparkSession, d: str) -> DataFrame:
+    spec = {"collection": "events", "pipeline": [{"$match": {"event_type": {"$in": ["click", "view"]}, "value": {"$gte": 10}}}, {"$sort": {"event_id": 1}}, {"$limit": 500}, {"$project": {"event_id": 1, "event_type": 1, "value": 1}}]}
     return documents.mongo_query({"events": table(spark, d, "events")}, json.dumps(spec))
 
 
@@ -522,11 +540,6 @@ def _lookup(spark: SparkSession, d: str) -> DataFrame:
     return documents.mongo_query({t: table(spark, d, t) for t in ("region", "nation")}, json.dumps(spec)).withColumn("n", F.col("n").cast("bigint"))
 
 
-@_case("ing_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def _json_fields(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 # --- lineage
 
 
@@ -599,14 +612,6 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
     return transforms.calculate(transforms.convert(df, {"priority": "int"}), {"twice": "order_id * 2"})
 
 
-@_case("pipe_phases", "SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2), ('e', 0)) t(step, phase)")
-def _phases(spark: SparkSession, d: str) -> DataFrame:
-    from crosslake.plans.pipeline import phases
-
-    got = phases(["a", "b", "c", "d", "e"], [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "e")])
-    return spark.createDataFrame([(s, i) for i, p in enumerate(got) for s in p], "step string, phase int")
-
-
 @_case("stream_ingest_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     from crosslake.functions.common import Scratch

@@ -5,15 +5,18 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from crosslake.functions.common import same_id, ship
 from crosslake.functions.scalars import table_name_of
 from crosslake.operators.shaping import combine_cells
 from crosslake.plans import guards
@@ -30,16 +33,55 @@ class CycleError(ValueError):
 
 def phases(steps: list[str], edges: list[tuple[str, str]]) -> list[list[str]]:
     """The steps in phases: each depends on earlier phases only. Edges to unknown steps do not count; a cycle is an error."""
-    known = dict.fromkeys(steps)
-    before = {s: {a for a, b in edges if b == s and a in known} for s in known}
-    out: list[list[str]] = []
-    done: set[str] = set()
-    while len(done) < len(known):
-        ready = [s for s in known if s not in done and before[s] <= done]
-        if not ready:
-            raise CycleError(f"Steps in a cycle: {', '.join(s for s in known if s not in done)}")
-        out.append(ready)
-        done.update(ready)
+    known = list(dict.fromkeys(steps))
+    level = levels(known, edges)
+    if len(level) < len(known):
+        raise CycleError(f"Steps in a cycle: {', '.join(s for s in known if s not in level)}")
+    return [[s for s in known if level[s] == k] for k in range(max(level.values(), default=-1) + 1)]
+
+
+def phases_of_all(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``phases`` of many pipelines at once: pipeline_id, step_id, phase; null for steps that wait for a cycle.
+
+    steps: pipeline_id, step_id; edges: pipeline_id, source, target. Ids are equal after
+    trimming and lower-casing. Each pipeline's few steps are one task's work, taken by batches.
+    """
+    s = steps.where("pipeline_id is not null and step_id is not null").groupBy("pipeline_id").agg(F.collect_set("step_id").alias("steps"))  # one definition's steps
+    e = edges.where("source is not null and target is not null").groupBy("pipeline_id").agg(F.collect_set(F.struct(same_id("source").alias("a"), same_id("target").alias("b"))).alias("edges"))
+    ship(steps.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for pid, ids, pairs in zip(*[c.to_pylist() for c in batch.columns]):
+                names: dict[str, list[str]] = {}
+                for x in ids:
+                    names.setdefault(x.strip(" ").lower(), []).append(x)
+                level = levels(list(names), [(p["a"], p["b"]) for p in pairs or []])
+                out += [(pid, x, level.get(k)) for k, xs in names.items() for x in xs]
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()))], names=["pipeline_id", "step_id", "phase"])
+
+    return s.join(e, "pipeline_id", "left").select("pipeline_id", "steps", "edges").mapInArrow(run, "pipeline_id string, step_id string, phase int")
+
+
+def levels(steps: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
+    """The phase of each step that is not behind a cycle: one more than the latest of the steps before it."""
+    known, after, waits = set(steps), {}, dict.fromkeys(steps, 0)
+    for a, b in set(edges):
+        if a in known and b in known:
+            after.setdefault(a, []).append(b)
+            waits[b] += 1
+    now, out, level = [s for s in steps if not waits[s]], {}, 0
+    while now:
+        out |= dict.fromkeys(now, level)
+        nxt = []
+        for s in now:
+            for b in after.get(s, []):
+                waits[b] -= 1
+                if not waits[b]:
+                    nxt.append(b)
+        now, level = nxt, level + 1
     return out
 
 

@@ -215,6 +215,10 @@ def _filter(c: Column, t: T.DataType, f: Filter) -> Column:
     return _compare(c, f.operator, value)
 
 
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 _AGG: dict[str, Callable[[Column], Column]] = {"COUNT": F.count, "COUNT_DISTINCT": F.count_distinct, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
 
@@ -231,12 +235,12 @@ def compile_query(d: QueryDefinition, resolve: Callable[[TableRef], DataFrame],
     def load(ref: TableRef) -> DataFrame:
         df = resolve(ref)
         types.update({(ref.alias, f.name): f.dataType for f in df.schema.fields})
-        return df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"{ref.alias}.{c}") for c in df.columns])
+        return df.select(*[_named(c).alias(f"{ref.alias}.{c}") for c in df.columns])
 
     def col(alias: str, column: str) -> Column:
         if (alias, column) not in types:
             raise ValueError(f"Unknown column: {alias}.{column}")
-        return F.col(f"`{alias}.{column}`".replace("``", "`"))
+        return _named(f"{alias}.{column}")
 
     frames = {t.alias: load(t) for t in d.tables}
     df = frames[d.tables[0].alias]
@@ -266,14 +270,14 @@ def compile_query(d: QueryDefinition, resolve: Callable[[TableRef], DataFrame],
         if loose:
             raise ValueError(f"Columns must be grouped or aggregated: {', '.join(loose)}")
         aggs = [(i, _AGG[c.aggregate](col(c.table_alias, c.column)).alias(f"__a{i}")) for i, c in enumerate(d.columns) if c.aggregate]
-        grouped = df.groupBy(*[F.col(f"`{k}`") for k in keys])
-        df = grouped.agg(*[a for _, a in aggs]) if aggs else df.select(*[F.col(f"`{k}`") for k in keys]).distinct()
+        grouped = df.groupBy(*map(_named, keys))
+        df = grouped.agg(*[a for _, a in aggs]) if aggs else df.select(*map(_named, keys)).distinct()
         if d.order_by:
             for o in d.order_by:
                 if f"{o.table_alias}.{o.column}" not in keys:
                     raise ValueError(f"Order by must use grouped columns: {o.table_alias}.{o.column}")
-            df = df.orderBy(*[order(F.col(f"`{o.table_alias}.{o.column}`"), o) for o in d.order_by])
-        out = [(F.col(f"__a{i}") if c.aggregate else F.col(f"`{c.table_alias}.{c.column}`")).alias(n) for i, (c, n) in enumerate(zip(d.columns, names))]
+            df = df.orderBy(*[order(_named(f"{o.table_alias}.{o.column}"), o) for o in d.order_by])
+        out = [(F.col(f"__a{i}") if c.aggregate else _named(f"{c.table_alias}.{c.column}")).alias(n) for i, (c, n) in enumerate(zip(d.columns, names))]
     else:
         if d.order_by:
             df = df.orderBy(*[order(col(o.table_alias, o.column), o) for o in d.order_by])

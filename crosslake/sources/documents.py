@@ -200,7 +200,7 @@ def serialized(df: DataFrame) -> DataFrame:
     def out(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.BinaryType):
-            return F.base64(c).alias(f.name)
+            return F.regexp_replace(F.base64(c), "[\r\n]", "").alias(f.name)  # in one line
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(f.name)
         return c

@@ -1,11 +1,11 @@
 import pytest
 
-from crosslake.plans import engine_queries, record_queries
+from crosslake.plans import engine_queries, record_queries, service_queries
 from tests.conftest import DATA, needs_data
 from tests.oracle import assert_same, connect
 
-QUERIES = engine_queries.QUERIES | record_queries.QUERIES
-SQL = engine_queries.SQL | record_queries.SQL
+QUERIES = engine_queries.QUERIES | service_queries.QUERIES | record_queries.QUERIES
+SQL = engine_queries.SQL | service_queries.SQL | record_queries.SQL
 
 
 @pytest.fixture(scope="module")
