@@ -8,12 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosslake.functions.common import same_id, ship
@@ -97,6 +97,76 @@ def check_steps(definition: dict) -> list[str]:
     return out
 
 
+# fixed value: the fields of a schedule, with their least and greatest numbers
+CRON_FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
+
+
+def cron_numbers(text: str, least: int, most: int) -> set[int]:
+    """The numbers of one field: ``*``, numbers, ranges, lists and steps."""
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        low, _, high = (f"{least}-{most}" if span == "*" else span).partition("-")
+        a, b = int(low), int(high or (most if step else low))
+        if not (least <= a <= b <= most) or (step and int(step) < 1):
+            raise ValueError(f"Bad schedule field: {text}")
+        out.update(range(a, b + 1, int(step or 1)))
+    return out
+
+
+def is_due(schedule: Column, moment: Column) -> Column:
+    """Whether a schedule of five fields names the minute of ``moment``; null and unreadable schedules name none.
+
+    Each field is expanded inside the plan. With both a day and a weekday given, either is enough.
+    """
+    fields = F.split(F.trim(schedule), r"\s+")
+    given = lambda i: F.get(fields, F.lit(i))
+    now = (F.minute(moment), F.hour(moment), F.dayofmonth(moment), F.month(moment), F.dayofweek(moment) - 1)
+
+    def hit(i: int) -> Column:
+        _, least, most = CRON_FIELDS[i]
+
+        def one(part: Column) -> Column:
+            span, step = F.split(part, "/"), F.get(F.split(part, "/"), F.lit(1)).try_cast("int")
+            ends = F.split(span[0], "-")
+            low = F.when(span[0] == "*", least).otherwise(ends[0].try_cast("int"))
+            high = F.when(span[0] == "*", most).otherwise(F.coalesce(F.get(ends, F.lit(1)).try_cast("int"), F.when(F.size(span) > 1, F.lit(most)).otherwise(low)))
+            at = lambda n: (n >= low) & (n <= high) & (F.coalesce(F.try_mod(n - low, step), F.when(F.size(span) > 1, F.lit(None)).otherwise(0)) == 0)
+            return F.coalesce(at(now[i]) | at(now[i] + 7), F.lit(False)) if i == 4 else F.coalesce(at(now[i]), F.lit(False))
+
+        return F.exists(F.split(given(i), ","), one)
+
+    day = F.when(F.startswith(given(2), F.lit("*")) | F.startswith(given(4), F.lit("*")), hit(2) & hit(4)).otherwise(hit(2) | hit(4))
+    return F.coalesce((F.size(fields) == 5) & hit(0) & hit(1) & hit(3) & day, F.lit(False))
+
+
+def due_pipelines(pipelines: DataFrame, moment: Column) -> DataFrame:
+    """The active pipelines (id, schedule, status) whose schedule names the minute; one scan for all of them, whatever their number."""
+    return pipelines.where((F.col("status") == "active") & is_due(F.col("schedule"), moment))
+
+
+def next_run(schedule: str, after: datetime, most_days: int = 1500) -> datetime | None:
+    """The first minute after ``after`` that a schedule names, None within ``most_days``."""
+    parts = schedule.split()
+    if len(parts) != len(CRON_FIELDS):
+        raise ValueError(f"A schedule has five fields: {schedule}")
+    minute, hour, day, month, weekday = (cron_numbers(p, low, high) for p, (_, low, high) in zip(parts, CRON_FIELDS))
+    weekday = {w % 7 for w in weekday}
+    start = (after + timedelta(minutes=1)).replace(second=0, microsecond=0)
+    both = parts[2].startswith("*") or parts[4].startswith("*")
+    for n in range(most_days):
+        d = (start + timedelta(days=n)).date()
+        on_day, on_week = d.day in day, (d.weekday() + 1) % 7 in weekday
+        if d.month not in month or not (on_day and on_week if both else on_day or on_week):
+            continue
+        for h in sorted(hour):
+            for m in sorted(minute):
+                t = datetime(d.year, d.month, d.day, h, m)
+                if t >= start:
+                    return t
+    return None
+
+
 @dataclass
 class Transformation:
     id: str

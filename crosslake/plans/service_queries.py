@@ -23,7 +23,7 @@ from crosslake.model import EngineConfig
 from crosslake.operators import analytics, lineage, quality, shaping
 from crosslake.operators.nested import flatten_nested
 from crosslake.plans.engine_queries import _CHECK_SQL, _CHECKS, _GRAPH_SQL, SQL_NOW, _c, _f, _g, _graph, _j, _now, _o, _t
-from crosslake.plans.pipeline import Notebook, PipelineRunner, Transformations, phases_of_all
+from crosslake.plans.pipeline import Notebook, PipelineRunner, Transformations, due_pipelines, phases_of_all
 from crosslake.plans.query_def import QueryDefinition, compile_query, to_sql
 from crosslake.plans.record_queries import _LINKS, _READABLE, _STEPS, _WALK, _definition_parts, _nested
 from crosslake.plans.sharing import Shares
@@ -415,8 +415,20 @@ def _phases(spark: SparkSession, d: str) -> DataFrame:
     return phases_of_all(parts.where("part = 'steps[]'").select("pipeline_id", F.col("id").alias("step_id")), parts.where("part = 'edges[]'").select("pipeline_id", "source", "target"))
 
 
+@_case("pipe_due", """
+SELECT id, schedule, h FROM (SELECT DISTINCT id, schedule, status FROM pipelines), unnest(range(24)) u(h) WHERE status = 'active' AND (string_split(schedule, ' ')[2] = '*' OR string_split(schedule, ' ')[2] = CAST(h AS VARCHAR) OR (contains(string_split(schedule, ' ')[2], '*/') AND h % CAST(substr(string_split(schedule, ' ')[2], 3) AS INTEGER) = 0))""")
+def _due(spark: SparkSession, d: str) -> DataFrame:
+    """Which active pipelines' schedules name some minute of each hour of a day."""
+    p = table(spark, d, "pipelines").select("id", "schedule", "status").distinct().where("schedule is not null")
+    hours = p.withColumn("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(23).cast("bigint"))))
+    any_minute = F.concat_ws(" ", F.lit("*"), F.substring_index("schedule", " ", -4))
+    at = F.make_timestamp_ntz(F.lit(2026), F.lit(1), F.lit(5), F.col("h").cast("int"), F.lit(0), F.lit(0))
+    return due_pipelines(hours.withColumns({"was": F.col("schedule"), "schedule": any_minute}), at).select("id", F.col("was").alias("schedule"), "h")
+
+
 # --- sinks
 
+
 @_case("export_json_lines", """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","segment":' || coalesce('"' || nullif(c_mktsegment, 'BUILDING') || '"', 'null') || '}' AS value FROM customer""")
 def _json_out(spark: SparkSession, d: str) -> DataFrame:
     return export.json_lines(table(spark, d, "customer").select("c_custkey", "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment")))

@@ -13,6 +13,7 @@ from crosslake.model import ColumnInfo, TableInfo, type_name
 from crosslake.plans.guards import check_where
 from crosslake.plans.query_def import TableRef
 from crosslake.sources import sqlite
+from crosslake.sources.documents import sample_columns
 
 JDBC = {
     # type: (URL, driver class, default schema)
@@ -175,6 +176,11 @@ class ConnectionRegistry:
             c = self.get(connection_id)
             if c.type in JDBC:
                 self.read(c.id, "", query="select 1 as one" + (" from sysibm.sysdummy1" if c.type == "derby" else "")).limit(1).collect()
+            elif c.type == "bigquery":
+                self.read(c.id, "", query="select 1 as one").limit(1).collect()
+            elif c.type in ("mongodb", "frames"):
+                for t in self.tables(c.id)[:1]:
+                    self.read(c.id, t.name).limit(1).collect()
             elif c.type in FILE_TYPES or c.type == "sqlite":
                 if not os.path.exists(c.options["path"]) and "://" not in c.options["path"]:
                     return False, f"No such path: {c.options['path']}"
@@ -205,6 +211,18 @@ class ConnectionRegistry:
         if c.type in ("postgresql", "redshift", "mysql", "sqlserver", "snowflake"):
             rows = self.read(c.id, "", query="select table_schema as s, table_name as n, table_type as t from information_schema.tables").collect()  # a catalog
             return [TableInfo(r[0], r[1], "view" if "VIEW" in r[2].upper() else "table") for r in rows if schema in (None, r[0])]
+        if c.type == "clickhouse":
+            rows = self.read(c.id, "", query="select database, name, engine from system.tables").collect()  # a catalog
+            return [TableInfo(r[0], r[1], "view" if "View" in r[2] else "table") for r in rows if schema in (None, r[0])]
+        if c.type == "bigquery":
+            of = schema or c.options.get("dataset")
+            if not of:
+                raise ValueError("Name the dataset whose tables are asked for")
+            rows = self.read(c.id, "", query=f"select table_name, table_type from `{of}`.INFORMATION_SCHEMA.TABLES").collect()  # a catalog
+            return [TableInfo(of, r[0], "view" if "VIEW" in r[1].upper() else "table") for r in rows]
+        if c.type == "mongodb":
+            # the connector lists none; a connection names its own
+            return [TableInfo(c.options.get("database"), n.strip()) for n in c.options.get("collections", "").split(",") if n.strip()]
         raise ValueError(f"{c.type} has no listing of tables")
 
     def columns(self, connection_id: str, table: str, schema: str | None = None) -> list[ColumnInfo]:
@@ -217,6 +235,15 @@ class ConnectionRegistry:
             listed = self.read(connection_id, "", query=f"select table_schema, table_name, column_name, data_type, is_nullable, column_default, ordinal_position from information_schema.columns where {where}")
             keys = self.read(connection_id, "", query=f"select k.table_schema, k.table_name, k.column_name from information_schema.table_constraints c join information_schema.key_column_usage k on c.constraint_name = k.constraint_name and c.table_schema = k.table_schema and c.table_name = k.table_name where c.constraint_type = 'PRIMARY KEY' and k.{where.replace(' and ', ' and k.')}")
             return [ColumnInfo(r.column_name, r.data_type, r.is_nullable == "YES", r.column_default, r.is_primary_key) for r in with_primary_keys(listed, keys).orderBy("ordinal_position").collect()]  # one table's columns
+        if connection_id != "staging" and self.get(connection_id).type == "clickhouse":
+            if "'" in table or "'" in (schema or ""):
+                raise ValueError("Bad table name")
+            where = f"table = '{table}'" + (f" and database = '{schema}'" if schema else "")
+            rows = self.read(connection_id, "", query=f"select name, type, default_expression, is_in_primary_key from system.columns where {where} order by position").collect()  # one table's columns
+            return [ColumnInfo(r[0], r[1], r[1].startswith("Nullable("), r[2] or None, bool(r[3])) for r in rows]
+        if connection_id != "staging" and self.get(connection_id).type == "mongodb":
+            lines = self.read(connection_id, table).select(F.to_json(F.struct("*")).alias("value"))
+            return sample_columns(lines)
         return [ColumnInfo(f.name, f.dataType.simpleString(), f.nullable) for f in self.read(connection_id, table, schema).schema.fields]
 
     def staging_sizes(self, schema: str) -> dict[str, int]:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from crosslake.functions.common import Scratch, local_rows
+
+CHUNK_ITEMS = 50_000
 Fetch = Callable[[str, dict], tuple[object, dict]]
 
 
@@ -41,11 +46,18 @@ def pages(url: str, paging: dict, fetch: Fetch, most_pages: int = 10_000) -> Ite
 
 
 def read_rest(spark: SparkSession, url: str, paging: dict, fetch: Fetch, schema: str | None = None) -> DataFrame:
-    """The items as rows; with ``schema`` parsed. One service answers one caller, so paging runs on the driver."""
-    lines = [(json.dumps(x),) for p in pages(url, paging, fetch) for x in p]
-    df = spark.createDataFrame(lines, "value string")
+    """The items as rows; with ``schema`` parsed.
+
+    One service answers one caller, so paging runs on the driver; every CHUNK_ITEMS items
+    are written to the shared folder, so that it never holds more than that and a page.
+    """
+    scratch, parts, held = Scratch(spark, "rest"), [], []
+    for p in pages(url, paging, fetch):
+        held += [(json.dumps(x),) for x in p]
+        if len(held) >= CHUNK_ITEMS:
+            parts.append(scratch.write(local_rows(spark, held, "value string")))
+            held = []
+    df = reduce(DataFrame.unionByName, [*parts, local_rows(spark, held, "value string")])
     if schema is None:
         return df
-    from pyspark.sql import functions as F
-
     return df.select(F.from_json("value", schema).alias("v")).select("v.*")

@@ -443,3 +443,57 @@ def test_clock_is_injectable(spark, registry):
     e = QueryEngine(spark, registry, clock=lambda: dt.datetime(2025, 1, 1))
     e.execute("SELECT 1 AS x")
     assert e.history[0].executed_at == dt.datetime(2025, 1, 1)
+
+
+def test_schedules(spark):
+    from crosslake.plans.pipeline import cron_numbers, is_due, next_run
+
+    assert cron_numbers("*/20", 0, 59) == {0, 20, 40} and cron_numbers("1-3,7", 0, 59) == {1, 2, 3, 7} and cron_numbers("5/30", 0, 59) == {5, 35}
+    for bad in ("61", "3-1", "*/0", "x"):
+        with pytest.raises(ValueError):
+            cron_numbers(bad, 0, 59)
+    at = dt.datetime(2026, 1, 1, 10, 40, 30)  # a Thursday
+    assert next_run("40 1 * * *", at) == dt.datetime(2026, 1, 2, 1, 40) and next_run("41 10 * * *", at) == dt.datetime(2026, 1, 1, 10, 41)
+    assert next_run("0 0 31 2 *", at) is None and next_run("0 6 * * 0", at) == next_run("0 6 * * 7", at) == dt.datetime(2026, 1, 4, 6)
+    assert next_run("0 0 13 * 5", at) == dt.datetime(2026, 1, 2)  # a day or a weekday
+    texts = ["*/7 3-5 * * *", "0 6 * * 7", "0 0 13 * 5", "5/30 */6 1,15 * *", "* * * 2 1-3", None, "", "a b c d e", "1 2 3", "61 * * * *"]
+    moments = [dt.datetime(2026, 2, day, h, m) for day in (1, 2, 13, 15) for h in (0, 4, 6, 12) for m in (0, 5, 7, 35)]
+    df = spark.createDataFrame([(t, x) for t in texts for x in moments], "s string, at timestamp_ntz")
+    got = {(r.s, r.at): r.due for r in df.select("s", "at", is_due(F.col("s"), F.col("at")).alias("due")).collect()}
+    for t in texts[:5]:
+        for x in moments:
+            assert got[t, x] == (next_run(t, x - dt.timedelta(minutes=1)) == x), (t, x)
+    assert not any(got[t, x] for t in texts[5:] for x in moments)
+
+
+def test_phases_of_all(spark):
+    from crosslake.plans.pipeline import phases_of_all
+
+    steps = spark.createDataFrame([("p", "A "), ("p", "b"), ("p", "c"), ("q", "x"), ("q", "y"), ("q", "z"), ("r", None), (None, "s")], "pipeline_id string, step_id string")
+    edges = spark.createDataFrame([("p", "a", "b"), ("p", "a", "b"), ("p", "b", "C"), ("p", "gone", "a"), ("q", "x", "y"), ("q", "y", "x"), ("q", "y", "z")], "pipeline_id string, source string, target string")
+    assert {(r.pipeline_id, r.step_id): r.phase for r in phases_of_all(steps, edges).collect()} == {("p", "A "): 0, ("p", "b"): 1, ("p", "c"): 2, ("q", "x"): None, ("q", "y"): None, ("q", "z"): None}
+    assert phases_of_all(steps.limit(0), edges).count() == 0
+
+
+def test_listings(spark, monkeypatch):
+    r = ConnectionRegistry(spark)
+    for c in (Connection("ch", "c", "clickhouse"), Connection("bq", "b", "bigquery", options={"dataset": "d"}), Connection("mo", "m", "mongodb", options={"collections": "a, b", "database": "x"})):
+        r.add(c)
+    asked = {}
+
+    def read(id_, table, schema=None, query=None, organization_id=None):
+        asked[id_] = query
+        if query and "system.columns" in query:
+            return spark.createDataFrame([("k", "Int64", "", 1), ("v", "Nullable(String)", "'x'", 0)], "name string, type string, default_expression string, is_in_primary_key int")
+        if query and "system.tables" in query:
+            return spark.createDataFrame([("d", "t", "MergeTree"), ("d", "v", "MaterializedView"), ("e", "u", "Log")], "database string, name string, engine string")
+        return spark.createDataFrame([("t", "BASE TABLE"), ("w", "VIEW")], "table_name string, table_type string")
+
+    monkeypatch.setattr(r, "read", read)
+    assert [(t.name, t.type) for t in r.tables("ch", "d")] == [("t", "table"), ("v", "view")]
+    assert [(c.name, c.nullable, c.default, c.is_primary_key) for c in r.columns("ch", "t")] == [("k", False, None, True), ("v", True, "'x'", False)]
+    assert [(t.schema, t.name, t.type) for t in r.tables("bq")] == [("d", "t", "table"), ("d", "w", "view")] and "`d`.INFORMATION_SCHEMA" in asked["bq"]
+    assert [t.name for t in r.tables("mo")] == ["a", "b"] and [c.type for c in r.columns("mo", "a")] == ["string", "string"]
+    assert r.test("bq") == (True, None) and r.test("mo")[0]
+    monkeypatch.undo()
+    assert not r.test("bq")[0] and not r.test("mo")[0]  # no connector here
