@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,11 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def write_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The written table and its number of rows, counted as they pass."""
+        seen = Observation(f"scratch-{uuid.uuid4().hex}")
+        return self.write(df.observe(seen, F.count(F.lit(1)).alias("n"))), int(seen.get["n"])
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of this scratch that no later step reads."""
         for df in tables:

@@ -13,40 +13,38 @@ from pyspark.sql import functions as F
 
 from crosslake.functions.common import Scratch
 
-SIBLING_BUCKETS = 64  # the children of one parent are numbered in so many groups at once
+SIBLING_GROUP = 100_000  # children of one parent that are numbered together, on average; more are dealt into groups
 
 
-def _number(nodes: DataFrame, edges: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(nodes with a number each, links child -> parent). Ids are text of any length; numbers keep the rounds small."""
+def _number(nodes: DataFrame, edges: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes with a number each, links child -> parent, their number). Ids are text of any length; numbers keep the rounds small."""
     one = nodes.where("key is not null").groupBy("scope", "key").agg(F.min("graph").alias("graph"), F.min("node_id").alias("node_id"))
     numbered = s.write(one.withColumn("v", F.monotonically_increasing_id()))
     key = numbered.select("scope", "key", "v")
     pairs = edges.where("source is not null and target is not null").select("scope", "source", "target").distinct()
     got = pairs.join(key.select("scope", F.col("key").alias("source"), F.col("v").alias("p")), ["scope", "source"]).join(key.select("scope", F.col("key").alias("target"), "v"), ["scope", "target"])
-    return numbered, s.write(got.groupBy("v").agg(F.min_by("p", "source").alias("a")))
+    return numbered, *s.write_counted(got.groupBy("v").agg(F.min_by("p", "source").alias("a")))
 
 
-def _ascend(links: DataFrame, s: Scratch) -> tuple[list[DataFrame], DataFrame]:
+def _ascend(links: DataFrame, count: int, s: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """The rounds upward: tables (v, a, size) of the nodes that have an ancestor ``a`` 2^k above, and the nodes that never run out of ancestors."""
     rounds: list[DataFrame] = []
-    now = s.write(links.withColumn("size", F.lit(1).cast("bigint")))
-    count = now.count()
+    now = links.withColumn("size", F.lit(1).cast("bigint"))
     while count:
         rounds.append(now)
         add = now.groupBy(F.col("a").alias("v")).agg(F.sum("size").alias("add"))
         up = now.select(F.col("v").alias("a"), F.col("a").alias("next"))
-        now = s.write(now.join(up, "a").join(add, "v", "left").select("v", F.col("next").alias("a"), (F.col("size") + F.coalesce("add", F.lit(0))).alias("size")))
-        left = now.count()
+        now, left = s.write_counted(now.join(up, "a").join(add, "v", "left").select("v", F.col("next").alias("a"), (F.col("size") + F.coalesce("add", F.lit(0))).alias("size")))
         if left == count:
             break
         count = left
     return rounds, now.select("v")
 
 
-def _offsets(links: DataFrame, sizes: DataFrame, endless: DataFrame) -> DataFrame:
+def _offsets(links: DataFrame, sizes: DataFrame, endless: DataFrame, count: int) -> DataFrame:
     """(v, a, size, offset): where a child's range starts within its parent's, after the parent itself and its earlier siblings."""
     own = links.join(endless, "v", "left_anti").join(sizes, "v", "left").select("v", "a", F.coalesce("size", F.lit(1)).alias("size"))
-    own = own.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(SIBLING_BUCKETS)))
+    own = own.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(-(-count // SIBLING_GROUP) or 1)))
     first = own.groupBy("a", "b").agg(F.sum("size").alias("all"))
     first = first.select("a", "b", (F.sum("all").over(Window.partitionBy("a").orderBy("b")) - F.col("all")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("a", "b").orderBy("v")) - F.col("size")
@@ -68,8 +66,8 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
     """
     spark = nodes.sparkSession
     s = Scratch(spark, "hierarchy")
-    numbered, links = _number(nodes, edges, s)
-    rounds, endless = _ascend(links, s)
+    numbered, links, count = _number(nodes, edges, s)
+    rounds, endless = _ascend(links, count, s)
     endless = endless if rounds else links.select("v").limit(0)
     size = None
     for t in rounds:
@@ -77,8 +75,8 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, paths: bool = False, separat
         size = part if size is None else size.union(part)
     sizes = (size if size is not None else links.select("v", F.lit(0).cast("bigint").alias("size"))).groupBy("v").agg((F.sum("size") + 1).alias("size"))
     sizes = s.write(sizes)
-    offs = s.write(_offsets(links, sizes, endless))
-    s.drop(*rounds)
+    offs = s.write(_offsets(links, sizes, endless, count))
+    s.drop(*rounds[1:])
     name = numbered.select("v", F.col("node_id").alias("path")) if paths else None
     roots = numbered.select("v").join(links.select("v"), "v", "left_anti").select("v", F.lit(0).cast("bigint").alias("lft"), F.lit(0).alias("depth"), F.col("v").alias("root"))
     acc = offs.select("v", "a", F.col("offset").alias("lft"))
