@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslake.functions.common import local_rows
+from crosslake.functions.common import local_rows, shared_dir
 from crosslake.model import ERROR_RECORD, SPARK_TYPES
 from crosslake.sources import excel
 
@@ -273,10 +273,9 @@ def _fetch(url: str, headers: dict[str, str]) -> tuple[bytes, str | None]:
 def parse_url(spark: SparkSession, url: str, auth: dict | None = None, headers: dict | None = None, folder: str | None = None, fetch: Callable[[str, dict], tuple[bytes, str | None]] = _fetch, **how: object) -> Parsed:
     """A file behind http or https; the type comes from the content type, else from the ending.
 
-    ``folder`` is where the fetched bytes are kept for the executors; on a cluster it must be shared.
+    ``folder`` is where the fetched bytes are kept for the executors, by default a part of
+    the shared folder, which must then be one that the driver can write as files.
     """
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Name a folder that all executors share")
     if not url.startswith(("http://", "https://")):
         raise ValueError("Only http and https URLs are supported")
     data, content = fetch(url, (headers or {}) | auth_headers(auth))
@@ -284,6 +283,11 @@ def parse_url(spark: SparkSession, url: str, auth: dict | None = None, headers:
         raise ValueError(f"File exceeds {MAX_URL_BYTES} bytes")
     words = {"csv": "csv", "json": "json", "spreadsheet": "excel", "excel": "excel", "parquet": "parquet"}
     kind = next((k for w, k in words.items() if w in (content or "").lower()), None) or file_kind(url.split("?")[0])
+    if folder is None:
+        folder = shared_dir(spark).removeprefix("file://")
+        if "://" in folder:
+            raise ValueError("Name a folder of the file system that all executors share")
+        os.makedirs(folder, exist_ok=True)
     with tempfile.NamedTemporaryFile(delete=False, dir=folder, suffix={"excel": ".xlsx"}.get(kind, f".{kind}")) as f:
         f.write(data)
     return parse_file(spark, f.name, kind, **how)
