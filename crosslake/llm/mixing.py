@@ -19,6 +19,7 @@ from crosslake.functions.common import local_rows
 MOST_TARGETS = 10_000
 SEED = 7
 COARSE, FINE = 256, 4096
+SORTED = 10_000  # documents of a bin that are sorted without a finer histogram
 GAP_SHARE, FILL = 0.001, 200
 
 
@@ -67,39 +68,41 @@ def exponential_key(id_col: Column, weight: Column, seed: int = SEED) -> Column:
 
 
 def _cut_bins(part: DataFrame, bin_: Column, start: DataFrame) -> list:
-    """The bin of each source in which its running sum reaches ``rest``: source, bin, rest, before (the sum up to it), and the bin's extremes of the keys.
+    """The bin of each source in which its running sum reaches ``rest``: source, bin, rest, before (the sum up to it), the bin's extremes of the keys and its documents.
 
     start: source, rest, before. Bins are few for each source.
     """
-    bins = part.groupBy("source", bin_.alias("b")).agg(F.sum("n_tokens").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"))
+    bins = part.groupBy("source", bin_.alias("b")).agg(F.sum("n_tokens").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("documents"))
     w = Window.partitionBy("source").orderBy("b")
     run = bins.withColumn("run", F.sum("size").over(w)).join(F.broadcast(start), "source")  # a row for each target
     met = run.withColumn("before", F.col("before") + F.col("run") - F.col("size")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
-    return met.groupBy("source").agg(F.min_by(F.struct("b", "rest", "before", "low", "high"), "b").alias("c")).select("source", "c.*").collect()  # a row for each target
+    return met.groupBy("source").agg(F.min_by(F.struct("b", "rest", "before", "low", "high", "documents"), "b").alias("c")).select("source", "c.*").collect()  # a row for each target
 
 
-_CUT = "source string, b bigint, rest bigint, before bigint, low double, high double"
+_CUT = "source string, b bigint, rest bigint, before bigint, low double, high double, documents bigint"
 
 
 def _find_cuts(part: DataFrame, rests: DataFrame) -> list[tuple]:
     """(source, key, spread, id, sum) of the last document of each source that the budget holds in the order of key, spread and id.
 
     A coarse histogram over the logarithms of the keys, a finer one over the keys of its bin
-    and, where these are all equal, one over the spread (a hash of the id) locate the cut; so
-    only the last bin's documents are sorted. Where not even the last bin's first document
-    fits, the cut has no id and lies before it.
+    and, where these are all equal, one over the spread (a hash of the id) locate the cut, as
+    far as the bins have more than SORTED documents; the last bin's documents are sorted.
+    Where not even the last bin's first document fits, the cut has no id and lies before it.
     """
     spark = part.sparkSession
     coarse = F.floor(F.log2(F.greatest("key", F.lit(1e-300))) * COARSE).cast("bigint")
     at = _cut_bins(part, coarse, rests.withColumn("before", F.lit(0).cast("bigint")))
     columns = ["source", "id", "n_tokens", "key", "spread"]
     found = local_rows(spark, at, _CUT)
+    many = lambda: any(r.documents > SORTED for r in at)
     fine = F.when(F.col("high") > F.col("low"), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * FINE)).otherwise(F.lit(0)).cast("bigint")
     kept = part.join(F.broadcast(found.select("source", "b", "low", "high")), "source").where(coarse == F.col("b")).withColumn("bin", fine).select(*columns, "bin")
-    at = _cut_bins(kept, F.col("bin"), found.select("source", "rest", "before"))
-    found = local_rows(spark, at, _CUT)
-    kept = kept.join(F.broadcast(found.select("source", "b", "low", "high")), "source").where("bin = b")
-    if any(r.low == r.high for r in at):
+    if many():
+        at = _cut_bins(kept, F.col("bin"), found.select("source", "rest", "before"))
+        found = local_rows(spark, at, _CUT)
+        kept = kept.join(F.broadcast(found.select("source", "b", "low", "high")), "source").where("bin = b")
+    if many() and any(r.low == r.high for r in at):
         kept = kept.withColumn("bin", F.when(F.col("low") == F.col("high"), F.shiftright("spread", 52 - 12)).otherwise(F.lit(0).cast("bigint"))).select(*columns, "bin")
         at = _cut_bins(kept, F.col("bin"), found.select("source", "rest", "before"))
         found = local_rows(spark, at, _CUT)
@@ -123,11 +126,12 @@ def _fill(missing: int, sizes: list[tuple[int, object]]) -> list:
     return [*taken, last] if off < missing else taken
 
 
-def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None, tokens: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen: id, source, n_tokens, uses; report: a row for each target).
 
     docs: id, source (source_name), n_tokens, key (exponential_key); it is read several
-    times, so it should be a written table. Targets repeated with the same source count
+    times, so it should be a written table; ``tokens`` has the sum of each source where the
+    caller knows them. Targets repeated with the same source count
     once, the one with the greatest share. Documents of sources without a target, or with a
     null source, are not chosen. Of each source's fraction the documents in order of key are
     taken while the budget holds them; where more than GAP_SHARE of it is then missing, the
@@ -145,8 +149,9 @@ def mix(docs: DataFrame, mix_targets: DataFrame, total: int | None = None) -> tu
     targets = sorted((r.source, float(r.target_share or 0), int(r.max_repeats or 0)) for r in rows)
     names = local_rows(spark, [(s,) for s, _, _ in targets], "source string")
     wanted = docs.join(F.broadcast(names), "source")  # at most MOST_TARGETS rows
-    sums = {r.source: int(r.n or 0) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each target
-    plan = make_plan(targets, sums, total)
+    if tokens is None:
+        tokens = {r.source: int(r.n or 0) for r in wanted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each target
+    plan = make_plan(targets, tokens, total)
     frame = local_rows(spark, [(p.source, p.epochs, p.rest) for p in plan], "source string, epochs int, rest bigint")
     base = wanted.withColumn("spread", F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED + 1)), 12)).join(F.broadcast(frame), "source")  # 52 bits
     cuts = _find_cuts(base.where("rest > 0").select("source", "id", "n_tokens", "key", "spread"), frame.where("rest > 0").select("source", "rest"))

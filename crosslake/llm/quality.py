@@ -55,10 +55,10 @@ def train(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
                     two += np.bincount(g2[ok], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(three), pa.array(two)], names=["b", "three", "two"])
 
-    got = docs.select(text_col).mapInArrow(run, "b int, three bigint, two bigint").groupBy("b").agg(F.sum("three").alias("three"), F.sum("two").alias("two")).collect()  # BUCKETS rows
+    got = docs.select(text_col).mapInArrow(run, "b int, three bigint, two bigint").groupBy("b").agg(F.sum("three").alias("three"), F.sum("two").alias("two")).toArrow()  # BUCKETS rows
     three, two = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in got:
-        three[r.b], two[r.b] = r.three, r.two
+    at = got["b"].to_numpy()
+    three[at], two[at] = got["three"].to_numpy(), got["two"].to_numpy()
     return three, two
 
 

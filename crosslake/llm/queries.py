@@ -124,11 +124,12 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     bits = scorer(train(docs, "text"))
     sized = Scratch(spark, "mix").write(token_counts(docs.withColumn("source", source_name(F.col("source"))), "doc_id", "text", keep=("source",), score=("bits", bits)))
     wanted = targets.select(source_name(F.col("source")).alias("source")).distinct()
-    usual = sized.join(wanted, "source", "left_semi").groupBy("source").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("deviation"))
-    usual = local_rows(spark, usual.limit(MOST_TARGETS).collect(), "source string, mean double, deviation double")  # a row for each target; mix refuses more of them
+    usual = sized.join(wanted, "source", "left_semi").groupBy("source").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("deviation"), F.sum("n_tokens").alias("n"))
+    found = usual.limit(MOST_TARGETS).collect()  # a row for each target; mix refuses more of them
+    usual = local_rows(spark, found, "source string, mean double, deviation double, n bigint").drop("n")
     weight = usual_weight(F.col("bits"), F.col("mean"), F.col("deviation"))
     keyed = sized.join(F.broadcast(usual), "source")
-    return mix(keyed.select(F.col("doc_id").alias("id"), "source", "n_tokens", exponential_key(F.col("doc_id"), weight).alias("key")), targets)
+    return mix(keyed.select(F.col("doc_id").alias("id"), "source", "n_tokens", exponential_key(F.col("doc_id"), weight).alias("key")), targets, tokens={r.source: r.n for r in found})
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
