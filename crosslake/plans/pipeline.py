@@ -167,6 +167,19 @@ def next_run(schedule: str, after: datetime, most_days: int = 1500) -> datetime
     return None
 
 
+def missing_settings(steps: DataFrame) -> DataFrame:
+    """check_steps over the steps of many pipelines: pipeline_id, step_id, problem.
+
+    steps: pipeline_id, step_id, type and settings, a map from names to texts; a setting
+    that is absent, null or empty is missing.
+    """
+    kind = F.col("type")
+    lacks = lambda k: F.coalesce(F.col("settings")[k], F.lit("")) == ""
+    problems = [F.when(~F.coalesce(kind.isin(*STEP_TYPES), F.lit(False)), F.concat(F.lit("unknown type "), F.coalesce(kind, F.lit("None"))))]
+    problems += [F.when((kind == t) & lacks(k), f"{k} is required") for t, ks in NEEDS.items() for k in ks]
+    return steps.select("pipeline_id", "step_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
 @dataclass
 class Transformation:
     id: str

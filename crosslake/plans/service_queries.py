@@ -18,18 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslake.functions import scalars
-from crosslake.functions.common import Scratch, latest, table
+from crosslake.functions.common import Scratch, latest, ship, table
 from crosslake.model import EngineConfig
 from crosslake.operators import analytics, lineage, quality, shaping
 from crosslake.operators.nested import flatten_nested
 from crosslake.plans.engine_queries import _CHECK_SQL, _CHECKS, _GRAPH_SQL, SQL_NOW, _c, _f, _g, _graph, _j, _now, _o, _t
-from crosslake.plans.pipeline import Notebook, PipelineRunner, Transformations, due_pipelines, phases_of_all
+from crosslake.plans.pipeline import Notebook, PipelineRunner, Transformations, due_pipelines, missing_settings, phases_of_all
 from crosslake.plans.query_def import QueryDefinition, compile_query, to_sql
 from crosslake.plans.record_queries import _LINKS, _READABLE, _STEPS, _WALK, _definition_parts, _nested
 from crosslake.plans.sharing import Shares
 from crosslake.plans.sqlexec import QueryEngine
 from crosslake.sources import documents, export, files, rest, staging
-from crosslake.sources.registry import Connection, ConnectionRegistry, field_types
+from crosslake.sources.registry import Connection, ConnectionRegistry, field_types, with_primary_keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -265,6 +265,14 @@ def _doc_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.type) for c in documents.sample_columns(lines)], "name string, type string")
 
 
+@_case("cat_primary_keys", "SELECT schema_kind AS table_name, column_name, position = 0 AS is_primary_key FROM upload_schemas")
+def _primary_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of a catalog with the primary keys that another of its tables names."""
+    cols = table(spark, d, "upload_schemas").select(F.lit("public").alias("table_schema"), F.col("schema_kind").alias("table_name"), "column_name", "position")
+    keys = cols.where("position = 0")
+    return with_primary_keys(cols, keys.unionByName(keys)).select("table_name", "column_name", "is_primary_key")
+
+
 @_case("doc_unwind", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey >= 2")
 def _unwind(spark: SparkSession, d: str) -> DataFrame:
     """A text in JSON through the engine: lookup, unwind, projection of nested fields."""
@@ -295,6 +303,28 @@ def _odd_names(spark: SparkSession, d: str) -> DataFrame:
     return compile_query(QueryDefinition.from_dict(definition), lambda ref: frames[ref.table])
 
 
+_EDITED = "SELECT nation.n_name, nation_1.n_name AS n_name_1 FROM nation JOIN nation nation_1 ON nation.n_regionkey = nation_1.n_regionkey"
+
+
+@_case("xq_edited", _EDITED)
+def _edited(spark: SparkSession, d: str) -> DataFrame:
+    """A definition built by edits: tables under numbered aliases, a removed table, toggled columns."""
+    q = QueryDefinition((), ()).add_table("nation").add_table("nation").add_table("region")
+    q = q.add_join("nation", "nation_1", "INNER", "n_regionkey", "n_regionkey").add_join("nation", "region", "INNER", "n_regionkey", "r_regionkey")
+    q = q.select_all("nation", ["n_name", "n_nationkey"]).select_all("region", ["r_name"]).toggle_column("nation", "n_nationkey").toggle_column("nation_1", "n_name").remove_table("region")
+    return compile_query(q, lambda ref: table(spark, d, ref.table))
+
+
+@_case("xq_source_query", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus <> 'F' WHERE c_nationkey <= 3")
+def _left_in_source(spark: SparkSession, d: str) -> DataFrame:
+    """A table given by a query of its own, joined from the left."""
+    e = _engine(spark, d)
+    open_orders = e.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F'", "lake")
+    frames = {"customer": table(spark, d, "customer"), "o": open_orders}
+    q = {"tables": _t("customer c", "o"), "joins": [_j("c", "o", "LEFT", "c_custkey = o_custkey")], "columns": _c("c.c_custkey", "o.o_orderkey"), "filters": [_f("c.c_nationkey <=", "3")]}
+    return compile_query(QueryDefinition.from_dict(q), lambda ref: frames[ref.table])
+
+
 # --- raw SQL
 
 
@@ -355,6 +385,26 @@ def _generated(spark: SparkSession, d: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).withColumn("warnings", F.lit(len(v.warnings)))
 
 
+@_case("eng_answers", """
+SELECT id, load_no, CASE WHEN length(sql_query) % 2 = 0 THEN trim(sql_query) ELSE 'SELECT 1 FROM (' || trim(sql_query) || ') x' END AS text, CASE WHEN length(sql_query) % 2 = 0 THEN 'as asked' END AS why FROM query_history WHERE regexp_matches(sql_query, '^(SELECT|WITH)')""")
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """SQL taken out of free texts, fenced or not, by batches of Arrow."""
+    from crosslake.plans.guards import sql_from_answer
+
+    ship(spark)
+    q = table(spark, d, "query_history").where(F.col("sql_query").rlike("^(SELECT|WITH)"))
+    answer = F.when(F.length("sql_query") % 2 == 0, F.concat(F.lit("Sure.\n```sql\n"), "sql_query", F.lit("\n```\nREASONING: as asked"))).otherwise(F.concat(F.lit("Try this: SELECT 1 FROM ("), F.trim("sql_query"), F.lit(") x")))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for b in batches:
+            got = [sql_from_answer(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.string())], names=["id", "load_no", "text", "why"])
+
+    return q.select("id", "load_no", answer.alias("answer")).mapInArrow(run, "id string, load_no int, text string, why string")
+
+
 @_case("nb_execute", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
 def _notebook(spark: SparkSession, d: str) -> DataFrame:
     """A notebook's cells saved as a transformation, run, and read from its cached result."""
@@ -415,6 +465,19 @@ def _phases(spark: SparkSession, d: str) -> DataFrame:
     return phases_of_all(parts.where("part = 'steps[]'").select("pipeline_id", F.col("id").alias("step_id")), parts.where("part = 'edges[]'").select("pipeline_id", "source", "target"))
 
 
+_NEED = {"transform": ("transformationId",), "cross-query": ("savedCrossQueryId",), "ingest": ("sourceConnectionId", "sourceTable"), "export": ("path",)}
+_SETTING = "CASE WHEN json_type(x, '$.config') = 'VARCHAR' AND json_valid(x ->> '$.config') THEN json_extract_string(CAST(x ->> '$.config' AS JSON), '$.{k}') ELSE json_extract_string(x, '$.config.{k}') END"
+
+
+@_case("pipe_step_checks", "WITH s AS (SELECT id AS pipeline_id, x ->> '$.id' AS step_id, x ->> '$.type' AS type, x FROM (SELECT id, unnest(CASE WHEN json_type(d, '$.steps') = 'ARRAY' THEN CAST(json_extract(d, '$.steps[*]') AS JSON[]) ELSE [] END) AS x FROM (" + _READABLE + ")) WHERE json_type(x) = 'OBJECT') SELECT pipeline_id, step_id, 'unknown type ' || coalesce(type, 'None') AS problem FROM s WHERE type IS NULL OR type NOT IN ('ingest', 'transform', 'cross-query', 'export')"
+       + "".join(f" UNION ALL SELECT pipeline_id, step_id, '{k} is required' FROM s WHERE type = '{t}' AND coalesce({_SETTING.format(k=k)}, '') = ''" for t, ks in _NEED.items() for k in ks))
+def _step_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is missing in the settings of all steps of all pipelines."""
+    got = flatten_nested(latest(table(spark, d, "pipelines").select("id", "updated_at", "definition"), "id", F.col("updated_at").desc_nulls_last()), "id", "definition", tables=("steps[]",))
+    inner = F.map_from_entries(F.transform(F.filter(F.map_entries("fields"), lambda e: e["key"].startswith("config.")), lambda e: F.struct(F.substring(e["key"], 8, 1 << 20), e["value"])))
+    return missing_settings(got.select(F.col("root_id").alias("pipeline_id"), F.col("fields")["id"].alias("step_id"), F.col("fields")["type"].alias("type"), inner.alias("settings")))
+
+
 @_case("pipe_due", """
 SELECT id, schedule, h FROM (SELECT DISTINCT id, schedule, status FROM pipelines), unnest(range(24)) u(h) WHERE status = 'active' AND (string_split(schedule, ' ')[2] = '*' OR string_split(schedule, ' ')[2] = CAST(h AS VARCHAR) OR (contains(string_split(schedule, ' ')[2], '*/') AND h % CAST(substr(string_split(schedule, ' ')[2], 3) AS INTEGER) = 0))""")
 def _due(spark: SparkSession, d: str) -> DataFrame:
