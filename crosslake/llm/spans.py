@@ -9,6 +9,7 @@ are shared spans. ``shared_runs`` goes on doubling until no longer run repeats.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosslake.functions.common import Scratch, ship
+from crosslake.functions.common import Scratch, checkpointed, ship
 
 PIECE_BYTES = 1 << 20
 GROUP_CONTEXTS = 4096  # contexts of one window that one task compares in memory; more are compared by a shuffle
@@ -419,7 +420,7 @@ def _run_contexts(parts: DataFrame, hits: DataFrame, span: int, width: int) -> D
 
 
 def _runs_of(contexts: DataFrame, span: int, width: int) -> DataFrame:
-    """The runs of at least ``span`` over each repeated window, cut off where the contexts end; all contexts of one window meet in one task."""
+    """The runs of at least ``span`` over each repeated window, cut off where the contexts end; all contexts of one window meet in one task, so windows of many places have ``_runs_of_many``."""
 
     def whole(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
         same: dict[tuple[int, str], list[tuple[int, int]]] = {}
@@ -449,6 +450,169 @@ def _runs_of(contexts: DataFrame, span: int, width: int) -> DataFrame:
     return contexts.select("h", "id", "pos", "left", "ctx").repartition("h").sortWithinPartitions("h").mapInArrow(run, 'id bigint, start int, end int')
 
 
+def _left_marks(contexts: DataFrame, span: int) -> DataFrame:
+    """Two hashes of each context's last ``a`` code points before the window, for every ``a`` with which a run of ``span`` fits: h, left, ck, lo, hi, a, w, v."""
+    schema = "h bigint, left int, ck bigint, lo bigint, hi bigint, a int, w bigint, v bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(0, batch.num_rows, 500):
+                part = batch.slice(r, 500)
+                lefts = part.column("left").to_numpy().astype(np.int64)
+                for first, codes, lengths in _coded(part.column("ctx")):
+                    left = lefts[first : first + len(lengths)]
+                    low = np.maximum(0, span - (lengths - left))
+                    count = np.maximum(0, left - low + 1)
+                    owner = np.repeat(np.arange(len(lengths)), count)
+                    a = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                    at = (np.cumsum(lengths) - lengths + left)[owner]  # where the window begins
+                    size = np.int64(1) << np.floor(np.log2(np.maximum(a, 1))).astype(np.int64)
+                    marks = [np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)]
+                    for j in np.unique(size[a > 0]).tolist():
+                        here = (size == j) & (a > 0)
+                        for i, mark in enumerate(marks):
+                            w = window_hashes(codes, j, bool(i))
+                            mark[here] = _mix(w[(at - a)[here]], w[(at - j)[here]])
+                    out = part.select(["h", "left", "ck", "lo", "hi"]).take(pa.array(first + owner))
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(a, pa.int32()), *[pa.array(m.view(np.int64)) for m in marks]], names=["h", "left", "ck", "lo", "hi", "a", "w", "v"])
+
+    return contexts.mapInArrow(run, schema)
+
+
+_EDGE = tuple  # (class, text, tag): a sorted row; the tag is its only text's id, None if it stands in several
+
+
+class _Near:
+    """The last row of a sorted class and the last one of another text: one of them is the nearest that lies in another text than a given row."""
+
+    def __init__(self, one: _EDGE | None = None, two: _EDGE | None = None) -> None:
+        self.one, self.two = one, two
+
+    def add(self, row: _EDGE) -> None:
+        if self.one is None or self.one[0] != row[0]:
+            self.one, self.two = row, None
+        elif row[2] is None or self.one[2] != row[2]:
+            self.one, self.two = row, self.one
+        else:
+            self.one = row
+
+    def of(self, row: _EDGE) -> int:
+        """How far the row agrees with it."""
+        for x in (self.one, self.two):
+            if x is not None and x[0] == row[0] and (x[2] is None or x[2] != row[2]):
+                return _common(x[1], row[1])
+        return 0
+
+
+def _agreements(sorted_rows: DataFrame) -> DataFrame:
+    """Of each row of a class the longest agreement of its text with one of another text: its keys and r.
+
+    The rows are sorted by class and text in fixed partitions, so those that agree furthest
+    are neighbours; the first and last rows of the partitions are told to the others first.
+    """
+    keys, schema = ["h", "a", "w", "v", "t1", "t2"], "h bigint, a int, w bigint, v bigint, t1 bigint, t2 bigint, r int"
+
+    def rows(b: pa.RecordBatch) -> Iterator[_EDGE]:
+        for h, a, w, v, text, lo, hi in zip(*[b.column(c).to_pylist() for c in ("h", "a", "w", "v", "right", "lo", "hi")]):
+            yield (h, a, w, v), text, lo if lo == hi else None
+
+    def pack(near: _Near) -> list[bytes | None]:
+        return [None if x is None else pickle.dumps(x) for x in (near.one, near.two)]
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        head, tail, done = _Near(), _Near(), False
+        for b in batches:
+            for row in rows(b):
+                tail.add(row)
+                if head.one is None:
+                    head.one = row
+                elif not done:
+                    if row[0] != head.one[0]:
+                        done = True
+                    elif row[2] is None or row[2] != head.one[2]:
+                        head.two, done = row, True
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *[pa.array([x], pa.binary()) for x in (*pack(head), *pack(tail))]], names=["p", "h1", "h2", "t1", "t2"])
+
+    found = sorted_rows.mapInArrow(edges, "p int, h1 binary, h2 binary, t1 binary, t2 binary").collect()  # a row for each partition
+    load = lambda x: None if x is None else pickle.loads(x)  # noqa: E731, S301 - own rows
+    parts = [(r.p, [load(x) for x in (r.h1, r.h2, r.t2, r.t1)]) for r in sorted(found, key=lambda r: r.p)]
+    before, after = {}, {}
+    for out, order, way in ((before, parts, (2, 3)), (after, parts[::-1], (1, 0))):
+        near = _Near()
+        for p, ends in order:
+            out[p] = (near.one, near.two)
+            for i in way:
+                if ends[i] is not None:
+                    near.add(ends[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        p = TaskContext.get().partitionId()
+        back, coming = _Near(*before.get(p, (None, None))), _Near(*after.get(p, (None, None)))
+        waiting: list[tuple[tuple, _EDGE, int]] = []  # rows of one class and one text, whose next neighbour is still to come
+        out: list[tuple] = []
+
+        def settle(nxt: _EDGE | None) -> None:
+            for key, row, r in waiting:
+                other = _common(nxt[1], row[1]) if nxt is not None and nxt[0] == row[0] else 0
+                out.append((*key, max(r, other)))
+            waiting.clear()
+
+        for b in batches:
+            marks = zip(*[b.column(c).to_pylist() for c in keys])
+            for key, row in zip(marks, rows(b)):
+                if waiting and (waiting[0][1][0] != row[0] or row[2] is None or row[2] != waiting[0][1][2]):
+                    settle(row)
+                if row[2] is None:  # the same text stands elsewhere as a whole
+                    out.append((*key, len(row[1])))
+                else:
+                    waiting.append((key, row, back.of(row)))
+                back.add(row)
+            if len(out) > 20_000:
+                yield _table_of(out, schema)
+                out = []
+        for key, row, r in waiting:
+            out.append((*key, max(r, coming.of(row))))
+        yield _table_of(out, schema)
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def _table_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _runs_of_many(places: DataFrame, span: int, width: int, scratch: Scratch) -> DataFrame:
+    """The same for windows with very many contexts, by shuffles and sorts that divide them.
+
+    Contexts that agree in the last ``a`` code points before the window are a class. Only the
+    greatest ``a`` of equal classes of a context counts. Within a class the texts from the
+    window on are sorted, and neighbours agree furthest.
+    """
+    at, cls = ["h", "left", "ck"], ["h", "a", "w", "v"]
+    contexts = scratch.write(places.groupBy(*at, "ctx").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    marks = scratch.write(_left_marks(contexts, span))
+    classes = marks.groupBy(*cls).agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    met = marks.join(classes.select(*cls, "n"), cls)
+    w = Window.partitionBy(*at).orderBy("a")  # one context's own classes
+    nxt = F.when(F.lead("a").over(w) == F.col("a") + 1, F.lead("n").over(w))
+    last = met.withColumn("next", nxt).where("next is null or next < n").select(*at, "a", "w", "v")
+    right = F.expr("substring(ctx, left + 1)")
+    members = last.join(contexts.select(*at, right.alias("right"), "lo", "hi"), at).withColumns({"t1": F.xxhash64("right"), "t2": F.xxhash64("right", F.lit(1))})
+    members = scratch.write(members)
+    texts = members.groupBy(*cls, "t1", "t2").agg(F.first("right").alias("right"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    order = [*cls, "right"]
+    far = _agreements(checkpointed(texts.repartitionByRange(*order).sortWithinPartitions(*order)))
+    runs = members.select(*at, *cls[1:], "t1", "t2").join(far.where((F.col("r") >= width) & (F.col("a") + F.col("r") >= span)), [*cls, "t1", "t2"]).select(*at, "a", "r")
+    return places.select(*at, "id", "pos").join(runs, at).select("id", (F.col("pos") - F.col("a")).alias("start"), (F.col("pos") + F.col("r")).alias("end")).distinct()
+
+
 def _run_batch(runs: set[tuple[int, int, int]]) -> pa.RecordBatch:
     cols = list(zip(*runs)) if runs else [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["id", "start", "end"])
@@ -478,8 +642,14 @@ def shared_runs(docs: DataFrame, id_col: str, text_col: str, span: int = 200) ->
     parts, level, width, found = long.select("id", F.lit(0).alias("off"), "text"), span, span // 2, []
     while True:
         windows = scratch.write(_run_windows(parts, level, width))
-        again = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-        runs = scratch.write(_runs_of(_run_contexts(parts, windows.join(again, "h"), level, width), level, width))
+        again = windows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("places")).where("lo < hi")
+        many = F.col("places") > GROUP_CONTEXTS
+        runs = _runs_of(_run_contexts(parts, windows.join(again.where(~many).select("h"), "h"), level, width), level, width)
+        hot = windows.join(again.where(many).select("h"), "h")
+        if not hot.isEmpty():
+            places = scratch.write(_run_contexts(parts, hot, level, width).withColumn("ck", F.xxhash64("ctx")))
+            runs = runs.unionByName(_runs_of_many(places, level, width, scratch))
+        runs = scratch.write(runs)
         longer = F.col("end") - F.col("start") >= 2 * level
         found.append(runs.where(~longer))
         rest = runs.where(longer)

@@ -330,8 +330,9 @@ def test_spans(spark, monkeypatch, span, contexts, chunk):
     assert shares[4].share == shares[7].share == 0.0 and shares[1].n_chars == len(docs[0][1])
 
 
-@pytest.mark.parametrize("span", [20, 31])
-def test_runs(spark, span):
+@pytest.mark.parametrize("span, contexts", [(20, 4096), (31, 4096), (20, 0), (31, 3)])
+def test_shared_runs(spark, monkeypatch, span, contexts):
+    monkeypatch.setattr(S, "GROUP_CONTEXTS", contexts)
     docs = shared_docs(span)
     a, b = "".join(chr(200 + i) for i in range(span)), "".join(chr(500 + i) for i in range(6 * span))
     docs += [(25, "<" + a + b + ">"), (28, a + "!"), (31, "?" + b)]  # adjoining passages of different texts
@@ -440,3 +441,31 @@ def test_many_runs():
     got = m.end().to_pylist()
     assert sorted((x["group_key"], x["rank"], -x["score"], x["tie0"]) for x in got) == sorted((g, k + 1, *x) for g, v in groups.items() for k, x in enumerate(sorted(v)[:3]))
     assert most <= topn.FAN_IN * 60 + 5 * topn.FAN_IN * 60
+
+
+@pytest.mark.parametrize("parts", [1, 2, 9, 40])
+def test_agreements_across_partitions(spark, parts):
+    """Neighbours that agree furthest can lie in other partitions, behind rows of the same text."""
+    r = random.Random(parts)
+    rows = {}
+    for _ in range(300):
+        word = "".join(r.choice("ab") for _ in range(r.randint(0, 7)))
+        rows.setdefault((r.choice([1, 1, 1, 2]), 0, 5, 6, word), set()).add(r.choice([1, 1, 1, 1, 2, 3]))
+    table = [(h, a, w, v, i, -i, text, min(ids), max(ids)) for i, ((h, a, w, v, text), ids) in enumerate(sorted(rows.items()))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(table, parts), "h bigint, a int, w bigint, v bigint, t1 bigint, t2 bigint, right string, lo bigint, hi bigint")
+    got = {x.t1: x.r for x in S._agreements(df).collect()}
+    for h, _, _, _, i, _, text, lo, hi in table:
+        other = [t for k, _, _, _, _, _, t, lo2, hi2 in table if k == h and t != text and not lo == hi == lo2 == hi2]
+        assert got[i] == (len(text) if lo < hi else max((S._common(text, t) for t in other), default=0)), (text, lo, hi)
+    assert len(got) == len(table)
+
+
+def test_runs_of_a_hot_window(spark, monkeypatch):
+    """A passage in a third of all texts, each time among other words: windows of many contexts, by the real limits of a smaller group."""
+    monkeypatch.setattr(S, "GROUP_CONTEXTS", 50)
+    hot = "The same passage stands in a third of all texts, word for word. " * 2
+    r = random.Random(9)
+    noise = lambda: "".join(r.choice("abcdefghij") for _ in range(90))
+    docs = [(i, noise() + (hot if i % 3 == 0 else "") + noise()) for i in range(300)]
+    got = {tuple(x) for x in S.shared_runs(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", 60).collect()}
+    assert got == brute.runs([{"doc_id": i, "text": t} for i, t in docs], 60) and len(got) >= 100
