@@ -19,6 +19,7 @@ from crosslake.functions.common import Scratch, same_id
 SEPARATORS = (",", ";", "\t", "|")
 MOST_SCHEMA_COLUMNS = 20_000
 JUDGED_COLUMNS = 64
+PREFIX_FIELDS = 16
 
 _DAY = (
     r"(?!0000)(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
@@ -54,14 +55,23 @@ def field_pattern(data_type: str, required: bool, sep: str) -> str:
 
 
 def row_patterns(columns: list[tuple[str, str, bool]], sep: str) -> dict[str, str | list[str]]:
-    """Of one schema: the pattern of sound rows, of well-quoted rows, of rows with the right number of fields, and of prefixes."""
+    """Of one schema: the pattern of sound rows, of well-quoted rows, of rows with the right number of fields, and of prefixes.
+
+    A prefix's fields but for the last PREFIX_FIELDS are skipped as any fields, since the
+    prefixes before it tell of them; so the patterns of a wide schema stay short.
+    """
     s, anything = re.escape(sep), _any_field(sep)
     fields = [field_pattern(t, need, sep) for _, t, need in columns]
+
+    def prefix(k: int) -> str:
+        skip = k // PREFIX_FIELDS * PREFIX_FIELDS
+        return r"\A" + (rf"(?:{anything}{s}){{{skip}}}" if skip else "") + s.join(fields[skip : k + 1]) + rf"(?={s}|\z)"
+
     return {
         "sound": rf"\A{s.join(fields)}\z",
         "quoting": rf"\A{anything}(?:{s}{anything})*+\z",
         "count": rf"\A{anything}(?:{s}{anything}){{{len(fields) - 1}}}\z",
-        "prefixes": [rf"\A{s.join(fields[: k + 1])}(?={s}|\z)" for k in range(len(fields))],
+        "prefixes": [prefix(k) for k in range(len(fields))],
     }
 
 

@@ -364,3 +364,27 @@ def test_control_limits_of_constants(spark):
     """Means of equal fractions differ from them by rounding; that is no departure."""
     p = spark.createDataFrame([("t", i, "c", 0.1 + 0.2 if i < 12 else 5.0) for i in range(13)], "table_name string, load_no int, column_name string, mean_value double")
     assert [x.load_no for x in control_limits(p).collect()] == [12]
+
+
+def test_wide_schema(spark):
+    """Prefixes of a wide schema skip the fields that earlier ones have tested."""
+    n = 45
+    schemas = spark.createDataFrame([("w", i, f"c{i}", "integer" if i % 2 == 0 else "text", i % 4 != 1) for i in range(n)], "schema_kind string, position int, column_name string, data_type string, required boolean")
+    good = [str(i) if i % 2 == 0 else f'"t, ""{i}"""' for i in range(n)]
+    lines, want = [",".join(good)], {}
+    for k in (0, 1, 15, 16, 17, 31, 32, 33, 44):
+        for bad, reason in ((("x" if k % 2 == 0 else "" if k % 4 == 3 else 'a"b'), None), ('"x"y', "quoting")):
+            if k == 0:
+                continue
+            row = list(good)
+            row[k] = bad
+            lines.append(",".join(row))
+            want[len(lines) + 1] = (reason or ("quoting" if '"' in bad else "invalid_value"), k)
+    lines.append(",".join(good[:20]))
+    want[len(lines) + 1] = ("column_count", n)
+    body = ",".join(f"c{i}" for i in range(n)) + "\n" + "\n".join(lines)
+    files = spark.createDataFrame([(1, "text/csv", "w", body.encode())], "file_id bigint, mimetype string, schema_kind string, buffer binary")
+    got = {r.line_no: (r.reason, r.field_no) for r in failing_records(files, schemas).collect()}
+    assert got.keys() == want.keys()
+    for line, (reason, field) in want.items():
+        assert got[line][0] == reason and (reason == "column_count" or got[line][1] == field), (line, got[line], want[line])
