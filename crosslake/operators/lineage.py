@@ -95,8 +95,8 @@ def subgraph(nodes: DataFrame, edges: DataFrame, root: str, direction: str = "bo
     for depth in range(1, max_depth + 1):
         moves = s.write(frontier.join(walk, frontier["id"] == walk["here"]).select("edge", "there"))
         walked.append(moves.select("edge"))
-        frontier = s.write(moves.select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, found_now = s.write_counted(moves.select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not found_now:
             break
         seen = seen.unionByName(frontier)
     found = nodes.join(seen, "id")
