@@ -83,7 +83,7 @@ def _kept(df: DataFrame, *drop: str) -> DataFrame:
 
 # --- sources
 
-_NATIVE = "SELECT n_name, r_name, n_nationkey * 2 AS twice FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA' AND n_nationkey % 3 = 1"
+_NATIVE = "SELECT n_name, r_name, CAST(n_nationkey * 2 AS BIGINT) AS twice FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA' AND n_nationkey % 3 = 1"
 
 
 @_case("src_sqlite", _NATIVE)
@@ -202,14 +202,14 @@ def _workbook(path: str, rows: list[tuple]) -> None:
         z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
 
 
-@_case("src_excel", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@_case("src_excel", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def _excel(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_folder(spark)}/nations.xlsx"
     _workbook(path, [("n_nationkey", "n_name", "n_regionkey"), *_small(spark, d, "nation")])
     return files.parse_file(spark, path, sheet="nations").table()
 
 
-@_case("src_json", """SELECT r_name AS name, n AS nations, names, CASE WHEN r_regionkey <> 2 THEN r_regionkey END AS regionkey FROM (SELECT r_regionkey, any_value(r_name) AS r_name, count(*) AS n, '["' || string_agg(n_name, '","' ORDER BY n_nationkey) || '"]' AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)""")
+@_case("src_json", """SELECT r_name AS name, n AS nations, names, CASE WHEN r_regionkey <> 2 THEN CAST(r_regionkey AS BIGINT) END AS regionkey FROM (SELECT r_regionkey, any_value(r_name) AS r_name, count(*) AS n, '["' || string_agg(n_name, '","' ORDER BY n_nationkey) || '"]' AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)""")
 def _json(spark: SparkSession, d: str) -> DataFrame:
     """A whole document with a root path, one level of nesting, arrays, missing and empty values."""
     nations = _small(spark, d, "nation")
@@ -234,7 +234,7 @@ def _json_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("event_id").cast("bigint").alias("event_id"), "event_type", "value", F.col("`p.k`").alias("k"))
 
 
-@_case("src_url", "SELECT n_nationkey, n_name FROM nation")
+@_case("src_url", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
 def _url(spark: SparkSession, d: str) -> DataFrame:
     """A fetched file whose type the content type tells."""
     body = "n_nationkey;n_name\n" + "".join(f"{k};{n}\n" for k, n, _ in _small(spark, d, "nation"))
@@ -242,7 +242,7 @@ def _url(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_url(spark, "https://host/nations?x=1", {"type": "bearer", "token": "t"}, folder=_folder(spark), fetch=fetch, delimiter=";").table()
 
 
-@_case("src_rest", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+@_case("src_rest", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation")
 def _rest(spark: SparkSession, d: str) -> DataFrame:
     rows = [{"id": k, "name": n} for k, n, _ in _small(spark, d, "nation")]
     fetch = lambda url, p: ({"data": {"items": rows[p["offset"] : p["offset"] + p["limit"]]}}, {})
@@ -511,7 +511,7 @@ UNION ALL SELECT 6 + i, '"' || r_name || '","' || n || '"' FROM r UNION ALL SELE
 def _report(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_name").count().orderBy("r_name").collect()  # a row for each region
     text = export.dashboard_report({"Totals": {"customers": table(spark, d, "customer").count()}, "Regions": [{"region": r[0], "nations": r[1]} for r in per]}, datetime(2026, 1, 1))
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no int, line string")
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no bigint, line string")
 
 
 @_case("export_catalog", f"""
