@@ -44,6 +44,12 @@ def same_id(c: Column | str) -> Column:
     return F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in a local session."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
@@ -53,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not one_process(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "crosslake-" + spark.sparkContext.applicationId)
 

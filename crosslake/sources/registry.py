@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crosslake.model import ColumnInfo, TableInfo, type_name
 from crosslake.plans.guards import check_where
 from crosslake.plans.query_def import TableRef
-from crosslake.sources import sqlite
+from crosslake.sources import embedded, sqlite
 from crosslake.sources.documents import sample_columns
 
 JDBC = {
@@ -123,8 +123,11 @@ class ConnectionRegistry:
         if c.type == "snowflake":
             name = name.upper()
         options = self._jdbc(c)
+        whole = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+        if query and embedded.by_driver(self.spark, options["url"]):
+            return embedded.read(self.spark, whole, query=query)
         if query:
-            options = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+            options = whole
             return self.spark.read.format("jdbc").options(**options).option("query", query).load()
         return self.spark.read.format("jdbc").options(**self._divided(c, options, name, table, schema)).option("dbtable", name).load()
 

@@ -2,7 +2,11 @@
 
 import datetime as dt
 import sqlite3
+import subprocess
+import sys
+import textwrap
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from crosslake.plans.sharing import Shares, schema_context
 from crosslake.plans.query_def import MAX_TABLES, QueryDefinition, compile_query, to_sql, validate
 from crosslake.plans.sqlexec import QueryEngine, QueryTimeout, page_info, with_timeout
 from crosslake.sources.registry import Connection, ConnectionRegistry, UnknownConnection, with_primary_keys
+from tests.conftest import DATA, needs_data
 
 USERS = [(1, "Alice Johnson", "alice@example.com"), (2, "Bob Smith", "bob@example.com"), (3, "Carol Williams", "carol@example.com")]
 ORDERS = [(1, 1, "99.99", "completed"), (2, 1, "149.50", "completed"), (3, 2, "299.00", "pending"), (4, 3, "49.99", "completed")]
@@ -377,6 +382,47 @@ def test_jdbc(spark):
     assert QueryEngine(spark, r).sql("SELECT count(*) AS n FROM items FETCH FIRST 1 ROWS ONLY", "p").first()[0] == 398  # the database's own words
 
 
+_CLUSTER = """
+import datetime as dt
+import decimal
+import sys
+
+from crosslake.plans import service_queries
+from crosslake.session import get_session
+from crosslake.sources import embedded, staging
+
+tmp, data = sys.argv[1:]
+spark = get_session("cluster", "local-cluster[2,1,1024]", **{"spark.checkpoint.dir": f"file://{tmp}/shared", "spark.sql.warehouse.dir": f"{tmp}/warehouse", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "3", "spark.driver.extraJavaOptions": f"-Dderby.system.home={tmp}"})
+spark.sparkContext.setLogLevel("OFF")
+"""
+
+
+def _on_cluster(tmp_path, body: str) -> None:
+    """Runs a text in a session whose executors are processes of their own."""
+    out = subprocess.run([sys.executable, "-c", _CLUSTER + textwrap.dedent(body), str(tmp_path), DATA], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-3000:]
+
+
+@needs_data
+def test_embedded_database_on_a_cluster(tmp_path):
+    _on_cluster(tmp_path, """
+        got = service_queries.QUERIES["src_jdbc"](spark, data).collect()
+        n = spark.read.parquet(f"{data}/nation.parquet")
+        assert sorted(map(tuple, got)) == sorted(map(tuple, n.selectExpr("n_regionkey", "n_name").groupBy("n_regionkey").agg({"*": "count", "n_name": "max"}).select("n_regionkey", "count(1)", "max(n_name)").collect())), got
+        embedded.CHUNK = 7
+        rows = [(i, i * 2**40, None if i % 3 else "a'b", decimal.Decimal(i) / 4, i / 8, i % 2 == 0, dt.datetime(2024, 1, 1, 0, 0, i), dt.datetime(1999, 12, 31, 23, 59, i, 5000), dt.date(2024, 2, i + 1), b"x%d" % i) for i in range(25)]
+        schema = "i int, l bigint, s string, d decimal(10,2), f double, b boolean, t timestamp, n timestamp_ntz, day date, x binary"
+        opts = {"url": "jdbc:derby:memory:kinds;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+        df = spark.createDataFrame(rows, schema)
+        staging.insert_database(df, opts, "kinds")
+        staging.insert_database(df.limit(0), opts, "kinds")
+        back = embedded.read(spark, opts, query="select * from kinds")
+        assert sorted(map(tuple, back.withColumn("n", back["n"].cast("timestamp_ntz")).collect())) == rows
+        assert embedded.read(spark, opts, query="select * from kinds where 1 = 0").collect() == []
+        spark.stop()
+    """)
+
+
 def test_primary_keys(spark):
     cols = spark.createDataFrame([("s", "t", "a"), ("s", "t", "b"), ("s", "u", "a")], "table_schema string, table_name string, column_name string")
     keys = spark.createDataFrame([("s", "t", "a"), ("s", "t", "a")], cols.schema)
