@@ -47,7 +47,7 @@ class UnknownConnection(KeyError):
 
 
 class ConnectionRegistry:
-    """Connections of one session. ``read`` gives a table lazily; nothing is copied ahead of a query."""
+    """Connections of one session. ``read`` gives a table lazily; nothing is copied ahead of a query, but for embedded databases on a cluster."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self._by_id, self._readers = spark, {}, {}
@@ -124,11 +124,10 @@ class ConnectionRegistry:
             name = name.upper()
         options = self._jdbc(c)
         whole = {k: v for k, v in options.items() if k not in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")}
-        if query and embedded.by_driver(self.spark, options["url"]):
-            return embedded.read(self.spark, whole, query=query)
+        if embedded.by_driver(self.spark, options["url"]):
+            return embedded.read(self.spark, whole, query=query) if query else embedded.read(self.spark, whole, table=name)
         if query:
-            options = whole
-            return self.spark.read.format("jdbc").options(**options).option("query", query).load()
+            return self.spark.read.format("jdbc").options(**whole).option("query", query).load()
         return self.spark.read.format("jdbc").options(**self._divided(c, options, name, table, schema)).option("dbtable", name).load()
 
     def _divided(self, c: Connection, options: dict[str, str], name: str, table: str, schema: str | None) -> dict[str, str]:

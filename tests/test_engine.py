@@ -423,6 +423,20 @@ def test_embedded_database_on_a_cluster(tmp_path):
     """)
 
 
+@needs_data
+def test_embedded_table_in_ranges_on_a_cluster(tmp_path):
+    _on_cluster(tmp_path, """
+        got = service_queries.QUERIES["src_jdbc_ranges"](spark, data).collect()
+        n = spark.read.parquet(f"{data}/nation.parquet").where("n_nationkey >= 5").select("n_nationkey", "n_name")
+        assert len(got) == 20 and sorted(map(tuple, got)) == sorted(map(tuple, n.collect())), got
+        embedded.CHUNK = 100
+        r, _ = service_queries._derby(spark, spark.range(1000).selectExpr("id AS n_nationkey", "if(id % 10 = 0, null, 'x' || id) AS n_name"))
+        assert r.test("db") == (True, None)
+        assert r.read("db", "items").agg({"n_nationkey": "sum", "n_name": "count", "*": "count"}).select("sum(n_nationkey)", "count(n_name)", "count(1)").first() == (499500, 900, 1000)
+        spark.stop()
+    """)
+
+
 def test_primary_keys(spark):
     cols = spark.createDataFrame([("s", "t", "a"), ("s", "t", "b"), ("s", "u", "a")], "table_schema string, table_name string, column_name string")
     keys = spark.createDataFrame([("s", "t", "a"), ("s", "t", "a")], cols.schema)
