@@ -615,11 +615,10 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
 @_case("stream_ingest_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     from crosslake.functions.common import Scratch
-    from crosslake.streaming.ingest import ingest_stream, read_files
+    from crosslake.streaming.ingest import ingest_stream, read_table_files
 
     root = Scratch(spark, "stream").root
-    schema = table(spark, d, "events").schema
-    q = ingest_stream(read_files(spark, d, schema, pathGlobFilter="events.parquet"), f"{root}/table", f"{root}/checkpoint")
+    q = ingest_stream(read_table_files(spark, d, "events"), f"{root}/table", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 

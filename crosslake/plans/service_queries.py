@@ -793,21 +793,21 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 @_case("stream_first_deliveries", "SELECT count(DISTINCT id) AS n FROM query_history WHERE executed_at IS NOT NULL AND id IS NOT NULL")
 def _first(spark: SparkSession, d: str) -> DataFrame:
     """Each delivery once, of rows delivered in several loads; the lateness covers the whole span of the table."""
-    from crosslake.streaming.ingest import first_deliveries, ingest_stream, read_files
+    from crosslake.streaming.ingest import first_deliveries, ingest_stream, read_table_files
 
     root = Scratch(spark, "stream").root
-    stream = read_files(spark, d, table(spark, d, "query_history").schema, pathGlobFilter="query_history.parquet").where("id is not null and executed_at is not null")
+    stream = read_table_files(spark, d, "query_history").where("id is not null and executed_at is not null")
     ingest_stream(first_deliveries(stream, "id", "executed_at", "40000 days"), f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/table").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema(stream.schema).parquet(f"{root}/table").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_case("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     """Counts of the windows that the watermark has closed."""
-    from crosslake.streaming.ingest import read_files, windowed_counts
+    from crosslake.streaming.ingest import read_table_files, windowed_counts
 
     root = Scratch(spark, "stream").root
-    stream = read_files(spark, d, table(spark, d, "events").schema, pathGlobFilter="events.parquet")
+    stream = read_table_files(spark, d, "events")
     q = windowed_counts(stream, "ts", ["event_type"]).writeStream.format("parquet").option("path", f"{root}/table").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{root}/table").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from crosslake.functions.common import table
+
 
 def read_files(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", files_per_batch: int = 1000, **options: str) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).options(**options).load(path)
 
 
+def read_table_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table ``name`` of a dataset directory as a stream, be it one file or a folder of files."""
+    path = f"{sf_dir}/{name}.{{parquet}}"  # a pattern, since a stream takes no path of a single file
+    return read_files(spark, path, table(spark, sf_dir, name).schema)
+
+
 def ingest_stream(stream: DataFrame, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
     """Appends a stream to a table; each batch is written under its number once, so a repeated batch replaces itself.
 

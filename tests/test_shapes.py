@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crosslake.functions import scalars
 from crosslake.operators import analytics, lineage, quality, shaping
+from crosslake.plans import service_queries
 from crosslake.streaming.ingest import first_deliveries, ingest_stream, read_files, windowed_counts
 
 
@@ -188,6 +189,22 @@ def test_streams(spark, tmp_path):
     assert spark.table("fd").count() == 300
 
 
+def test_streams_of_tables(spark, tmp_path):
+    at = dt.datetime(2025, 1, 1)
+    rows = [(str(i % 40), at + dt.timedelta(days=i), 1 + i // 40) for i in range(100)] + [(None, at, 1), ("x", None, 1)]
+    schema = "id string, executed_at timestamp_ntz, load_no int"
+    run = service_queries.QUERIES["stream_first_deliveries"]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/folder/query_history.parquet")
+    assert [tuple(r) for r in run(spark, f"{tmp_path}/folder").collect()] == [(40,)]
+    spark.createDataFrame(rows[-2:], schema).coalesce(1).write.parquet(f"{tmp_path}/none/query_history.parquet")  # no row counts
+    assert [tuple(r) for r in run(spark, f"{tmp_path}/none").collect()] == [(0,)]
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "folder/query_history.parquet").glob("*.parquet"))
+    (tmp_path / "file/query_history.parquet").write_bytes(part.read_bytes())
+    n = spark.read.parquet(str(part)).where("id is not null and executed_at is not null").select("id").distinct().count()
+    assert [tuple(r) for r in run(spark, f"{tmp_path}/file").collect()] == [(n,)]
+
+
 def test_moving_average_cuts_series(spark, monkeypatch):
     monkeypatch.setattr(shaping, "RANGE_ROWS", 7)
     data = [(g, i, float(i * i % 11)) for g in ("a", "b", None) for i in range(40 if g == "a" else 5)]
