@@ -9,10 +9,14 @@ integers, all others of doubles; the type of ``least`` in a state tells which.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosslake.functions.common import Scratch
+
 SKETCH_K = 512
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 
@@ -70,6 +74,34 @@ def percentiles(states: DataFrame, percents: tuple[float, ...] = PERCENTILES, k:
     return states.select(*[c for c in states.columns if c not in drop], *asked, error)
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """The keys, n_values, and p50 ... without a rank error, for groups of any size: the value of rank ceil(percent * n_values), at least the first.
+
+    Null values and NaN do not count; a group without values has n_values 0 and null
+    percentiles. Equal values are counted together, then sorted by range over all groups, so
+    a hot group is many tasks' work; each range of a group tells how many values lie before
+    it, and only the ranges that hold an asked rank are numbered.
+    """
+    counts = df.select(*keys, _value(df, value).alias("__v")).groupBy(*keys, "__v").agg(F.count("__v").alias("__n"))  # none for null
+    rows = Scratch(df.sparkSession, "ranks").write(counts.repartitionByRange(*keys, "__v").withColumn("__p", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)  # one row for each range of a group
+    ranges = rows.groupBy("__p", *keys).agg(F.sum("__n").alias("__in"))
+    ranges = ranges.withColumns({"n_values": F.sum("__in").over(group), "__before": F.sum("__in").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__in")})
+    ranks = [F.greatest(F.lit(1), F.ceil(F.lit(Decimal(str(p))) * F.col("n_values"))).cast("bigint") for p in percents]
+    asked = F.col("n_values") == 0
+    for r in ranks:
+        asked = asked | ((r > F.col("__before")) & (r <= F.col("__before") + F.col("__in")))
+    mine = [F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]
+    on = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    near = rows.join(ranges.where(asked).select(F.col("__p").alias("__q"), *mine, "n_values", "__before"), on)
+    to = F.col("__before") + F.sum("__n").over(Window.partitionBy("__p", *keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = near.withColumn("__to", to)
+    at = [F.max(F.when((r <= F.col("__to")) & (r > F.col("__to") - F.col("__n")), F.col("__v"))).alias(f"p{p * 100:g}") for p, r in zip(percents, ranks)]
+    return numbered.groupBy(*keys, "n_values").agg(*at)
+
+
 def rank_check(values: DataFrame, found: DataFrame, keys: list[str], value: str, percents: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """Percentiles against exact ranks: the keys, percent, n_values, and off, the distance of the asked rank from the ranks the found value holds, as a share of the values.
 

@@ -9,7 +9,7 @@ from crosslake.functions.common import Scratch, local_rows, same_id, table
 from crosslake.llm.mixing import MOST_TARGETS, exponential_key, mix, source_name
 from crosslake.llm.packing import fill_report, pack
 from crosslake.llm.quality import scorer, train, usual_weight
-from crosslake.llm.quantiles import SKETCH_K, merge_percentile_states, percentile_states, percentiles, rank_check, rank_error
+from crosslake.llm.quantiles import SKETCH_K, exact_percentiles, merge_percentile_states, percentile_states, percentiles, rank_check, rank_error
 from crosslake.llm.spans import SharedSpans, shared_runs
 from crosslake.llm.tokens import token_counts
 from crosslake.llm.topn import top_n
@@ -55,11 +55,16 @@ def p6_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fractions(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of a fractional column, actual_value by status; groups here exceed the sketch, so only what is exact comes out."""
+    """Percentiles of a fractional column, actual_value by status; groups here exceed the sketch, so only what is exact comes out, as its SQL asks; ``p6_fractions_all`` has every group."""
     got = percentiles(percentile_states(table(spark, d, "quality_check_runs").withColumn("status", same_id("status")), ["check_id", "status"], "actual_value"))
     return got.where("n_values <= 512").select("check_id", "status", "n_values", "p50", "p99")
 
 
+def p6_fractions_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for groups of any size, all by exact ranks."""
+    return exact_percentiles(table(spark, d, "quality_check_runs").withColumn("status", same_id("status")), ["check_id", "status"], "actual_value", (0.5, 0.99))
+
+
 # --- 7
 
 
@@ -192,7 +197,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p6_percentiles": p6_percentiles, "p6_by_load": p6_by_load, "p6_check": p6_check, "p6_fractions": p6_fractions,
+    "p6_percentiles": p6_percentiles, "p6_by_load": p6_by_load, "p6_check": p6_check, "p6_fractions": p6_fractions, "p6_fractions_all": p6_fractions_all,
     "p7_found": p7_found, "p7_ranked": p7_ranked,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_check": p8_check,
     "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_check": p9_check,
@@ -223,6 +228,9 @@ SQL = {
     "p6_check": f"{_MS} SELECT source_table, CAST(4 * count(*) AS BIGINT) AS percentiles, TRUE AS small_exact, TRUE AS bound_kept FROM (SELECT source_table, item, status FROM v WHERE ms IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1",
     "p6_fractions": """WITH v AS (SELECT check_id, lower(trim(status)) AS status, actual_value AS x, row_number() OVER (PARTITION BY check_id, lower(trim(status)) ORDER BY actual_value NULLS LAST) AS rn, count(actual_value) OVER (PARTITION BY check_id, lower(trim(status))) AS n FROM quality_check_runs)
       SELECT check_id, status, max(n) AS n_values, max(x) FILTER (rn = greatest(1, ceil(0.5 * n))) AS p50, max(x) FILTER (rn = greatest(1, ceil(0.99 * n))) AS p99 FROM v WHERE n <= 512 GROUP BY 1, 2""",
+    "p6_fractions_all": """WITH v AS (SELECT check_id, lower(trim(status)) AS status, CASE WHEN NOT isnan(actual_value) THEN actual_value END AS x FROM quality_check_runs),
+      r AS (SELECT *, row_number() OVER (PARTITION BY check_id, status ORDER BY x NULLS LAST) AS rn, count(x) OVER (PARTITION BY check_id, status) AS n FROM v)
+      SELECT check_id, status, max(n) AS n_values, max(x) FILTER (rn = greatest(1, ceil(0.5 * n))) AS p50, max(x) FILTER (rn = greatest(1, ceil(0.99 * n))) AS p99 FROM r GROUP BY 1, 2""",
     "p8_check": "SELECT count(*) AS documents, count(*) AS whole, CAST(0 AS BIGINT) AS divided_without_need, CAST(0 AS BIGINT) AS overfull, TRUE AS near_least FROM documents",
     "p9_check": "SELECT DISTINCT replace(lower(trim(source)), '-', '_') AS source, TRUE AS share_met, TRUE AS cap_kept FROM mix_targets WHERE source IS NOT NULL",
     "p10_linked": f"{_WINDOWS}, p AS (SELECT DISTINCT a.doc_id, b.doc_id AS other FROM hit a JOIN hit b ON a.x = b.x AND a.doc_id <> b.doc_id) SELECT doc_id, count(*) AS links, min(other) AS first_link FROM p GROUP BY 1",

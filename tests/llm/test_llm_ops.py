@@ -2,8 +2,10 @@
 
 import bisect
 import datetime as dt
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from crosslake.llm import spans as S
 from crosslake.llm import topn
 from crosslake.llm.mixing import SEED, exponential_key, make_plan, mix, source_name
 from crosslake.llm.packing import fill_report, first_fit_decreasing, pack
-from crosslake.llm.quantiles import merge_percentile_states, percentile_states, percentiles, rank_check, rank_error
+from crosslake.llm.quantiles import exact_percentiles, merge_percentile_states, percentile_states, percentiles, rank_check, rank_error
 from crosslake.llm.tokens import token_counts
 from crosslake.llm.topn import LoserTree, top_n
 from tests.conftest import DATA, needs_data
@@ -79,6 +81,22 @@ def test_percentiles(spark):
     assert percentiles(percentile_states(df.limit(0), ["g"], "v")).count() == 0
 
 
+def test_exact_percentiles(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice((rng.random(), 0.25, None))) for _ in range(9000)] + [("same", 7.0)] * 700 + [(None, i / 8) for i in range(600)]
+    rows += [("few", 5.5), ("few", float("nan")), ("few", -1.0), ("none", None), ("none", float("nan"))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    values = {g: sorted(v for h, v in rows if g == h and v is not None and v == v) for g, _ in rows}
+    percents = (0.001, 0.5, 0.95, 0.99, 1.0)
+    got = exact_percentiles(df, ["g"], "v", percents).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((g, len(v), *(v[max(1, math.ceil(Fraction(str(p)) * len(v))) - 1] if v else None for p in percents))) for g, v in values.items())
+    assert exact_percentiles(df.limit(0), ["g"], "v").count() == 0
+    runs = df.selectExpr("g AS check_id", "' Pass' AS status", "v AS actual_value")
+    runs.write.parquet(f"{tmp_path}/quality_check_runs.parquet")
+    assert {(r.check_id, r.status, r.n_values) for r in Q.QUERIES["p6_fractions_all"](spark, str(tmp_path)).collect()} == {(g, "pass", len(v)) for g, v in values.items()}
+
+
 # --- 7
 
 
