@@ -137,7 +137,7 @@ def split_rejects(df: DataFrame, required: list[str] = (), unique: list[str] = (
 def insert_database(df: DataFrame, options: dict[str, str], table: str, batch: int = DB_BATCH, required: list[str] = (), unique: list[str] = ()) -> DataFrame:
     """Inserts through JDBC (the table is made if missing) what the constraints allow; the rejected rows' records."""
     good, bad = split_rejects(df, required, unique)
-    if embedded.by_driver(df.sparkSession, options["url"]):
+    if embedded.by_driver(df.sparkSession, options.get("url", "")):
         embedded.insert(good, options, table, batch)
         return bad
     good.write.format("jdbc").options(**options).option("dbtable", table).option("batchsize", batch).mode("append").save()
